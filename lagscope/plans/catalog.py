@@ -424,3 +424,106 @@ def q_custom_writer_sink(spark, sf_dir):
     rec = R.writer_records(_gauge_metrics(spark, sf_dir))
     pairs = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return rec.select("name", _ts("timestamp"), F.array_join(pairs, ",").alias("tags"), "value")
+
+
+# --- produce window (tumbling emission interval) ---------------------------------------
+
+PRODUCE_WINDOW_SECONDS = 300
+
+
+@register("produce_window", _sql("M", "gauges", select=f"""
+SELECT ts // {PRODUCE_WINDOW_SECONDS} * {PRODUCE_WINDOW_SECONDS} AS window_start, name, key,
+       arg_max(value, ts) AS value
+FROM gauges GROUP BY 1, 2, 3"""))
+def q_produce_window(spark, sf_dir):
+    from lagscope.streaming.jobs import produce_window
+    w = produce_window(_job(spark, sf_dir, "M").gauges, PRODUCE_WINDOW_SECONDS)
+    return w.select(F.unix_seconds("window_start").alias("window_start"), "name", "key", "value")
+
+
+# --- streaming (files landed per scrape, availableNow, read back) -------------------------
+
+def _last_scrape(grid: str) -> int:
+    from lagscope.sources.fixtures import E0, GRIDS
+    g = GRIDS[grid]
+    return E0 + g.ticks * g.interval
+
+
+def _landed(spark, sf_dir, grid, files=6):
+    from lagscope.streaming import jobs as J
+    fx = Fixture(spark, sf_dir, grid)
+    base = J.work_dir(spark, f"land-{grid}")
+    J.land(fx.topic_partitions, f"{base}/tp", files)
+    return fx, base, J.read_stream(spark, f"{base}/tp", J.TP_SCHEMA, files_per_trigger=2)
+
+
+def _run_lag_stream(spark, sf_dir, grid):
+    from lagscope.streaming import jobs as J
+    fx, base, tp_stream = _landed(spark, sf_dir, grid)
+    J.lag_stream(tp_stream, fx.group_listings, fx.group_descriptions, fx.commits,
+                 f"{base}/lags", f"{base}/ckpt-lags")
+    return fx, base
+
+
+@register("streaming_gauges", _sql("H", "gauges", select=f"SELECT {GAUGE_COLS} FROM g_part"))
+def q_streaming_gauges(spark, sf_dir):
+    from lagscope.streaming import jobs as J
+    _fx, base, tp_stream = _landed(spark, sf_dir, "H")
+    J.gauge_stream(tp_stream, f"{base}/gauges", f"{base}/ckpt-gauges")
+    return flat_gauges(spark.read.parquet(f"{base}/gauges"))
+
+
+@register("streaming_lag", _sql("H", "gauges", select=f"SELECT {GAUGE_COLS} FROM g_group"))
+def q_streaming_lag(spark, sf_dir):
+    _fx, base = _run_lag_stream(spark, sf_dir, "H")
+    lags = spark.read.parquet(f"{base}/lags").drop("batch_id")
+    return flat_gauges(GR.group_gauges(lags))
+
+
+@register("streaming_meters", _sql("M", "meters", select=f"""
+SELECT {METER_COLS} FROM meters WHERE ts <= {_last_scrape("M")}"""))
+def q_streaming_meters(spark, sf_dir):
+    from lagscope.streaming import jobs as J
+    fx, base = _run_lag_stream(spark, sf_dir, "M")
+    grid = MetricsJob.from_fixture(fx).produce
+    tp_stream = J.read_stream(spark, f"{base}/tp", J.TP_SCHEMA, files_per_trigger=2)
+    J.topic_meter_stream(tp_stream, grid, f"{base}/m-topic", f"{base}/ckpt-m-topic")
+    lag_stream = (spark.readStream.schema(J.LAG_SCHEMA + ", batch_id int")
+                  .option("maxFilesPerTrigger", 2).parquet(f"{base}/lags"))
+    J.group_meter_stream(lag_stream, grid, f"{base}/m-group", f"{base}/ckpt-m-group")
+    topic = M.meter_rows(spark.read.parquet(f"{base}/m-topic"), S.TOPIC_RATE, M.TOPIC_KEYS)
+    group = M.meter_rows(spark.read.parquet(f"{base}/m-group"), S.GROUP_RATE, M.GROUP_KEYS)
+    return flat_meters(topic.unionByName(group))
+
+
+_PART_NAMES = "', '".join([S.OFFSET_NEWEST, S.OFFSET_OLDEST, S.LEADER, S.REPLICAS,
+                           S.IN_SYNC_REPLICAS, S.LEADER_IS_PREFERRED, S.UNDER_REPLICATED])
+
+
+@register("streaming_carry_forward", _sql("M", "snapshot", select=f"""
+SELECT {GAUGE_COLS} FROM g_snap
+WHERE name IN ('{_PART_NAMES}') AND ts <= {_last_scrape("M")}"""))
+def q_streaming_carry_forward(spark, sf_dir):
+    from lagscope.streaming import jobs as J
+    fx, base, tp_stream = _landed(spark, sf_dir, "M")
+    grid = MetricsJob.from_fixture(fx).produce
+    J.carry_forward_stream(G.partition_gauges(tp_stream), grid, f"{base}/carry", f"{base}/ckpt-carry")
+    out = spark.read.parquet(f"{base}/carry")
+    key = F.concat_ws("-", "topic", F.col("partition").cast("string"))
+    return out.select("name", key.alias("key"), "group_id", "topic", "partition",
+                      _ts("produce_ts"), "value")
+
+
+@register("streaming_produce_window", _sql("M", "gauges", select=f"""
+SELECT * FROM (
+  SELECT ts // {PRODUCE_WINDOW_SECONDS} * {PRODUCE_WINDOW_SECONDS} AS window_start, name, key,
+         arg_max(value, ts) AS value
+  FROM g_part GROUP BY 1, 2, 3)
+WHERE window_start + {PRODUCE_WINDOW_SECONDS} <= {_last_scrape("M")}"""))
+def q_streaming_produce_window(spark, sf_dir):
+    from lagscope.streaming import jobs as J
+    _fx, base, tp_stream = _landed(spark, sf_dir, "M")
+    J.produce_window_stream(G.partition_gauges(tp_stream), PRODUCE_WINDOW_SECONDS,
+                            f"{base}/window", f"{base}/ckpt-window")
+    w = spark.read.parquet(f"{base}/window")
+    return w.select(F.unix_seconds("window_start").alias("window_start"), "name", "key", "value")

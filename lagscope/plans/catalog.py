@@ -459,9 +459,11 @@ def _landed(spark, sf_dir, grid, files=6):
 
 def _run_lag_stream(spark, sf_dir, grid):
     from lagscope.streaming import jobs as J
-    fx, base, tp_stream = _landed(spark, sf_dir, grid)
-    J.lag_stream(tp_stream, fx.group_listings, fx.group_descriptions, fx.commits,
-                 f"{base}/lags", f"{base}/ckpt-lags")
+    fx, base, _tp_stream = _landed(spark, sf_dir, grid)
+    J.land(fx.group_listings, f"{base}/listings", 6)
+    listings = J.read_stream(spark, f"{base}/listings", S.GROUP_LISTINGS, files_per_trigger=2)
+    tp = spark.read.schema(J.TP_SCHEMA).parquet(f"{base}/tp")
+    J.lag_stream(listings, tp, fx.group_descriptions, fx.commits, f"{base}/lags", f"{base}/ckpt-lags")
     return fx, base
 
 

@@ -222,7 +222,8 @@ def collectd_lines(df: DataFrame, hostname: str = "localhost",
         return F.concat(ts, F.lit(":"), v)
 
     def f6(c: str) -> Column:
-        return F.coalesce(F.format_string("%f", F.col(c)), F.lit("U"))
+        # collectd's "unknown value" marker where the rate is undefined
+        return F.when(F.col(c).isNotNull(), F.format_string("%f", F.col(c))).otherwise(F.lit("U"))
 
     meter = F.concat(head, F.concat_ws(",", pv(F.col("count").cast("string")), pv(f6("rate1")),
                                        pv(f6("rate5")), pv(f6("rate15")), pv(f6("rate_mean"))))

@@ -22,7 +22,8 @@ from typing import Callable, Iterator
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceStreamWriter, DataSourceWriter,
                                     WriterCommitMessage)
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (DoubleType, LongType, MapType, StringType, StructField, StructType,
+                               TimestampType)
 
 from lagscope import schemas as S
 
@@ -78,18 +79,27 @@ def kafka_delivery(bootstrap_servers: str, **options: str) -> Deliver:
     return deliver
 
 
-def writer_delivery(target: str) -> Deliver:
-    """Hand writer records to a user function ``module:function`` on the executors."""
+def writer_delivery(target: str, **options: str) -> Deliver:
+    """Hand writer records to a user function ``module:function`` on the
+    executors; ``options`` are passed to it as keyword arguments."""
     def deliver(df: DataFrame, batch_id: int) -> None:
-        df.write.format(MetricWriterDataSource.name()).option("writer", target).mode("append").save()
+        w = df.write.format(MetricWriterDataSource.name()).option("writer", target)
+        for k, v in options.items():
+            w = w.option(k, v)
+        w.mode("append").save()
     return deliver
 
 
 # --- custom writer as a Python data source ------------------------------------------
 
-WRITER_SCHEMA = StructType.fromDDL(
-    "kind string, name string, timestamp timestamp, meta map<string,string>, value bigint, "
-    "count bigint, rate1 double, rate5 double, rate15 double, rate_mean double")
+WRITER_SCHEMA = StructType([
+    StructField("kind", StringType()), StructField("name", StringType()),
+    StructField("timestamp", TimestampType()),
+    StructField("meta", MapType(StringType(), StringType())),
+    StructField("value", LongType()), StructField("count", LongType()),
+    StructField("rate1", DoubleType()), StructField("rate5", DoubleType()),
+    StructField("rate15", DoubleType()), StructField("rate_mean", DoubleType()),
+])
 
 
 def resolve(target: str) -> Callable[[Iterator[Row]], object]:
@@ -103,8 +113,9 @@ class _Commit(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, target: str):
-        self.target = target
+    def __init__(self, options: dict):
+        self.target = options["writer"]
+        self.kwargs = {k: v for k, v in options.items() if k != "writer"}
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         seen = [0]
@@ -113,16 +124,16 @@ class _Writer(DataSourceWriter):
             for r in iterator:
                 seen[0] += 1
                 yield r
-        resolve(self.target)(counted())
+        resolve(self.target)(counted(), **self.kwargs)
         return _Commit(seen[0])
 
 
 class _StreamWriter(DataSourceStreamWriter):
-    def __init__(self, target: str):
-        self.target = target
+    def __init__(self, options: dict):
+        self.options = options
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        return _Writer(self.target).write(iterator)
+        return _Writer(self.options).write(iterator)
 
     def commit(self, messages, batchId) -> None:
         pass
@@ -134,9 +145,10 @@ class _StreamWriter(DataSourceStreamWriter):
 class MetricWriterDataSource(DataSource):
     """``df.write.format("lagscope_writer").option("writer", "pkg.mod:fn")``.
 
-    ``fn`` receives an iterator of writer records (one call per partition,
-    on the executor holding it): name, timestamp, meta as strings, and either
-    ``value`` or ``count`` + rates.  The metric key is not passed on.
+    ``fn(rows, **options)`` receives an iterator of writer records (one call
+    per partition, on the executor holding it): name, timestamp, meta as
+    strings, and either ``value`` or ``count`` + rates, plus the other write
+    options.  The metric key is not passed on.
     """
 
     @classmethod
@@ -147,10 +159,10 @@ class MetricWriterDataSource(DataSource):
         return WRITER_SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["writer"])
+        return _Writer(dict(self.options))
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
-        return _StreamWriter(self.options["writer"])
+        return _StreamWriter(dict(self.options))
 
 
 def register_writer_source(spark) -> None:

@@ -27,6 +27,13 @@ from lagscope.session import checkpoint_dir
 from lagscope.streaming.processors import CarryForwardProcessor, MeterProcessor
 
 WATERMARK_DELAY = "0 seconds"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keyed_state_store(spark: SparkSession) -> None:
+    """``transformWithState`` needs a state store with column families (RocksDB);
+    it also keeps large keyed state off the JVM heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -73,24 +80,28 @@ def gauge_stream(tp_stream: DataFrame, out: str, ckpt: str, available_now: bool
     return _run(w.outputMode("append"), available_now)
 
 
-def lag_stream(tp_stream: DataFrame, listings: DataFrame, descriptions: DataFrame,
+def lag_stream(listing_stream: DataFrame, topic_partitions: DataFrame, descriptions: DataFrame,
                commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
-    """Per micro-batch: restrict group tables to the batch's scrapes (semi-join),
-    as-of committed offsets, left join to the batch's newest offsets.  Each
-    batch overwrites its own ``batch_id=`` folder, so a replayed batch after a
-    failure replaces rather than duplicates its rows."""
+    """The group pass, driven by the stream of group listings (one per scrape,
+    landed after that scrape's partition and group tables).  Per micro-batch:
+    the batch's scrapes select their descriptions, partition rows and the
+    commits up to the latest scrape; as-of committed offsets; left join to
+    newest offsets.  Each batch overwrites its own ``batch_id=`` folder, so a
+    replayed batch after a failure replaces rather than duplicates its rows,
+    and each scrape is written whole into one file."""
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         scrapes = batch.select("scrape_ts").distinct()
         latest = batch.agg(F.max("scrape_ts")).scalar()
-        lst = listings.join(scrapes, "scrape_ts", "left_semi")
         dsc = descriptions.join(scrapes, "scrape_ts", "left_semi")
-        assigned = GR.assigned_partitions(lst, dsc)
+        tp = topic_partitions.join(scrapes, "scrape_ts", "left_semi")
+        assigned = GR.assigned_partitions(batch, dsc)
         committed = GR.committed_offset_scan(assigned, commits.where(F.col("commit_ts") <= latest))
-        lags = GR.lag_rows(committed, batch)
-        lags.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        lags = GR.lag_rows(committed, tp)
+        # keep each scrape whole in one file: downstream meters sum a scrape at once
+        lags.repartition("scrape_ts").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    w = tp_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    w = listing_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     return _run(w, available_now)
 
 
@@ -104,6 +115,7 @@ def _meter_schema(keys: list[str], types: dict) -> str:
 def meter_stream(stream: DataFrame, keys: list[str], value_col: str, grid: ProduceGrid,
                  out: str, ckpt: str, available_now: bool = True):
     """Meters keyed by ``keys`` from per-partition rows of each scrape."""
+    _keyed_state_store(stream.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     proc = MeterProcessor(keys, value_col, grid.start, grid.interval, grid.count)
     snaps = (stream.select(*keys, "scrape_ts", value_col)
@@ -120,6 +132,7 @@ CARRY_KEYS = ["name", "group_id", "topic", "partition"]
 def carry_forward_stream(gauges: DataFrame, grid: ProduceGrid, out: str, ckpt: str,
                          available_now: bool = True):
     """``gauges``: streaming long-form gauge rows (``timestamp`` = scrape time)."""
+    _keyed_state_store(gauges.sparkSession)
     flat = gauges.select("name", F.col("meta.group").alias("group_id"),
                          F.col("meta.topic").alias("topic"), F.col("meta.partition").alias("partition"),
                          F.col("timestamp").alias("scrape_ts"), "value")

@@ -42,9 +42,10 @@ def _schema(spec: str) -> StructType:
 
 
 METER_STATE = _schema(
-    "prev_sum bigint, last_scrape double, last_emitted double, has_meter boolean, "
+    "prev_sum bigint, last_final double, last_emitted double, has_meter boolean, "
     "t_first double, k_first bigint, count bigint, t_last double, k_last bigint, "
-    "s1 double, s5 double, s15 double, pend_t array<double>, pend_d array<bigint>")
+    "s1 double, s5 double, s15 double, pend_t array<double>, pend_d array<bigint>, "
+    "ps_t array<double>, ps_v array<bigint>")
 
 CARRY_STATE = _schema(
     "last_scrape double, last_emitted double, has_value boolean, value bigint, "
@@ -80,7 +81,13 @@ def _seconds(series: pd.Series) -> np.ndarray:
 
 
 class MeterProcessor(StatefulProcessor):
-    """Meter per key: ``value_col`` summed per scrape, deltas marked."""
+    """Meter per key: ``value_col`` summed per scrape, deltas marked.
+
+    Rows of one scrape may arrive over several micro-batches; partial sums
+    are accumulated per scrape and a scrape is final (turned into a delta)
+    only once the watermark has passed it.  Rows for an already final scrape
+    are late and dropped.
+    """
 
     def __init__(self, keys: list[str], value_col: str, start: float, interval: float,
                  count: int):
@@ -95,30 +102,44 @@ class MeterProcessor(StatefulProcessor):
         if self.state.exists():
             return list(self.state.get())
         return [None, -np.inf, -np.inf, False, None, None, None, None, None, None, None, None,
-                [], []]
+                [], [], [], []]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         st = self._load()
         pdf = pd.concat(list(rows), ignore_index=True)
         pdf["_t"] = _seconds(pdf["scrape_ts"])
         sums = pdf.groupby("_t", sort=True)[self.value_col].sum()
-        pend_t, pend_d = list(st[12] or []), list(st[13] or [])
-        prev, last = st[0], st[1]
-        for t, total in sums.items():
-            if t <= last:
-                continue          # late or repeated scrape
-            if prev is not None:
-                pend_t.append(float(t))
-                pend_d.append(int(total) - int(prev))
-            prev, last = int(total), float(t)
-        st[0], st[1], st[12], st[13] = prev, last, pend_t, pend_d
+        partial = dict(zip(st[14] or [], st[15] or []))
+        for t, v in sums.items():
+            if t <= st[1]:
+                continue          # scrape already final: late rows
+            partial[float(t)] = partial.get(float(t), 0) + int(v)
+        order = sorted(partial)
+        st[14], st[15] = order, [partial[t] for t in order]
         yield from self._emit(key, st, timerValues.getCurrentWatermarkInMs() / 1000.0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         st = self._load()
         yield from self._emit(key, st, timerValues.getCurrentWatermarkInMs() / 1000.0)
 
+    def _finalize(self, st, wm: float) -> None:
+        """Scrapes at or before the watermark become marks (delta to the previous sum)."""
+        ps_t, ps_v = list(st[14] or []), list(st[15] or [])
+        pend_t, pend_d = list(st[12] or []), list(st[13] or [])
+        keep_t, keep_v = [], []
+        for t, v in zip(ps_t, ps_v):
+            if t > wm:
+                keep_t.append(t)
+                keep_v.append(v)
+                continue
+            if st[0] is not None:
+                pend_t.append(t)
+                pend_d.append(int(v) - int(st[0]))
+            st[0], st[1] = int(v), t
+        st[12], st[13], st[14], st[15] = pend_t, pend_d, keep_t, keep_v
+
     def _emit(self, key, st, wm: float) -> Iterator[pd.DataFrame]:
+        self._finalize(st, wm)
         ticks = self.grid.between(st[2], wm)
         out = None
         if len(ticks):

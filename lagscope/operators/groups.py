@@ -57,27 +57,50 @@ def group_assignment_join(assigned: DataFrame, commits: DataFrame) -> DataFrame:
                     F.coalesce("committed", F.lit(-1).cast("bigint")).alias("committed")))
 
 
-def committed_offset_scan(assigned: DataFrame, commits: DataFrame) -> DataFrame:
+def committed_offset_scan(assigned: DataFrame, commits: DataFrame,
+                          bucket_seconds: int = 60) -> DataFrame:
     """Latest commit at or before each scrape (backward as-of), −1 if none.
 
-    Assigned rows and commits are unioned and a ``last(ignorenulls)`` runs
-    per (group, topic, partition) ordered by time with commits sorted before
-    a scrape at the same instant.  One pass, no range join.
+    Exact and safe when one partition holds a large share of all commits:
+    commits are split into time buckets of ``bucket_seconds``.
+
+    * same bucket: scrapes join the commits of their own (partition, bucket)
+      on equality and keep the latest with ``commit_ts <= scrape_ts``;
+    * earlier buckets: each (partition, bucket) is first reduced to its latest
+      commit; a ``last(ignorenulls)`` over these summaries and the scrape rows,
+      ordered by bucket with scrapes before the summary of their own bucket,
+      gives the latest commit of any earlier bucket.
+
+    The window sees one row per bucket and scrape (bounded by time, not by
+    commit volume); the equi-join is keyed by (partition, bucket), so a hot
+    partition is spread over many tasks.  No range join.
     """
     keys = ["group_id", "topic", "partition"]
-    a = assigned.select(F.col("scrape_ts").alias("ts"), *keys,
-                        F.lit(None).cast("bigint").alias("offset"), F.lit(1).alias("is_scrape"))
-    c = commits.select(F.col("commit_ts").alias("ts"), *keys, F.col("offset"),
-                       F.lit(0).alias("is_scrape"))
-    w = (Window.partitionBy(*keys).orderBy("ts", "is_scrape")
+    step = bucket_seconds * 1_000_000
+    a = assigned.select("scrape_ts", *keys, F.unix_micros("scrape_ts").alias("s_us"))
+    a = a.withColumn("b", F.floor(F.col("s_us") / step))
+    c = commits.select(*keys, F.unix_micros("commit_ts").alias("c_us"), "offset")
+    c = c.withColumn("b", F.floor(F.col("c_us") / step))
+
+    within = (a.join(c, [*keys, "b"])
+              .where(F.col("c_us") <= F.col("s_us"))
+              .groupBy("scrape_ts", *keys)
+              .agg(F.max_by("offset", "c_us").alias("o_within")))
+
+    summary = c.groupBy(*keys, "b").agg(F.max_by("offset", "c_us").alias("o"))
+    rows = a.select(*keys, "b", "scrape_ts", F.lit(None).cast("bigint").alias("o"),
+                    F.lit(1).alias("is_scrape")).unionByName(
+        summary.select(*keys, "b", F.lit(None).cast("timestamp").alias("scrape_ts"), "o",
+                       F.lit(0).alias("is_scrape")))
+    w = (Window.partitionBy(*keys).orderBy("b", F.col("is_scrape").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        a.unionByName(c)
-        .select("ts", *keys, "is_scrape", F.last("offset", ignorenulls=True).over(w).alias("o"))
-        .where(F.col("is_scrape") == 1)
-        .select(F.col("ts").alias("scrape_ts"), *keys,
-                F.coalesce("o", F.lit(-1).cast("bigint")).alias("committed"))
-    )
+    earlier = (rows.select(*keys, "scrape_ts", "is_scrape",
+                           F.last("o", ignorenulls=True).over(w).alias("o_before"))
+               .where(F.col("is_scrape") == 1).drop("is_scrape"))
+
+    return (earlier.join(within, ["scrape_ts", *keys], "left")
+            .select("scrape_ts", *keys,
+                    F.coalesce("o_within", "o_before", F.lit(-1).cast("bigint")).alias("committed")))
 
 
 def lag_rows(committed: DataFrame, tp: DataFrame) -> DataFrame:

@@ -88,11 +88,15 @@ def meter_snapshots(deltas: DataFrame, keys: list[str], grid: ProduceGrid) -> Da
     its marks (one per scrape, already summed)."""
     key_types = {f.name: f.dataType for f in deltas.schema.fields}
     schema = _snapshot_schema(keys, key_types)
-    instants = grid.instants()
+    start, step, count = grid.start, grid.interval, grid.count
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", kind="stable")
-        cols, _ = ewma.advance(None, pdf["t"].to_numpy(), pdf["delta"].to_numpy(), instants)
+        t = pdf["t"].to_numpy()
+        # instants from the key's first mark on, built in the task (not shipped)
+        k0 = max(0, int(np.ceil((t[0] - start) / step)))
+        instants = start + step * np.arange(k0, count, dtype=np.float64)
+        cols, _ = ewma.advance(None, t, pdf["delta"].to_numpy(), instants)
         n = len(cols["produce"])
         out = {k: np.repeat(pdf[k].iloc[0], n) for k in keys}
         out["produce_ts"] = pd.to_datetime((cols["produce"] * 1e6).astype("int64"), unit="us", utc=True)

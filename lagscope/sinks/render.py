@@ -129,6 +129,20 @@ def _substr_from(s: Column, pos) -> Column:
 RATE_COLS = ["rate1", "rate5", "rate15", "rate_mean"]
 
 
+def tag_string(sep: str, eq: str, escape=None) -> Column:
+    """Meta as ``group<eq>g<sep>partition<eq>0<sep>topic<eq>t``: the fixed meta
+    fields in name order, absent (null or empty) ones left out.  Built with
+    ``concat_ws`` (codegen) rather than higher-order functions over a map."""
+    esc = escape or (lambda c: c)
+    parts = []
+    for name, c in (("group", F.col("meta.group")),
+                    ("partition", F.col("meta.partition").cast("string")),
+                    ("topic", F.col("meta.topic"))):
+        parts.append(F.when(c.isNotNull() & (c != ""),
+                            F.concat(esc(F.lit(name)), F.lit(eq), esc(c))))
+    return F.concat_ws(sep, *parts)
+
+
 def _meta_json_struct() -> Column:
     # Go encodes map keys in sorted order: group, partition, topic; absent keys are nulls
     # that to_json drops.
@@ -140,8 +154,7 @@ def _meta_json_struct() -> Column:
 
 def log_lines(df: DataFrame) -> DataFrame:
     df = with_float_text(dispatch(df), RATE_COLS)
-    tags = F.array_join(F.transform(F.array_sort(F.map_entries(stringify_tags("meta"))),
-                                    lambda e: F.concat_ws(":", e["key"], e["value"])), " ")
+    tags = tag_string(" ", ":")
     base = F.concat(F.lit("{BaseMetric:{Name:"), F.col("name"), F.lit(" Key:"), F.col("key"),
                     F.lit(" Timestamp:"), go_time_string("timestamp"),
                     F.lit(" Meta:map["), tags, F.lit("]} "))
@@ -243,10 +256,7 @@ def influx_lines(df: DataFrame) -> DataFrame:
     request parameters of the writer, not part of the line)."""
     df = with_float_text(dispatch(df), RATE_COLS, json_style=False)
     measurement = _influx_escape(F.col("name"), ", ")
-    tags = F.array_join(F.transform(
-        F.array_sort(F.map_entries(F.map_filter(stringify_tags("meta"), lambda k, v: v != ""))),
-        lambda e: F.concat(_influx_escape(e["key"], ",= "), F.lit("="), _influx_escape(e["value"], ",= "))),
-        ",")
+    tags = tag_string(",", "=", lambda c: _influx_escape(c, ",= "))
     key = F.concat(measurement, F.when(tags != "", F.concat(F.lit(","), tags)).otherwise(F.lit("")))
 
     def fld(name: str, v: Column) -> Column:

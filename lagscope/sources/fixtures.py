@@ -24,6 +24,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lagscope.operators.sequence import number_within_key
+from lagscope.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture definition.
@@ -95,19 +96,31 @@ def _first_tick(us: Column, grid: Grid, shift_seconds: int = 0) -> Column:
     return F.greatest(F.ceil(num / F.lit(grid.interval * 1_000_000)), F.lit(1))
 
 
-def build_topic_partitions(base: DataFrame, grid: Grid) -> DataFrame:
+def build_series_counts(base: DataFrame, grid: Grid) -> DataFrame:
+    """Per (topic, partition, tick k): records first seen at k (``dn``) and
+    records leaving the 7-day retention at k (``do``).  Ticks past the grid
+    collapse into k = ticks + 1, so the table has at most series × (ticks + 1)
+    rows whatever the log size; it is the only pass over the raw log."""
     us = F.unix_micros("timestamp")
+    cap = F.lit(grid.ticks + 1)
     marks = base.select(
         "topic", "partition",
         F.explode(F.array(
-            F.struct(_first_tick(us, grid).alias("k"), F.lit(1).alias("dn"), F.lit(0).alias("do")),
-            F.struct(_first_tick(us, grid, RETENTION_SECONDS).alias("k"),
+            F.struct(F.least(_first_tick(us, grid), cap).alias("k"),
+                     F.lit(1).alias("dn"), F.lit(0).alias("do")),
+            F.struct(F.least(_first_tick(us, grid, RETENTION_SECONDS), cap).alias("k"),
                      F.lit(0).alias("dn"), F.lit(1).alias("do")),
         )).alias("m"),
-    ).select("topic", "partition", "m.*").where(F.col("k") <= grid.ticks)
+    ).select("topic", "partition", "m.*")
     # map-side partial aggregation: the shuffle carries (series, tick) counts
-    counts = marks.groupBy("topic", "partition", "k").agg(
+    return marks.groupBy("topic", "partition", "k").agg(
         F.sum("dn").alias("dn"), F.sum("do").alias("do"))
+
+
+def topic_partitions_from_counts(counts: DataFrame, grid: Grid) -> DataFrame:
+    """Running sums per series over its (small) count rows; each row then
+    covers the ticks up to the series' next row."""
+    counts = counts.where(F.col("k") <= grid.ticks)
     w = Window.partitionBy("topic", "partition").orderBy("k")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select(
@@ -123,6 +136,10 @@ def build_topic_partitions(base: DataFrame, grid: Grid) -> DataFrame:
     return with_replica_state(filled, grid)
 
 
+def build_topic_partitions(base: DataFrame, grid: Grid) -> DataFrame:
+    return topic_partitions_from_counts(build_series_counts(base, grid), grid)
+
+
 def with_replica_state(df: DataFrame, grid: Grid) -> DataFrame:
     """Replica, ISR and leader columns from the (k + partition) rule."""
     p = F.col("partition")
@@ -170,9 +187,10 @@ def build_group_listings(spark: SparkSession, grid: Grid) -> DataFrame:
             .select("scrape_ts", "l.broker_id", "l.group_id", "l.protocol_type"))
 
 
-def build_group_descriptions(spark: SparkSession, grid: Grid, base: DataFrame) -> DataFrame:
-    # topics of the log, as a scalar subquery (bounded by the topic count)
-    all_topics = base.agg(F.array_sort(F.collect_set("topic"))).scalar()
+def build_group_descriptions(spark: SparkSession, grid: Grid, log_topics: DataFrame) -> DataFrame:
+    """``log_topics``: any frame with a ``topic`` column covering the whole log
+    (read once through a scalar subquery; bounded by the topic count)."""
+    all_topics = log_topics.agg(F.array_sort(F.collect_set("topic"))).scalar()
     k = F.col("k")
     groups = []
     for g, proto, _lag, members in GROUPS:
@@ -240,9 +258,16 @@ class Fixture:
     def records(self) -> DataFrame:
         return build_records(self.events)
 
+    @cached_property
+    def series_counts(self) -> DataFrame:
+        """The single aggregation pass over the log, written once to the
+        shared checkpoint folder; every derived table reads it from there."""
+        checkpoint_dir(self.spark)
+        return build_series_counts(self.base, self.grid).checkpoint(eager=True)
+
     @cached_property
     def topic_partitions(self) -> DataFrame:
-        return build_topic_partitions(self.base, self.grid)
+        return topic_partitions_from_counts(self.series_counts, self.grid)
 
     @cached_property
     def group_listings(self) -> DataFrame:
@@ -250,7 +275,7 @@ class Fixture:
 
     @cached_property
     def group_descriptions(self) -> DataFrame:
-        return build_group_descriptions(self.spark, self.grid, self.base)
+        return build_group_descriptions(self.spark, self.grid, self.series_counts)
 
     @cached_property
     def commits(self) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lagscope import schemas as S
 from lagscope.functions import ewma
 from lagscope.functions.columns import meta, metric_key
+from lagscope.session import checkpoint_dir
 
 TOPIC_KEYS = ["topic"]
 GROUP_KEYS = ["group_id", "topic"]
@@ -82,10 +83,150 @@ def _snapshot_schema(keys: list[str], key_types: dict[str, T.DataType]) -> T.Str
     return T.StructType(fields)
 
 
-def meter_snapshots(deltas: DataFrame, keys: list[str], grid: ProduceGrid) -> DataFrame:
+CHUNK_SECONDS = 6 * 3600
+
+
+def _carry_horizon(ticks_per_chunk: int) -> int:
+    """Chunks after which a rate's contribution is below the double range
+    (exp(-745) underflows to 0), for the slowest-decaying rate."""
+    return int(np.ceil(745.0 / (min(ewma.LAMBDAS) * ticks_per_chunk))) + 1
+
+
+MAX_ROWS_PER_GROUP = 100_000
+
+
+def meter_snapshots(deltas: DataFrame, keys: list[str], grid: ProduceGrid,
+                    chunk_seconds: int = CHUNK_SECONDS,
+                    max_rows_per_group: int = MAX_ROWS_PER_GROUP) -> DataFrame:
     """Meter state (count, rate1/5/15, mean) at every produce instant from the
-    meter's first mark on.  One ``applyInPandas`` call per meter key over
-    its marks (one per scrape, already summed)."""
+    meter's first mark on.
+
+    The marks (one per key and scrape) are written once to the checkpoint
+    folder and measured: when the longest key history and the number of
+    produce instants are both within ``max_rows_per_group``, one kernel pass
+    per key is bounded and cheapest; otherwise the chunked scan below keeps
+    every task to one time chunk of one key.
+    """
+    marks = deltas.select(*keys, "scrape_ts", "delta")
+    checkpoint_dir(deltas.sparkSession)
+    marks = marks.checkpoint(eager=True)
+    longest = marks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max_rows_per_group and grid.count <= max_rows_per_group:
+        return meter_snapshots_per_key(marks, keys, grid)
+    return meter_snapshots_chunked(marks, keys, grid, chunk_seconds)
+
+
+def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGrid,
+                            chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """The EWMA is a linear recurrence, so it is evaluated as a parallel scan
+    over time chunks instead of one pass per key:
+
+    1. per (key, chunk): plain aggregates give the chunk's count, last mark
+       and its rate contribution at the chunk's last tick (all exponents are
+       non-positive);
+    2. the rate entering chunk c is the sum of earlier chunks' contributions
+       decayed to c's start: each summary is exploded into the next few
+       chunks only, since older contributions underflow to 0;
+    3. count and last mark before each chunk: running sum / max over one row
+       per chunk (as-of over summaries and a chunk spine per key);
+    4. ``applyInPandas`` per (key, chunk) runs the kernel from that start
+       state over the chunk's marks and produce instants.
+
+    No task holds more than one chunk of one key, however long the history.
+    """
+    C = int(chunk_seconds)
+    if C % ewma.TICK_SECONDS:
+        raise ValueError("chunk_seconds must be a multiple of the tick")
+    tpc = C // ewma.TICK_SECONDS
+    horizon = _carry_horizon(tpc)
+    key_types = {f.name: f.dataType for f in deltas.schema.fields}
+    schema = _snapshot_schema(keys, key_types)
+    rates = list(zip(("r1", "r5", "r15"), ewma.LAMBDAS, ewma.ALPHAS))
+
+    marks = deltas.select(*keys, (F.unix_micros("scrape_ts") / 1e6).alias("t"),
+                          F.col("delta").alias("d"))
+    marks = (marks.withColumn("k", F.floor(F.col("t") / ewma.TICK_SECONDS) + 1)
+             .withColumn("c", F.floor(F.col("t") / C)))
+    # ``deltas`` is expected to be materialized (see ``meter_snapshots``):
+    # the branches below all read it
+    firsts = marks.groupBy(*keys).agg(F.min("t").alias("t_first"), F.min("k").alias("k_first"),
+                                      F.min("c").alias("c_first"))
+    m = marks.join(firsts, keys)
+
+    # 1. chunk summaries at the chunk's end tick E_c = (c + 1) * tpc
+    end_tick = (F.col("c") + 1) * tpc
+    contrib = []
+    for name, lam, alpha in rates:
+        w = F.when(F.col("k") == F.col("k_first"), F.lit(1.0)).otherwise(F.lit(alpha))
+        contrib.append(F.sum(w * F.col("d") / ewma.TICK_SECONDS
+                             * F.exp(-lam * (end_tick - F.col("k")))).alias(name))
+    summ = m.groupBy(*keys, "c").agg(F.sum("d").alias("cnt"), F.max("t").alias("t_last"), *contrib)
+
+    # 2. rates entering chunk c (state at tick c * tpc)
+    carry = (summ.select(*keys, "c", *[n for n, _, _ in rates],
+                         F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("j"))
+             .select(*keys, (F.col("c") + F.col("j")).alias("c"),
+                     *[(F.col(n) * F.exp(-lam * tpc * (F.col("j") - 1))).alias(n)
+                       for n, lam, _ in rates])
+             .groupBy(*keys, "c").agg(*[F.sum(n).alias(n) for n, _, _ in rates]))
+
+    # 3. chunk spine per key and count / last mark before each chunk
+    c_end = int(np.floor(grid.end / C))
+    spine = firsts.select(*keys, "t_first", "k_first",
+                          F.explode(F.sequence("c_first", F.greatest("c_first", F.lit(c_end))))
+                          .alias("c"))
+    u = spine.select(*keys, "c", "t_first", "k_first", F.lit(None).cast("bigint").alias("cnt"),
+                     F.lit(None).cast("double").alias("t_last"), F.lit(0).alias("is_summary")) \
+        .unionByName(summ.select(*keys, "c", F.lit(None).cast("double").alias("t_first"),
+                                 F.lit(None).cast("bigint").alias("k_first"), "cnt", "t_last",
+                                 F.lit(1).alias("is_summary")))
+    wk = (Window.partitionBy(*keys).orderBy("c", "is_summary")
+          .rowsBetween(Window.unboundedPreceding, 0))
+    state = (u.select(*keys, "c", "t_first", "k_first", "is_summary",
+                      F.sum("cnt").over(wk).alias("count_before"),
+                      F.max("t_last").over(wk).alias("t_last_before"))
+             .where(F.col("is_summary") == 0).drop("is_summary")
+             .join(carry, [*keys, "c"], "left"))
+
+    # 4. kernel per (key, chunk)
+    rows = m.select(*keys, "c", "t", "d", F.lit(0).alias("is_state")).unionByName(
+        state.select(*keys, "c", F.lit(1).alias("is_state"), "t_first", "k_first",
+                     "count_before", "t_last_before", *[n for n, _, _ in rates]),
+        allowMissingColumns=True)
+    start, step, count = grid.start, grid.interval, grid.count
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        st = pdf[pdf["is_state"] == 1]
+        if st.empty:                       # marks past the last produce chunk
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        st = st.iloc[0]
+        mk = pdf[pdf["is_state"] == 0].sort_values("t", kind="stable")
+        c = int(st["c"])
+        lo = max(0, int(np.ceil((c * C - start) / step)))
+        hi = min(count, int(np.ceil(((c + 1) * C - start) / step)))
+        instants = start + step * np.arange(lo, max(lo, hi), dtype=np.float64)
+        if pd.isna(st["count_before"]):
+            state0 = None                  # the meter starts in this chunk
+        else:
+            state0 = ewma.MeterState(
+                float(st["t_first"]), int(st["k_first"]), int(st["count_before"]),
+                float(st["t_last_before"]), c * tpc,
+                *[0.0 if pd.isna(st[n]) else float(st[n]) for n, _, _ in rates])
+        cols, _ = ewma.advance(state0, mk["t"].to_numpy(), mk["d"].to_numpy().astype(np.int64),
+                               instants)
+        n = len(cols["produce"])
+        out = {k: np.repeat(st[k], n) for k in keys}
+        out["produce_ts"] = pd.to_datetime((cols["produce"] * 1e6).astype("int64"), unit="us", utc=True)
+        for col in ("count", "rate1", "rate5", "rate15", "rate_mean"):
+            out[col] = cols[col]
+        return pd.DataFrame(out)
+
+    return rows.groupBy(*keys, "c").applyInPandas(kernel, schema=schema)
+
+
+def meter_snapshots_per_key(deltas: DataFrame, keys: list[str], grid: ProduceGrid) -> DataFrame:
+    """One kernel pass per key over its whole history (for histories whose
+    size has been checked; also the reference for the chunked scan)."""
     key_types = {f.name: f.dataType for f in deltas.schema.fields}
     schema = _snapshot_schema(keys, key_types)
     start, step, count = grid.start, grid.interval, grid.count
@@ -93,7 +234,6 @@ def meter_snapshots(deltas: DataFrame, keys: list[str], grid: ProduceGrid) -> Da
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t", kind="stable")
         t = pdf["t"].to_numpy()
-        # instants from the key's first mark on, built in the task (not shipped)
         k0 = max(0, int(np.ceil((t[0] - start) / step)))
         instants = start + step * np.arange(k0, count, dtype=np.float64)
         cols, _ = ewma.advance(None, t, pdf["delta"].to_numpy(), instants)

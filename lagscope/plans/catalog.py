@@ -478,7 +478,7 @@ def q_streaming_gauges(spark, sf_dir):
 @register("streaming_lag", _sql("H", "gauges", select=f"SELECT {GAUGE_COLS} FROM g_group"))
 def q_streaming_lag(spark, sf_dir):
     _fx, base = _run_lag_stream(spark, sf_dir, "H")
-    lags = spark.read.parquet(f"{base}/lags").drop("batch_id")
+    lags = spark.read.parquet(f"{base}/lags/batch_id=*").drop("batch_id")
     return flat_gauges(GR.group_gauges(lags))
 
 
@@ -490,8 +490,8 @@ def q_streaming_meters(spark, sf_dir):
     grid = MetricsJob.from_fixture(fx).produce
     tp_stream = J.read_stream(spark, f"{base}/tp", J.TP_SCHEMA, files_per_trigger=2)
     J.topic_meter_stream(tp_stream, grid, f"{base}/m-topic", f"{base}/ckpt-m-topic")
-    lag_stream = (spark.readStream.schema(J.LAG_SCHEMA + ", batch_id int")
-                  .option("maxFilesPerTrigger", 2).parquet(f"{base}/lags"))
+    lag_stream = (spark.readStream.schema(J.LAG_SCHEMA)
+                  .option("maxFilesPerTrigger", 2).parquet(f"{base}/lags/batch_id=*"))
     J.group_meter_stream(lag_stream, grid, f"{base}/m-group", f"{base}/ckpt-m-group")
     topic = M.meter_rows(spark.read.parquet(f"{base}/m-topic"), S.TOPIC_RATE, M.TOPIC_KEYS)
     group = M.meter_rows(spark.read.parquet(f"{base}/m-group"), S.GROUP_RATE, M.GROUP_KEYS)

@@ -80,26 +80,53 @@ def gauge_stream(tp_stream: DataFrame, out: str, ckpt: str, available_now: bool
     return _run(w.outputMode("append"), available_now)
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+
+
 def lag_stream(listing_stream: DataFrame, topic_partitions: DataFrame, descriptions: DataFrame,
                commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
     """The group pass, driven by the stream of group listings (one per scrape,
-    landed after that scrape's partition and group tables).  Per micro-batch:
-    the batch's scrapes select their descriptions, partition rows and the
-    commits up to the latest scrape; as-of committed offsets; left join to
-    newest offsets.  Each batch overwrites its own ``batch_id=`` folder, so a
-    replayed batch after a failure replaces rather than duplicates its rows,
-    and each scrape is written whole into one file."""
+    landed after that scrape's partition and group tables).
+
+    Per micro-batch N: the batch's scrapes select their descriptions and
+    partition rows; committed offsets come from the commits newer than batch
+    N-1's horizon plus a carried table of the latest commit per partition
+    written by batch N-1, so a batch never re-reads the commit history.
+    Outputs and the carried table are written under ``batch_id=N`` folders:
+    a replayed batch rebuilds the same files from batch N-1's state.  Each
+    scrape's lag rows land whole in one file (downstream meters sum a scrape
+    at once)."""
+    keys = ["group_id", "topic", "partition"]
+    state_root = f"{out}/_commit_state"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         scrapes = batch.select("scrape_ts").distinct()
-        latest = batch.agg(F.max("scrape_ts")).scalar()
+        latest = batch.agg(F.max("scrape_ts")).first()[0]
+        prev = f"{state_root}/batch_id={batch_id - 1}"
+        if batch_id > 0 and _path_exists(spark, prev):
+            carried = spark.read.parquet(prev)
+            horizon = carried.agg(F.max("horizon")).first()[0]
+            fresh = commits.where((F.col("commit_ts") > F.lit(horizon))
+                                  & (F.col("commit_ts") <= F.lit(latest)))
+            known = carried.select("commit_ts", *keys, "offset").unionByName(fresh)
+        else:
+            known = commits.where(F.col("commit_ts") <= F.lit(latest))
+        known = known.checkpoint(eager=True)
         dsc = descriptions.join(scrapes, "scrape_ts", "left_semi")
         tp = topic_partitions.join(scrapes, "scrape_ts", "left_semi")
         assigned = GR.assigned_partitions(batch, dsc)
-        committed = GR.committed_offset_scan(assigned, commits.where(F.col("commit_ts") <= latest))
+        committed = GR.committed_offset_scan(assigned, known)
         lags = GR.lag_rows(committed, tp)
-        # keep each scrape whole in one file: downstream meters sum a scrape at once
         lags.repartition("scrape_ts").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        state = (known.groupBy(*keys)
+                 .agg(F.max_by("offset", "commit_ts").alias("offset"),
+                      F.max("commit_ts").alias("commit_ts"))
+                 .withColumn("horizon", F.lit(latest).cast("timestamp")))
+        state.write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}")
 
     w = listing_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     return _run(w, available_now)

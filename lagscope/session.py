@@ -54,15 +54,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) do we fall back to a fresh
-    temporary folder.  The value is also installed as the SparkContext
-    checkpoint directory so ``DataFrame.checkpoint()`` writes there.
+    Read from the session (or the SparkContext's checkpoint directory when one
+    was set programmatically).  Only when neither exists, as in local tests,
+    is a fresh temporary folder created.  The SparkContext checkpoint
+    directory is installed from it so ``DataFrame.checkpoint()`` writes there.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="lagscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
+        current = sc.getCheckpointDir()
+        path = current if current else tempfile.mkdtemp(prefix="lagscope-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

@@ -24,8 +24,8 @@ def spark():
              .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     s = get_session()
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lagscope-test-"))
+    from lagscope.session import checkpoint_dir
+    checkpoint_dir(s)
     return s
 
 

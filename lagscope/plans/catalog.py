@@ -314,6 +314,24 @@ def q_snapshot_asof(spark, sf_dir):
     return flat_gauges(_job(spark, sf_dir, "M").gauge_snapshot)
 
 
+@register("gauge_snapshot", _sql("M", "snapshot", select=f"""
+SELECT name, key, ts, value FROM g_snap WHERE group_id IS NULL"""))
+def q_gauge_snapshot(spark, sf_dir):
+    """Frozen gauge values at produce time (the partition and topic gauges)."""
+    snap = _job(spark, sf_dir, "M").gauge_snapshot
+    return snap.where(F.col("meta.group").isNull()).select("name", "key", _ts("timestamp"), "value")
+
+
+@register("snapshot_timestamp", _sql("M", "snapshot", select="""
+SELECT ts, name, CAST(count(*) AS BIGINT) AS series FROM (
+  SELECT ts, name FROM g_snap UNION ALL SELECT ts, name FROM meters)
+GROUP BY ts, name"""))
+def q_snapshot_timestamp(spark, sf_dir):
+    """Snapshot rows carry the produce instant: series reported per instant."""
+    m = _job(spark, sf_dir, "M").metrics
+    return m.groupBy(_ts("timestamp"), "name").agg(F.count(F.lit(1)).alias("series"))
+
+
 @register("snapshot_union", _sql("M", "snapshot", select="""
 SELECT 'gauge' AS kind, name, key, group_id, topic, ts, value, NULL::BIGINT AS count,
        NULL::DOUBLE AS rate1, NULL::DOUBLE AS rate5, NULL::DOUBLE AS rate15, NULL::DOUBLE AS rate_mean

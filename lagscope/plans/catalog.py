@@ -547,3 +547,31 @@ def q_streaming_produce_window(spark, sf_dir):
                             f"{base}/window", f"{base}/ckpt-window")
     w = spark.read.parquet(f"{base}/window")
     return w.select(F.unix_seconds("window_start").alias("window_start"), "name", "key", "value")
+
+
+# --- end-to-end live pipeline (scrapes -> gauges -> carry-forward + meters -> sink) -----
+
+@register("live_pipeline", _sql("M", "snapshot", select=f"""
+SELECT 'PUTVAL localhost/kafka/' || name || '-' || key || ' interval=60 ' || ts || ':' || value AS line
+FROM g_snap WHERE ts <= {_last_scrape("M")}
+UNION ALL
+SELECT 'PUTVAL localhost/kafka/' || name || '-' || key || ' interval=60 '
+       || ts || ':' || count
+       || ',' || ts || ':' || printf('%f', rate1)
+       || ',' || ts || ':' || printf('%f', rate5)
+       || ',' || ts || ':' || printf('%f', rate15)
+       || ',' || ts || ':' || CASE WHEN rate_mean IS NULL THEN 'U' ELSE printf('%f', rate_mean) END
+FROM meters WHERE ts <= {_last_scrape("M")}"""))
+def q_live_pipeline(spark, sf_dir):
+    """Collectd lines delivered by the streaming pipeline, read back."""
+    from lagscope.sinks import runner as RUN
+    from lagscope.streaming import jobs as J
+    from lagscope.streaming.pipeline import run_live
+    fx, base, _tp = _landed(spark, sf_dir, "M")
+    J.land(fx.group_listings, f"{base}/listings", 6)
+    listings = J.read_stream(spark, f"{base}/listings", S.GROUP_LISTINGS, files_per_trigger=2)
+    tp = spark.read.schema(J.TP_SCHEMA).parquet(f"{base}/tp")
+    grid = MetricsJob.from_fixture(fx).produce
+    run_live(spark, listings, tp, fx.group_descriptions, fx.commits, grid, f"{base}/live",
+             RUN.renderer("collectd"), RUN.text_delivery(f"{base}/sink"))
+    return spark.read.text(f"{base}/sink").withColumnRenamed("value", "line")

@@ -158,17 +158,24 @@ CARRY_KEYS = ["name", "group_id", "topic", "partition"]
 
 def carry_forward_stream(gauges: DataFrame, grid: ProduceGrid, out: str, ckpt: str,
                          available_now: bool = True):
-    """``gauges``: streaming long-form gauge rows (``timestamp`` = scrape time)."""
+    """``gauges``: streaming long-form gauge rows (``timestamp`` = scrape time).
+
+    The series key is grouped with the partition as a string: a nullable
+    integer grouping column would reach the Python state handler as a float
+    whenever a batch mixes null and non-null partitions (topic-level and
+    partition-level gauges), and the state key would not round-trip."""
     _keyed_state_store(gauges.sparkSession)
     flat = gauges.select("name", F.col("meta.group").alias("group_id"),
-                         F.col("meta.topic").alias("topic"), F.col("meta.partition").alias("partition"),
+                         F.col("meta.topic").alias("topic"),
+                         F.col("meta.partition").cast("string").alias("partition"),
                          F.col("timestamp").alias("scrape_ts"), "value")
     proc = CarryForwardProcessor(CARRY_KEYS, grid.start, grid.interval, grid.count)
-    schema = ("name string, group_id string, topic string, partition int, "
+    schema = ("name string, group_id string, topic string, partition string, "
               "produce_ts timestamp, value bigint")
     snaps = (flat.withWatermark("scrape_ts", WATERMARK_DELAY)
              .groupBy(*CARRY_KEYS)
-             .transformWithStateInPandas(proc, schema, "Append", "EventTime"))
+             .transformWithStateInPandas(proc, schema, "Append", "EventTime")
+             .withColumn("partition", F.col("partition").cast("int")))
     w = snaps.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
     return _run(w.outputMode("append"), available_now)
 

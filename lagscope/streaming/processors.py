@@ -75,6 +75,20 @@ class _Grid:
         return self.start + self.interval * k if k < self.count else None
 
 
+def _key_values(key) -> list:
+    """Grouping-key values as plain Python values.  Keys built from a pandas
+    batch can carry an integer column as float (when the batch also holds
+    nulls) or numpy scalars; the output schema needs int / None."""
+    out = []
+    for v in key:
+        if isinstance(v, np.generic):
+            v = v.item()
+        if isinstance(v, float):
+            v = None if np.isnan(v) else int(v)
+        out.append(v)
+    return out
+
+
 def _seconds(series: pd.Series) -> np.ndarray:
     """Epoch seconds of a timestamp column (microsecond resolution)."""
     return pd.to_datetime(series, utc=True).dt.as_unit("us").astype("int64").to_numpy() / 1e6
@@ -156,7 +170,7 @@ class MeterProcessor(StatefulProcessor):
             st[2] = float(upto)
             n = len(cols["produce"])
             if n:
-                out = {k: [v] * n for k, v in zip(self.keys, key)}
+                out = {k: [v] * n for k, v in zip(self.keys, _key_values(key))}
                 out["produce_ts"] = pd.to_datetime((cols["produce"] * 1e6).astype("int64"), unit="us", utc=True)
                 for c in ("count", "rate1", "rate5", "rate15", "rate_mean"):
                     out[c] = cols[c]
@@ -225,7 +239,7 @@ class CarryForwardProcessor(StatefulProcessor):
             st[4], st[5] = pend_t[~fold].tolist(), pend_v[~fold].tolist()
             st[1] = upto
             if len(ticks):
-                out = {k: [v] * len(ticks) for k, v in zip(self.keys, key)}
+                out = {k: [v] * len(ticks) for k, v in zip(self.keys, _key_values(key))}
                 out["produce_ts"] = pd.to_datetime((ticks * 1e6).astype("int64"), unit="us", utc=True)
                 out["value"] = vals.astype("int64")
         self.state.update(tuple(st))

@@ -164,3 +164,25 @@ def test_bucketed_asof_matches_brute_force(spark):
             want = {o for ct, o in seen if ct == last}
         key = (ts.replace(tzinfo=None), p)
         assert got[key] in want, (ts, p)
+
+
+def test_failure_semantics_negative_delta_and_vanished_series(spark):
+    """Topic recreated (offsets drop): negative delta, count goes down.
+    Topic vanishes: its gauges keep their last value at later instants."""
+    from datetime import timedelta
+    from lagscope.operators import meters as M, snapshot as SN
+    rows = []
+    for i, newest in enumerate([100, 160, 20]):          # recreated at scrape 2
+        rows.append((T0 + timedelta(minutes=i), "t", 0, 0, newest, 1, [1], [1]))
+    rows.append((T0, "gone", 0, 0, 5, 1, [1], [1]))     # seen once, then vanishes
+    tp = spark.createDataFrame(rows, S.TOPIC_PARTITIONS)
+    d = {r["scrape_ts"]: r["delta"] for r in
+         M.offset_delta(M.topic_offset_sum(tp), M.TOPIC_KEYS).where("topic = 't'").collect()}
+    assert sorted(d.values()) == [-140, 60]
+    grid = M.ProduceGrid(int(T0.timestamp()) + 30, 60, 5)
+    snap = SN.snapshot_asof(G.partition_gauges(tp), grid)
+    gone = snap.where("key = 'gone-0' and name = 'kafka_topic_partition_offset_newest'")
+    assert sorted(r["value"] for r in gone.collect()) == [5] * 5
+    meter = M.meter_snapshots(M.offset_delta(M.topic_offset_sum(tp), M.TOPIC_KEYS), M.TOPIC_KEYS, grid)
+    counts = [r["count"] for r in meter.where("topic = 't'").orderBy("produce_ts").collect()]
+    assert counts[:2] == [60, -80]

@@ -86,47 +86,59 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
 
 
+COMMIT_KEYS = ["group_id", "topic", "partition"]
+
+
+def commits_for_batch(spark: SparkSession, commits: DataFrame, state_root: str, batch_id: int,
+                      latest) -> DataFrame:
+    """Commits needed to answer a micro-batch whose latest scrape is ``latest``:
+    the latest commit per partition carried by batch ``batch_id - 1`` plus the
+    commits after that batch's horizon.  Written to the checkpoint folder so
+    the batch's plans read it once."""
+    prev = f"{state_root}/batch_id={batch_id - 1}"
+    if batch_id > 0 and _path_exists(spark, prev):
+        carried = spark.read.parquet(prev)
+        horizon = carried.agg(F.max("horizon")).first()[0]
+        fresh = commits.where((F.col("commit_ts") > F.lit(horizon))
+                              & (F.col("commit_ts") <= F.lit(latest)))
+        known = carried.select("commit_ts", *COMMIT_KEYS, "offset").unionByName(fresh)
+    else:
+        known = commits.where(F.col("commit_ts") <= F.lit(latest))
+    return known.checkpoint(eager=True)
+
+
+def save_commit_state(known: DataFrame, state_root: str, batch_id: int, latest) -> None:
+    """Latest commit per partition up to ``latest``, for the next batch."""
+    (known.groupBy(*COMMIT_KEYS)
+     .agg(F.max_by("offset", "commit_ts").alias("offset"), F.max("commit_ts").alias("commit_ts"))
+     .withColumn("horizon", F.lit(latest).cast("timestamp"))
+     .write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}"))
+
+
 def lag_stream(listing_stream: DataFrame, topic_partitions: DataFrame, descriptions: DataFrame,
                commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
     """The group pass, driven by the stream of group listings (one per scrape,
     landed after that scrape's partition and group tables).
 
     Per micro-batch N: the batch's scrapes select their descriptions and
-    partition rows; committed offsets come from the commits newer than batch
-    N-1's horizon plus a carried table of the latest commit per partition
-    written by batch N-1, so a batch never re-reads the commit history.
-    Outputs and the carried table are written under ``batch_id=N`` folders:
-    a replayed batch rebuilds the same files from batch N-1's state.  Each
-    scrape's lag rows land whole in one file (downstream meters sum a scrape
-    at once)."""
-    keys = ["group_id", "topic", "partition"]
+    partition rows; committed offsets come from ``commits_for_batch`` (the
+    carried latest commit per partition + commits since the last horizon), so
+    a batch never re-reads the commit history.  Outputs and the carried table
+    are written under ``batch_id=N`` folders: a replayed batch rebuilds the
+    same files from batch N-1's state.  Each scrape's lag rows land whole in
+    one file (downstream meters sum a scrape at once)."""
     state_root = f"{out}/_commit_state"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         scrapes = batch.select("scrape_ts").distinct()
         latest = batch.agg(F.max("scrape_ts")).first()[0]
-        prev = f"{state_root}/batch_id={batch_id - 1}"
-        if batch_id > 0 and _path_exists(spark, prev):
-            carried = spark.read.parquet(prev)
-            horizon = carried.agg(F.max("horizon")).first()[0]
-            fresh = commits.where((F.col("commit_ts") > F.lit(horizon))
-                                  & (F.col("commit_ts") <= F.lit(latest)))
-            known = carried.select("commit_ts", *keys, "offset").unionByName(fresh)
-        else:
-            known = commits.where(F.col("commit_ts") <= F.lit(latest))
-        known = known.checkpoint(eager=True)
+        known = commits_for_batch(spark, commits, state_root, batch_id, latest)
         dsc = descriptions.join(scrapes, "scrape_ts", "left_semi")
         tp = topic_partitions.join(scrapes, "scrape_ts", "left_semi")
-        assigned = GR.assigned_partitions(batch, dsc)
-        committed = GR.committed_offset_scan(assigned, known)
-        lags = GR.lag_rows(committed, tp)
+        lags = GR.lag_rows(GR.committed_offset_scan(GR.assigned_partitions(batch, dsc), known), tp)
         lags.repartition("scrape_ts").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        state = (known.groupBy(*keys)
-                 .agg(F.max_by("offset", "commit_ts").alias("offset"),
-                      F.max("commit_ts").alias("commit_ts"))
-                 .withColumn("horizon", F.lit(latest).cast("timestamp")))
-        state.write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}")
+        save_commit_state(known, state_root, batch_id, latest)
 
     w = listing_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     return _run(w, available_now)

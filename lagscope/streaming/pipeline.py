@@ -32,33 +32,20 @@ def gauge_batches(listing_stream: DataFrame, topic_partitions: DataFrame, descri
                   commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
     """All ten gauges for the scrapes of each micro-batch of listings; the
     group pass reuses the lag job's carried commit state."""
-    keys = ["group_id", "topic", "partition"]
     state_root = f"{out}/_commit_state"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         scrapes = batch.select("scrape_ts").distinct()
         latest = batch.agg(F.max("scrape_ts")).first()[0]
-        prev = f"{state_root}/batch_id={batch_id - 1}"
-        if batch_id > 0 and J._path_exists(spark, prev):
-            carried = spark.read.parquet(prev)
-            horizon = carried.agg(F.max("horizon")).first()[0]
-            fresh = commits.where((F.col("commit_ts") > F.lit(horizon))
-                                  & (F.col("commit_ts") <= F.lit(latest)))
-            known = carried.select("commit_ts", *keys, "offset").unionByName(fresh)
-        else:
-            known = commits.where(F.col("commit_ts") <= F.lit(latest))
-        known = known.checkpoint(eager=True)
+        known = J.commits_for_batch(spark, commits, state_root, batch_id, latest)
         tp = topic_partitions.join(scrapes, "scrape_ts", "left_semi")
         dsc = descriptions.join(scrapes, "scrape_ts", "left_semi")
         lags = GR.lag_rows(GR.committed_offset_scan(GR.assigned_partitions(batch, dsc), known), tp)
         gauges = (G.topic_partition_gauge(tp).unionByName(G.partition_gauges(tp))
                   .unionByName(GR.group_gauges(lags)))
         gauges.repartition("timestamp").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        (known.groupBy(*keys)
-         .agg(F.max_by("offset", "commit_ts").alias("offset"), F.max("commit_ts").alias("commit_ts"))
-         .withColumn("horizon", F.lit(latest).cast("timestamp"))
-         .write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}"))
+        J.save_commit_state(known, state_root, batch_id, latest)
 
     w = listing_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     return J._run(w, available_now)

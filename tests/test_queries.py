@@ -42,3 +42,15 @@ def test_numbering_with_a_hot_key(spark):
     spread = (base.repartitionByRange(8, "topic", "partition", "ts", "event_id")
               .where(F.col("topic") == "hot").select(F.spark_partition_id()).distinct().count())
     assert spread > 1
+
+
+def test_numbering_without_broadcast(spark, monkeypatch):
+    """Above the run-table limit the runs are shuffle-joined, same result."""
+    from lagscope.operators import sequence
+    monkeypatch.setattr(sequence, "BROADCAST_RUN_LIMIT", 0)
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    base = ev.select(F.col("event_type").alias("topic"), F.lit(0).alias("partition"), "ts", "event_id")
+    got = sequence.number_within_key(base, ["topic", "partition"], ["ts", "event_id"], "offset")
+    ref = base.withColumn("offset", F.row_number().over(
+        Window.partitionBy("topic", "partition").orderBy("ts", "event_id")) - 1)
+    assert got.exceptAll(ref.select(*got.columns)).count() == 0 and got.count() == ref.count()

@@ -171,9 +171,16 @@ def log_lines(df: DataFrame) -> DataFrame:
 
 
 def _json_object(pairs: list[tuple[str, Column]]) -> Column:
-    """``{"k":v,...}`` in the given key order; entries whose text is null are left out."""
+    """``{"k":v,...}`` in the given key order; entries whose text is null are
+    left out.  ``<``, ``>``, ``&`` and U+2028/U+2029 are written as \\u escapes,
+    as the JSON encoder of the original sinks does (they can only occur inside
+    string values here, so replacing them in the whole object is safe)."""
     parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in pairs]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    obj = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    for ch, esc in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"),
+                    ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        obj = F.replace(obj, F.lit(ch), F.lit(esc))
+    return obj
 
 
 def _meta_json() -> Column:

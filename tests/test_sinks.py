@@ -130,3 +130,11 @@ def test_custom_writer_source(spark, metrics, tmpdir_path):
     for f in glob.glob(f"{tmpdir_path}/w-*.jsonl"):
         seen += [json.loads(x) for x in open(f)]
     assert sorted(x["name"] for x in seen) == sorted([S.TOPIC_RATE, S.LEADER, S.GROUP_LAG])
+
+
+def test_json_html_escaping(spark):
+    rows = [("gauge", "a<b>&c", "k", TS, (None, 0, "t&t"), 5, None, None, None, None, None)]
+    got = R.kafka_json(spark.createDataFrame(rows, S.METRICS)).first()["value"]
+    assert got == ('{"name":"a\\u003cb\\u003e\\u0026c","timestamp":"2024-01-01T00:01:30Z",'
+                   '"meta":{"partition":0,"topic":"t\\u0026t"},"value":5}')
+    assert json.loads(got)["name"] == "a<b>&c"

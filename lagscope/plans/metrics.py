@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from lagscope.operators import gauges as G, groups as GR, meters as M, snapshot as SN
 from lagscope.operators.meters import ProduceGrid
+from lagscope.session import checkpoint_dir
 from lagscope.sources.fixtures import Fixture, PRODUCE_PHASE_SECONDS
 
 
@@ -48,9 +49,15 @@ class MetricsJob:
 
     @cached_property
     def committed(self) -> DataFrame:
+        """Committed offset per scrape and assigned partition (scrapes ×
+        assigned partitions rows).  Written once to the checkpoint folder:
+        the group gauges and the group meter both read it."""
         if self.commits_asof:
-            return GR.committed_offset_scan(self.assigned, self.commits)
-        return GR.group_assignment_join(self.assigned, self.commits)
+            df = GR.committed_offset_scan(self.assigned, self.commits)
+        else:
+            df = GR.group_assignment_join(self.assigned, self.commits)
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
 
     @cached_property
     def lags(self) -> DataFrame:

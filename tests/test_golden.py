@@ -186,3 +186,31 @@ def test_failure_semantics_negative_delta_and_vanished_series(spark):
     meter = M.meter_snapshots(M.offset_delta(M.topic_offset_sum(tp), M.TOPIC_KEYS), M.TOPIC_KEYS, grid)
     counts = [r["count"] for r in meter.where("topic = 't'").orderBy("produce_ts").collect()]
     assert counts[:2] == [60, -80]
+
+
+def test_property_lag_plus_committed_is_newest(spark):
+    from lagscope.plans.metrics import MetricsJob
+    from lagscope.sources.fixtures import Fixture
+    job = MetricsJob.from_fixture(Fixture(spark, "/root/testdata/sf0.001", "H"))
+    tp = job.tp.select("scrape_ts", "topic", "partition", "newest_offset")
+    j = job.lags.join(tp, ["scrape_ts", "topic", "partition"], "left")
+    bad = j.where(F.col("lag") + F.col("committed") != F.coalesce("newest_offset", F.lit(0)))
+    assert bad.count() == 0
+
+
+def test_property_snapshots_never_lose_a_series(spark):
+    """Every series is reported at every produce instant from its first
+    observation to the end of the grid."""
+    from lagscope.plans.metrics import MetricsJob
+    from lagscope.sources.fixtures import Fixture
+    job = MetricsJob.from_fixture(Fixture(spark, "/root/testdata/sf0.001", "M"))
+    g = job.produce
+    first = job.gauges.groupBy("name", "key").agg(F.min(F.unix_seconds("timestamp")).alias("t0"))
+    expected = first.select("name", "key", F.greatest(
+        F.ceil((F.col("t0") - g.start) / g.interval), F.lit(0)).alias("k0")).select(
+        "name", "key", (F.lit(g.count) - F.col("k0")).alias("n"))
+    got = job.gauge_snapshot.groupBy("name", "key").agg(F.count(F.lit(1)).alias("n"))
+    diff = expected.join(got, ["name", "key"], "full").where(
+        F.coalesce(expected["n"], F.lit(-1)) != F.coalesce(got["n"], F.lit(-2)))
+    assert diff.count() == 0
+    assert got.count() == first.count()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if active is not None:
         for k, v in _REQUIRED.items():
             active.conf.set(k, v)
+        ship_package(active)
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
@@ -48,6 +50,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -67,3 +70,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lagscope`` importable on the executors' Python workers.
+
+    The meter kernels, stateful processors and the writer data source are
+    pickled by reference to this package, so workers must import it.  The
+    package's ``.py`` files are zipped once per application and registered
+    with ``SparkContext.addPyFile`` (the programmatic form of
+    ``--py-files``), which copies the archive to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="lagscope-pyfiles-"), "lagscope.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)

@@ -65,12 +65,28 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return r.parquet(path)
 
 
-def _run(writer, available_now: bool = True):
-    q = writer.trigger(availableNow=True).start() if available_now else writer.start()
-    if available_now:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise q.exception()
+def state_partitions(spark: SparkSession) -> int:
+    """Shuffle/state partitions for streaming queries: the cluster's task
+    slots.  A stateful query keeps this number for its whole life (it is
+    stored with the checkpoint), and AQE does not coalesce state partitions,
+    so it is chosen explicitly rather than inherited from a batch setting."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def _run(writer, available_now: bool = True, spark: SparkSession | None = None):
+    spark = spark or SparkSession.getActiveSession()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    # the query clones the session conf when it starts
+    spark.conf.set(key, str(state_partitions(spark)))
+    try:
+        q = writer.trigger(availableNow=True).start() if available_now else writer.start()
+        if available_now:
+            q.awaitTermination()
+            if q.exception() is not None:
+                raise q.exception()
+    finally:
+        spark.conf.set(key, old)
     return q
 
 

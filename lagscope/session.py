@@ -82,7 +82,8 @@ def ship_package(spark: SparkSession) -> None:
     pickled by reference to this package, so workers must import it.  The
     package's ``.py`` files are zipped once per application and registered
     with ``SparkContext.addPyFile`` (the programmatic form of
-    ``--py-files``), which copies the archive to every executor."""
+    ``--py-files``), which copies the archive to every executor, and put on
+    the ``PYTHONPATH`` of Python processes started on the driver."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
@@ -96,4 +97,10 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
+    # Python processes Spark starts on the driver (e.g. the stateful
+    # processor's schema pass) get their environment from here, not from
+    # the addPyFile list
+    env = sc.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    env["PYTHONPATH"] = os.pathsep.join([out] + parts)
     _SHIPPED.add(app)

@@ -26,12 +26,6 @@ def metric_key(*parts: str | Column) -> Column:
     return F.concat_ws("-", *[c.cast("string") for c in cols])
 
 
-def key_from_meta(meta_col: str = "meta") -> Column:
-    """Rebuild the key from the meta struct (group, topic, partition order)."""
-    m = F.col(meta_col)
-    return F.concat_ws("-", m["group"], m["topic"], m["partition"].cast("string"))
-
-
 def stringify_tags(meta_col: str = "meta") -> Column:
     """Meta struct → ``map<string,string>`` without null entries."""
     m = F.col(meta_col)
@@ -42,18 +36,3 @@ def stringify_tags(meta_col: str = "meta") -> Column:
     )
     return F.map_filter(full, lambda k, v: v.isNotNull())
 
-
-def epoch_seconds(ts: str | Column) -> Column:
-    """Whole unix seconds of a timestamp (floor), as bigint."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_seconds(c)
-
-
-def epoch_micros(ts: str | Column) -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c)
-
-
-def seconds_to_ts(sec: str | Column) -> Column:
-    c = F.col(sec) if isinstance(sec, str) else sec
-    return F.timestamp_seconds(c)

@@ -30,13 +30,6 @@ class ProduceGrid:
     interval: int
     count: int
 
-    def instants(self) -> np.ndarray:
-        return self.start + self.interval * np.arange(self.count, dtype=np.float64)
-
-    def frame(self, spark) -> DataFrame:
-        return spark.range(0, self.count).select(
-            F.timestamp_seconds(F.lit(self.start) + F.col("id") * self.interval).alias("produce_ts"))
-
     @property
     def end(self) -> int:
         return self.start + self.interval * (self.count - 1)

@@ -115,11 +115,6 @@ def with_float_text(df: DataFrame, cols: list[str], json_style: bool = True,
     return df.select(*keep, *out)
 
 
-def shortest_float_df(df: DataFrame, col: str, json_style: bool = True) -> DataFrame:
-    """Single-column convenience: ``df`` plus ``<col>__txt``."""
-    return with_float_text(df, [col], json_style)
-
-
 def _substr_from(s: Column, pos) -> Column:
     """Suffix of ``s`` starting at 1-based ``pos`` (Column or int)."""
     p = pos if isinstance(pos, Column) else F.lit(pos)

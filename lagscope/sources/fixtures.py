@@ -136,10 +136,6 @@ def topic_partitions_from_counts(counts: DataFrame, grid: Grid) -> DataFrame:
     return with_replica_state(filled, grid)
 
 
-def build_topic_partitions(base: DataFrame, grid: Grid) -> DataFrame:
-    return topic_partitions_from_counts(build_series_counts(base, grid), grid)
-
-
 def with_replica_state(df: DataFrame, grid: Grid) -> DataFrame:
     """Replica, ISR and leader columns from the (k + partition) rule."""
     p = F.col("partition")
@@ -280,8 +276,3 @@ class Fixture:
     @cached_property
     def commits(self) -> DataFrame:
         return build_commits(self.spark, self.grid, self.group_descriptions, self.topic_partitions)
-
-    def produce_ticks(self) -> DataFrame:
-        """Produce instants ``E0 + 30 + k*iv`` for k = 1..ticks."""
-        return self.spark.range(1, self.grid.ticks + 1).select(
-            F.timestamp_seconds(self.grid.produce_seconds(F.col("id"))).alias("produce_ts"))

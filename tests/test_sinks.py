@@ -138,3 +138,14 @@ def test_json_html_escaping(spark):
     assert got == ('{"name":"a\\u003cb\\u003e\\u0026c","timestamp":"2024-01-01T00:01:30Z",'
                    '"meta":{"partition":0,"topic":"t\\u0026t"},"value":5}')
     assert json.loads(got)["name"] == "a<b>&c"
+
+
+def test_ndjson_bulk_delivery(metrics, tmpdir_path):
+    out = os.path.join(tmpdir_path, "bulk")
+    RUN.batch_sink(RUN.renderer("elasticsearch"), RUN.ndjson_delivery(out))(metrics, 0)
+    lines = [x.rstrip("\n") for f in sorted(glob.glob(f"{out}/part-*")) for x in open(f)]
+    assert len(lines) == 6
+    # every action line is immediately followed by its document
+    for action, doc in zip(lines[0::2], lines[1::2]):
+        assert json.loads(action) == {"index": {"_index": "metrics", "_type": "doc"}}
+        assert "timestamp" in json.loads(doc)

@@ -105,7 +105,9 @@ def with_float_text(df: DataFrame, cols: list[str], json_style: bool = True,
             F.when(nd > 1, F.concat(F.lit("."), _substr_from(d, 2))).otherwise(F.lit("")),
             F.lit("e"),
             F.when(e < 0, F.concat(F.lit("-"), F.abs(e).cast("string")))
-            .otherwise(F.concat(F.lit("+"), F.lpad(e.cast("string"), 2, "0"))))
+            # at least two exponent digits; lpad alone would cut longer ones
+            .otherwise(F.concat(F.lit("+"), F.when(e < 10, F.lpad(e.cast("string"), 2, "0"))
+                                .otherwise(e.cast("string")))))
         ax = F.abs(x)
         use_sci = ((ax < 1e-6) | (ax >= 1e21)) if json_style else F.lit(False)
         body = F.when(d == "", F.lit("0")).when(use_sci, sci).otherwise(fixed)

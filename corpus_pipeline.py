@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagscope.llm import langid, mixing, simhash_dedup
+from lagscope.llm import decontaminate, langid, mixing, secrets, simhash_dedup
+from lagscope.llm.common import table
 from lagscope.session import checkpoint_dir
 
 
@@ -24,6 +25,16 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash_dedup.stage(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that a benchmark item leaked into go."""
+    return decontaminate.stage(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: secrets in the texts are masked."""
+    return secrets.stage(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: how many words the mix takes of each document."""
     return mixing.stage(docs)
@@ -32,6 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
     ("mix_sources", mix_sources),
 ]
 

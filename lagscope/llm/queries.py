@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagscope.llm import langid, mixing, simhash_dedup
+from lagscope.llm import decontaminate, langid, mixing, secrets, simhash_dedup
 from lagscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,10 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op4_simhash_dedup": _documents(simhash_dedup.op4),
+        "op5_decontaminate": lambda spark, sf_dir: decontaminate.op5(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op7_mix_sources": _documents(mixing.op7),
+        "op8_secret_scan": _documents(secrets.op8),
         "op9_language_id": _documents(langid.op9),
     }
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagscope.llm import decontaminate, langid, mixing, secrets, simhash_dedup
+from lagscope.llm import (decontaminate, langid, mixing, quality, secrets, simhash_dedup,
+                          toxicity)
 from lagscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,10 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": lambda spark, sf_dir: toxicity.op1(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op2_quality": lambda spark, sf_dir: quality.op2(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_simhash_dedup": _documents(simhash_dedup.op4),
         "op5_decontaminate": lambda spark, sf_dir: decontaminate.op5(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),

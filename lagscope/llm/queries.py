@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagscope.llm import (decontaminate, langid, mixing, quality, secrets, simhash_dedup,
-                          toxicity)
+from lagscope.llm import (chat, decontaminate, langid, mixing, quality, secrets,
+                          simhash_dedup, toxicity)
 from lagscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,10 @@ def queries() -> dict[str, Query]:
         "op7_mix_sources": _documents(mixing.op7),
         "op8_secret_scan": _documents(secrets.op8),
         "op9_language_id": _documents(langid.op9),
+        "op10_chat_format": lambda spark, sf_dir: chat.op10(
+            spark, table(spark, sf_dir, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": chat.ORACLE_SQL}

@@ -24,7 +24,6 @@ Columns are taken by name; others are not read."""
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -139,7 +138,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     spark = df.sparkSession
     id_type = dict(df.dtypes)[id_col]
     items = settle(benchmark.select(F.monotonically_increasing_id().alias("item"),
-                                    F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")))
+                                    F.col(item_col).cast("string").alias("item_id"),
+                                    F.col(item_text).alias("item_text")))
     seeds = settle(_item_seeds(items.withColumnRenamed("item_text", "text"), m))
     bits = spark.sparkContext.broadcast(_seed_map(seeds))
 
@@ -156,9 +156,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                         out.append((key, t, np.unique(h.view(np.int64)).tolist()))
             yield pd.DataFrame(out, columns=["id", "text", "seeds"])
 
-    found = settle(df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    found = settle(df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"))
                    .where(F.col("text").isNotNull())
-                   .mapInPandas(scan, f"id {id_type}, text string, seeds array<bigint>")
+                   .mapInPandas(scan, "id string, text string, seeds array<bigint>")
                    .withColumn("row", F.monotonically_increasing_id()))
     hits = found.select("row", F.explode("seeds").alias("seed"))
     common = hits.groupBy("seed").agg(F.count("*").alias("df"))
@@ -186,8 +186,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     item_type = dict(benchmark.dtypes)[item_col]
     return pairs.mapInPandas(
-        compare, f"id {id_type}, item_id {item_type}, coverage double, n_tiles long, longest long, "
-        "tiles array<struct<doc_start: long, item_start: long, length: long>>")
+        compare, "id string, item_id string, coverage double, n_tiles long, longest long, "
+        "tiles array<struct<doc_start: long, item_start: long, length: long>>").withColumns(
+        {"id": F.col("id").cast(id_type), "item_id": F.col("item_id").cast(item_type)})
 
 
 def op5(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

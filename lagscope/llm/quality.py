@@ -86,9 +86,9 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text: str = "text",
             s = pd.DataFrame([statistics(t) for t in b["text"]], columns=list(STATISTICS), index=b.index)
             yield pd.concat([b.drop(columns="text"), s], axis=1)
 
-    fields = [f"id {types[id_col]}", *(f"{c} {types[c]}" for c in keep), *(f"{c} double" for c in STATISTICS)]
-    return df.select(F.col(id_col).alias("id"), *keep, F.col(text).alias("text")).mapInPandas(
-        each, ", ".join(fields))
+    fields = ["id string", *(f"{c} {types[c]}" for c in keep), *(f"{c} double" for c in STATISTICS)]
+    return df.select(F.col(id_col).cast("string").alias("id"), *keep, F.col(text).alias("text")).mapInPandas(
+        each, ", ".join(fields)).withColumn("id", F.col("id").cast(types[id_col]))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lagscope.llm import (chat, decontaminate, langid, mixing, quality, secrets,
-                          simhash_dedup, toxicity)
+                          simhash_dedup, simprint, toxicity)
 from lagscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash_dedup": _documents(simhash_dedup.op4),
         "op5_decontaminate": lambda spark, sf_dir: decontaminate.op5(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op6_fingerprints": _documents(simprint.op6),
         "op7_mix_sources": _documents(mixing.op7),
         "op8_secret_scan": _documents(secrets.op8),
         "op9_language_id": _documents(langid.op9),

@@ -164,8 +164,9 @@ def score(df: DataFrame, model: Chain, id_col: str = "doc_id", text: str = "text
             p = [shared.value.predict(t) for t in b["text"]]
             yield pd.DataFrame(p, columns=list(model.categories), index=b.index).assign(id=b["id"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(
-        each, ", ".join([f"id {id_type}", *(f"{c} double" for c in model.categories)]))
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(
+        each, ", ".join(["id string", *(f"{c} double" for c in model.categories)])).withColumn(
+        "id", F.col("id").cast(id_type))
 
 
 def op1(documents: DataFrame, labels: DataFrame) -> DataFrame:

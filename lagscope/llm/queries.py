@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lagscope.llm import (chat, decontaminate, langid, mixing, quality, secrets,
-                          simhash_dedup, simprint, toxicity)
+                          simhash_dedup, simprint, toxicity, wrapper)
 from lagscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op2_quality": lambda spark, sf_dir: quality.op2(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op3_html_text": lambda spark, sf_dir: wrapper.op3(table(spark, sf_dir, "pages")),
         "op4_simhash_dedup": _documents(simhash_dedup.op4),
         "op5_decontaminate": lambda spark, sf_dir: decontaminate.op5(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),

@@ -126,22 +126,3 @@ def _empty() -> dict:
     z = np.zeros(0)
     return {"produce": z, "count": np.zeros(0, dtype=np.int64), "rate1": z, "rate5": z,
             "rate15": z, "rate_mean": z}
-
-
-def closed_form(t, d, T):
-    """Reference evaluation straight from the definition (tests only)."""
-    t = np.asarray(t, float)
-    d = np.asarray(d, float)
-    k = np.floor(t / TICK_SECONDS) + 1
-    K = np.floor(T / TICK_SECONDS)
-    kf = k.min()
-    out = []
-    for lam, alpha in zip(LAMBDAS, ALPHAS):
-        m = k <= K
-        w = np.where(k == kf, 1.0, alpha)
-        out.append(float(np.sum((w * d / TICK_SECONDS * np.exp(-lam * (K - k)))[m])))
-    seen = t <= T
-    count = float(d[seen].sum())
-    elapsed = max(t[seen].max(), TICK_SECONDS * K) - t.min()
-    mean = count / elapsed if elapsed > 0 else float("nan")
-    return count, out[0], out[1], out[2], mean

@@ -49,9 +49,10 @@ def assigned_partitions(listings: DataFrame, descriptions: DataFrame) -> DataFra
 def group_assignment_join(assigned: DataFrame, commits: DataFrame) -> DataFrame:
     """Committed offsets of assigned partitions when commits are stamped per
     scrape: equi left join; a partition without a commit reads −1.  Commits of
-    unassigned partitions never enter (semi-join effect)."""
-    c = commits.select(F.col("commit_ts").alias("scrape_ts"), "group_id", "topic", "partition",
-                       F.col("offset").alias("committed"))
+    unassigned partitions never enter (semi-join effect); of several commits
+    of one partition and instant the largest offset counts."""
+    c = (commits.groupBy(F.col("commit_ts").alias("scrape_ts"), "group_id", "topic", "partition")
+         .agg(F.max("offset").alias("committed")))
     return (assigned.join(c, ["scrape_ts", "group_id", "topic", "partition"], "left")
             .select("scrape_ts", "group_id", "topic", "partition",
                     F.coalesce("committed", F.lit(-1).cast("bigint")).alias("committed")))
@@ -60,6 +61,7 @@ def group_assignment_join(assigned: DataFrame, commits: DataFrame) -> DataFrame:
 def committed_offset_scan(assigned: DataFrame, commits: DataFrame,
                           bucket_seconds: int = 60) -> DataFrame:
     """Latest commit at or before each scrape (backward as-of), −1 if none.
+    Commits are ordered by (commit_ts, offset), so equal times have one answer.
 
     Exact and safe when one partition holds a large share of all commits:
     commits are split into time buckets of ``bucket_seconds``.
@@ -85,9 +87,9 @@ def committed_offset_scan(assigned: DataFrame, commits: DataFrame,
     within = (a.join(c, [*keys, "b"])
               .where(F.col("c_us") <= F.col("s_us"))
               .groupBy("scrape_ts", *keys)
-              .agg(F.max_by("offset", "c_us").alias("o_within")))
+              .agg(F.max(F.struct("c_us", "offset"))["offset"].alias("o_within")))
 
-    summary = c.groupBy(*keys, "b").agg(F.max_by("offset", "c_us").alias("o"))
+    summary = c.groupBy(*keys, "b").agg(F.max(F.struct("c_us", "offset"))["offset"].alias("o"))
     rows = a.select(*keys, "b", "scrape_ts", F.lit(None).cast("bigint").alias("o"),
                     F.lit(1).alias("is_scrape")).unionByName(
         summary.select(*keys, "b", F.lit(None).cast("timestamp").alias("scrape_ts"), "o",

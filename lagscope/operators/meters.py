@@ -25,10 +25,11 @@ GROUP_KEYS = ["group_id", "topic"]
 
 @dataclass(frozen=True)
 class ProduceGrid:
-    """Snapshot instants ``start + k * interval`` for k = 0 .. count-1 (seconds)."""
+    """Snapshot instants ``start + k * interval`` for k = 0 .. count-1 (seconds);
+    without a count (streams only) they go on for ever."""
     start: int
     interval: int
-    count: int
+    count: int | None = None
 
     @property
     def end(self) -> int:
@@ -76,7 +77,7 @@ def _snapshot_schema(keys: list[str], key_types: dict[str, T.DataType]) -> T.Str
     return T.StructType(fields)
 
 
-CHUNK_SECONDS = 6 * 3600
+CHUNK_SECONDS = 7 * 86400
 
 
 def _carry_horizon(ticks_per_chunk: int) -> int:
@@ -85,28 +86,15 @@ def _carry_horizon(ticks_per_chunk: int) -> int:
     return int(np.ceil(745.0 / (min(ewma.LAMBDAS) * ticks_per_chunk))) + 1
 
 
-MAX_ROWS_PER_GROUP = 100_000
-
-
 def meter_snapshots(deltas: DataFrame, keys: list[str], grid: ProduceGrid,
-                    chunk_seconds: int = CHUNK_SECONDS,
-                    max_rows_per_group: int = MAX_ROWS_PER_GROUP) -> DataFrame:
+                    chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Meter state (count, rate1/5/15, mean) at every produce instant from the
-    meter's first mark on.
-
-    The marks (one per key and scrape) are written once to the checkpoint
-    folder and measured: when the longest key history and the number of
-    produce instants are both within ``max_rows_per_group``, one kernel pass
-    per key is bounded and cheapest; otherwise the chunked scan below keeps
-    every task to one time chunk of one key.
-    """
+    meter's first mark on.  The marks (one per key and scrape) are written
+    once to the checkpoint folder; the chunked scan below reads them for its
+    summaries and its kernel."""
     marks = deltas.select(*keys, "scrape_ts", "delta")
     checkpoint_dir(deltas.sparkSession)
-    marks = marks.checkpoint(eager=True)
-    longest = marks.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest <= max_rows_per_group and grid.count <= max_rows_per_group:
-        return meter_snapshots_per_key(marks, keys, grid)
-    return meter_snapshots_chunked(marks, keys, grid, chunk_seconds)
+    return meter_snapshots_chunked(marks.checkpoint(eager=True), keys, grid, chunk_seconds)
 
 
 def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGrid,
@@ -217,30 +205,6 @@ def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGri
     return rows.groupBy(*keys, "c").applyInPandas(kernel, schema=schema)
 
 
-def meter_snapshots_per_key(deltas: DataFrame, keys: list[str], grid: ProduceGrid) -> DataFrame:
-    """One kernel pass per key over its whole history (for histories whose
-    size has been checked; also the reference for the chunked scan)."""
-    key_types = {f.name: f.dataType for f in deltas.schema.fields}
-    schema = _snapshot_schema(keys, key_types)
-    start, step, count = grid.start, grid.interval, grid.count
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        t = pdf["t"].to_numpy()
-        k0 = max(0, int(np.ceil((t[0] - start) / step)))
-        instants = start + step * np.arange(k0, count, dtype=np.float64)
-        cols, _ = ewma.advance(None, t, pdf["delta"].to_numpy(), instants)
-        n = len(cols["produce"])
-        out = {k: np.repeat(pdf[k].iloc[0], n) for k in keys}
-        out["produce_ts"] = pd.to_datetime((cols["produce"] * 1e6).astype("int64"), unit="us", utc=True)
-        for c in ("count", "rate1", "rate5", "rate15", "rate_mean"):
-            out[c] = cols[c]
-        return pd.DataFrame(out)
-
-    marks = deltas.select(*keys, (F.unix_micros("scrape_ts") / 1e6).alias("t"), "delta")
-    return marks.groupBy(*keys).applyInPandas(kernel, schema=schema)
-
-
 def meter_rows(snap: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Snapshot rows in the long ``metrics`` layout."""
     group = "group_id" if "group_id" in keys else None

@@ -25,3 +25,11 @@ def offset_bounds(records: DataFrame) -> DataFrame:
         F.min("offset").alias("oldest_offset"),
         (F.max("offset") + 1).alias("newest_offset"),
     )
+
+
+def unnumbered_offset_bounds(base: DataFrame) -> DataFrame:
+    """The same bounds of a log whose offsets are its rows' ranks from 0: the
+    newest is the number of rows.  One partial aggregate; no row is numbered,
+    sorted or written."""
+    return base.groupBy("topic", "partition").agg(
+        F.lit(0).cast("bigint").alias("oldest_offset"), F.count(F.lit(1)).alias("newest_offset"))

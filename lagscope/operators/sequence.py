@@ -16,8 +16,8 @@ numbered by a single core.  Instead:
 
 The ranged rows are written with ``checkpoint()`` (reliable, in the cluster's
 checkpoint folder) so both uses see identical ids and a lost executor cannot
-change them.  The run table is broadcast only when its measured row count is
-under a limit; otherwise it is shuffle-joined.
+change them.  How the run table is joined is left to the optimizer, which
+knows its measured size.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lagscope.session import checkpoint_dir
 
-BROADCAST_RUN_LIMIT = 2_000_000
-
 
 def number_within_key(df: DataFrame, keys: list[str], order: list[str], out: str,
                       num_partitions: int | None = None) -> DataFrame:
@@ -45,8 +43,6 @@ def number_within_key(df: DataFrame, keys: list[str], order: list[str], out: str
         F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.select("_pid", *keys, "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_base"))
-    if runs.count() <= BROADCAST_RUN_LIMIT:
-        runs = F.broadcast(runs)
     return (
         ranged.join(runs, ["_pid", *keys])
         .withColumn(out, F.col("_base") + F.col("_rid") - F.col("_first"))

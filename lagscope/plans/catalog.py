@@ -74,9 +74,9 @@ def _sql(grid: str, *parts: str, select: str) -> str:
     if "gauges" in parts or "snapshot" in parts:
         ctes.append(Q.gauge_ctes())
     if "meters" in parts or "snapshot" in parts:
-        ctes.append(Q.meter_ctes(grid))
+        ctes.append(Q.meter_ctes())
     if "snapshot" in parts:
-        ctes.append(Q.snapshot_ctes(grid))
+        ctes.append(Q.snapshot_ctes())
     return Q.with_ctes(*ctes) + "\n" + select
 
 
@@ -108,8 +108,8 @@ FROM (SELECT topic, partition,
              row_number() OVER (PARTITION BY topic, partition ORDER BY us, event_id) - 1 AS o
       FROM rec) GROUP BY topic, partition"""))
 def q_offset_bounds(spark, sf_dir):
-    """Whole-log bounds from ``records`` (offsets numbered without a per-key task)."""
-    return O.offset_bounds(Fixture(spark, sf_dir, "H").records)
+    """Whole-log bounds, without numbering the records."""
+    return O.unnumbered_offset_bounds(Fixture(spark, sf_dir, "H").base)
 
 
 @register("offset_bounds_asof", _sql("H", select="""
@@ -272,67 +272,67 @@ def q_meter_count(spark, sf_dir):
     return M.meter_count(d, M.TOPIC_KEYS).select(_ts("scrape_ts"), "topic", "count")
 
 
-# --- meters (grid M) ---------------------------------------------------------
+# --- meters  ---------------------------------------------------------
 
-@register("topic_rate_meter", _sql("M", "meters", select=f"SELECT {METER_COLS} FROM meters WHERE name = 'kafka_topic_rate'"))
+@register("topic_rate_meter", _sql("H", "meters", select=f"SELECT {METER_COLS} FROM meters WHERE name = 'kafka_topic_rate'"))
 def q_topic_rate_meter(spark, sf_dir):
-    return flat_meters(_job(spark, sf_dir, "M").topic_meter)
+    return flat_meters(_job(spark, sf_dir, "H").topic_meter)
 
 
-@register("consumer_group_rate_meter", _sql("M", "meters", select=f"""
+@register("consumer_group_rate_meter", _sql("H", "meters", select=f"""
 SELECT {METER_COLS} FROM meters WHERE name = 'kafka_consumer_group_rate'"""))
 def q_consumer_group_rate_meter(spark, sf_dir):
-    return flat_meters(_job(spark, sf_dir, "M").group_meter)
+    return flat_meters(_job(spark, sf_dir, "H").group_meter)
 
 
-@register("ewma_1_5_15", _sql("M", "meters", select="SELECT name, key, ts, rate1, rate5, rate15 FROM meters"))
+@register("ewma_1_5_15", _sql("H", "meters", select="SELECT name, key, ts, rate1, rate5, rate15 FROM meters"))
 def q_ewma(spark, sf_dir):
-    return flat_meters(_job(spark, sf_dir, "M").meters).select("name", "key", "ts", "rate1", "rate5", "rate15")
+    return flat_meters(_job(spark, sf_dir, "H").meters).select("name", "key", "ts", "rate1", "rate5", "rate15")
 
 
-@register("mean_rate", _sql("M", "meters", select="SELECT name, key, ts, count, rate_mean FROM meters"))
+@register("mean_rate", _sql("H", "meters", select="SELECT name, key, ts, count, rate_mean FROM meters"))
 def q_mean_rate(spark, sf_dir):
-    return flat_meters(_job(spark, sf_dir, "M").meters).select("name", "key", "ts", "count", "rate_mean")
+    return flat_meters(_job(spark, sf_dir, "H").meters).select("name", "key", "ts", "count", "rate_mean")
 
 
-@register("meter_snapshot", _sql("M", "meters", select=f"SELECT {METER_COLS} FROM meters"))
+@register("meter_snapshot", _sql("H", "meters", select=f"SELECT {METER_COLS} FROM meters"))
 def q_meter_snapshot(spark, sf_dir):
-    return flat_meters(_job(spark, sf_dir, "M").meters)
+    return flat_meters(_job(spark, sf_dir, "H").meters)
 
 
-# --- registry and snapshots (grid M) ---------------------------------------------
+# --- registry and snapshots  ---------------------------------------------
 
-@register("registry_latest", _sql("M", "gauges", select=f"""
+@register("registry_latest", _sql("H", "gauges", select=f"""
 SELECT name, key, group_id, topic, partition, ts, value FROM gauges
 QUALIFY row_number() OVER (PARTITION BY name, key ORDER BY ts DESC) = 1"""))
 def q_registry_latest(spark, sf_dir):
-    return flat_gauges(SN.registry_latest(_job(spark, sf_dir, "M").gauges))
+    return flat_gauges(SN.registry_latest(_job(spark, sf_dir, "H").gauges))
 
 
-@register("snapshot_asof", _sql("M", "snapshot", select=f"SELECT {GAUGE_COLS} FROM g_snap"))
+@register("snapshot_asof", _sql("H", "snapshot", select=f"SELECT {GAUGE_COLS} FROM g_snap"))
 def q_snapshot_asof(spark, sf_dir):
-    return flat_gauges(_job(spark, sf_dir, "M").gauge_snapshot)
+    return flat_gauges(_job(spark, sf_dir, "H").gauge_snapshot)
 
 
-@register("gauge_snapshot", _sql("M", "snapshot", select=f"""
+@register("gauge_snapshot", _sql("H", "snapshot", select=f"""
 SELECT name, key, ts, value FROM g_snap WHERE group_id IS NULL"""))
 def q_gauge_snapshot(spark, sf_dir):
     """Frozen gauge values at produce time (the partition and topic gauges)."""
-    snap = _job(spark, sf_dir, "M").gauge_snapshot
+    snap = _job(spark, sf_dir, "H").gauge_snapshot
     return snap.where(F.col("meta.group").isNull()).select("name", "key", _ts("timestamp"), "value")
 
 
-@register("snapshot_timestamp", _sql("M", "snapshot", select="""
+@register("snapshot_timestamp", _sql("H", "snapshot", select="""
 SELECT ts, name, CAST(count(*) AS BIGINT) AS series FROM (
   SELECT ts, name FROM g_snap UNION ALL SELECT ts, name FROM meters)
 GROUP BY ts, name"""))
 def q_snapshot_timestamp(spark, sf_dir):
     """Snapshot rows carry the produce instant: series reported per instant."""
-    m = _job(spark, sf_dir, "M").metrics
+    m = _job(spark, sf_dir, "H").metrics
     return m.groupBy(_ts("timestamp"), "name").agg(F.count(F.lit(1)).alias("series"))
 
 
-@register("snapshot_union", _sql("M", "snapshot", select="""
+@register("snapshot_union", _sql("H", "snapshot", select="""
 SELECT 'gauge' AS kind, name, key, group_id, topic, ts, value, NULL::BIGINT AS count,
        NULL::DOUBLE AS rate1, NULL::DOUBLE AS rate5, NULL::DOUBLE AS rate15, NULL::DOUBLE AS rate_mean
 FROM g_snap
@@ -340,50 +340,56 @@ UNION ALL
 SELECT 'meter', name, key, group_id, topic, ts, NULL::BIGINT, count, rate1, rate5, rate15, rate_mean
 FROM meters"""))
 def q_snapshot_union(spark, sf_dir):
-    m = _job(spark, sf_dir, "M").metrics
+    m = _job(spark, sf_dir, "H").metrics
     return m.select("kind", "name", "key", F.col("meta.group").alias("group_id"),
                     F.col("meta.topic").alias("topic"), _ts("timestamp"), "value", "count",
                     _r6("rate1"), _r6("rate5"), _r6("rate15"), _r6("rate_mean"))
 
 
-@register("kind_dispatch", _sql("M", "snapshot", select="""
+@register("kind_dispatch", _sql("H", "snapshot", select="""
 SELECT kind, name, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'gauge' AS kind, name FROM g_snap UNION ALL SELECT 'meter', name FROM meters)
 GROUP BY kind, name"""))
 def q_kind_dispatch(spark, sf_dir):
-    m = R.dispatch(_job(spark, sf_dir, "M").metrics)
+    m = R.dispatch(_job(spark, sf_dir, "H").metrics)
     return m.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- scalar functions ----------------------------------------------------------
 
-@register("metric_key", _sql("M", "gauges", select="""
+@register("metric_key", _sql("H", "gauges", select="""
 SELECT DISTINCT name, key FROM gauges"""))
 def q_metric_key(spark, sf_dir):
-    return _job(spark, sf_dir, "M").gauges.select("name", "key").distinct()
+    return _job(spark, sf_dir, "H").gauges.select("name", "key").distinct()
 
 
-@register("stringify_tags", _sql("M", "gauges", select="""
+@register("stringify_tags", _sql("H", "gauges", select="""
 SELECT DISTINCT name, key,
   concat_ws(',', CASE WHEN group_id IS NOT NULL THEN 'group=' || group_id END,
                  CASE WHEN partition IS NOT NULL THEN 'partition=' || partition END,
                  'topic=' || topic) AS tags
 FROM gauges"""))
 def q_stringify_tags(spark, sf_dir):
-    g = _job(spark, sf_dir, "M").gauges.select("name", "key", stringify_tags("meta").alias("m"))
+    g = _job(spark, sf_dir, "H").gauges.select("name", "key", stringify_tags("meta").alias("m"))
     pairs = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return g.select("name", "key", F.array_join(pairs, ",").alias("tags")).distinct()
 
 
-# --- sink payloads (grid M, gauges; meter payloads are checked byte-exact in tests) ----
+# --- sink payloads (gauges and meters; rates are rendered rounded to 6 places, so
+# --- that two ways of summing them give one text) ---------------------------------
 
-def _gauge_metrics(spark, sf_dir) -> DataFrame:
-    snap = _job(spark, sf_dir, "M").gauge_snapshot
-    return snap.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
-        ("count", "bigint"), ("rate1", "double"), ("rate5", "double"), ("rate15", "double"),
-        ("rate_mean", "double"))])
+def _sink_metrics(spark, sf_dir) -> DataFrame:
+    m = _job(spark, sf_dir, "H").metrics
+    return m.withColumns({c: _r6(c) for c in ("rate1", "rate5", "rate15", "rate_mean")})
 
 
+_SINK_ROWS = """
+FROM (SELECT 'gauge' AS kind, name, key, group_id, topic, partition, ts, value, NULL::BIGINT AS count,
+             NULL::DOUBLE AS rate1, NULL::DOUBLE AS rate5, NULL::DOUBLE AS rate15, NULL::DOUBLE AS rate_mean
+      FROM g_snap
+      UNION ALL
+      SELECT 'meter', name, key, group_id, topic, NULL::INTEGER, ts, NULL::BIGINT, count, rate1, rate5, rate15,
+             rate_mean FROM meters)"""
 _TS_GO = "strftime(epoch_ms(ts * 1000), '%Y-%m-%d %H:%M:%S') || ' +0000 UTC'"
 _TS_RFC = "strftime(epoch_ms(ts * 1000), '%Y-%m-%dT%H:%M:%SZ')"
 _META_JSON = """'{' || concat_ws(',',
@@ -396,182 +402,231 @@ _TAGS = """concat_ws('{sep}',
      'topic{eq}' || topic)"""
 
 
-@register("log_sink", _sql("M", "snapshot", select=f"""
-SELECT 'consumerGroupOffsetMetrics {{BaseMetric:{{Name:' || name || ' Key:' || key || ' Timestamp:' || {_TS_GO}
-       || ' Meta:map[' || {_TAGS.format(sep=' ', eq=':')} || ']}} Gauge:' || value || '}}' AS line
-FROM g_snap"""))
+def _num(c: str) -> str:
+    """Shortest decimal text of a number of 6 places at most."""
+    return f"regexp_replace(regexp_replace(printf('%.6f', {c}), '0+$', ''), '\\.$', '')"
+
+
+def _json_rates(zeros: bool) -> str:
+    cols = [*((c, _num(c)) for c in ("rate1", "rate5", "rate15", "rate_mean")), ("count", "count::VARCHAR")]
+    cond = "" if zeros else " AND {c} <> 0"
+    return ", ".join(f"CASE WHEN {c} IS NOT NULL{cond.format(c=c)} THEN '\"{c}\":' || {t} END" for c, t in cols)
+
+
+@register("log_sink", _sql("H", "snapshot", select=f"""
+SELECT CASE kind WHEN 'gauge' THEN 'consumerGroupOffsetMetrics' ELSE 'offsetMetrics' END
+       || ' {{BaseMetric:{{Name:' || name || ' Key:' || key || ' Timestamp:' || {_TS_GO}
+       || ' Meta:map[' || {_TAGS.format(sep=' ', eq=':')} || ']}} '
+       || CASE kind WHEN 'gauge' THEN 'Gauge:' || value || '}}'
+          ELSE 'Meter:{{Count:' || count || ' Rate1:' || {_num('rate1')} || ' Rate5:' || {_num('rate5')}
+               || ' Rate15:' || {_num('rate15')} || ' RateMean:' || coalesce({_num('rate_mean')}, 'NaN') || '}}}}' END
+       AS line {_SINK_ROWS}"""))
 def q_log_sink(spark, sf_dir):
-    return R.log_lines(_gauge_metrics(spark, sf_dir))
+    return R.log_lines(_sink_metrics(spark, sf_dir))
 
 
-@register("kafka_json_sink", _sql("M", "snapshot", select=f"""
+@register("kafka_json_sink", _sql("H", "snapshot", select=f"""
 SELECT 'metrics' AS topic,
-       '{{"name":"' || name || '","timestamp":"' || {_TS_RFC} || '","meta":' || {_META_JSON}
-       || ',"value":' || value || '}}' AS value
-FROM g_snap"""))
+       '{{"name":"' || name || '","timestamp":"' || {_TS_RFC} || '","meta":' || {_META_JSON} || ','
+       || CASE kind WHEN 'gauge' THEN '"value":' || value ELSE concat_ws(',', {_json_rates(True)}) END || '}}' AS value
+{_SINK_ROWS}"""))
 def q_kafka_json_sink(spark, sf_dir):
-    return R.kafka_json(_gauge_metrics(spark, sf_dir))
+    return R.kafka_json(_sink_metrics(spark, sf_dir))
 
 
-@register("elasticsearch_doc_sink", _sql("M", "snapshot", select=f"""
+@register("elasticsearch_doc_sink", _sql("H", "snapshot", select=f"""
 SELECT '{{"index":{{"_index":"metrics","_type":"doc"}}}}' AS action,
-       '{{"name":"' || name || '","timestamp":"' || {_TS_RFC} || '","meta":' || {_META_JSON}
-       || CASE WHEN value <> 0 THEN ',"value":' || value ELSE '' END || '}}' AS document
-FROM g_snap"""))
+       '{{' || concat_ws(',', '"name":"' || name || '"', '"timestamp":"' || {_TS_RFC} || '"', '"meta":' || {_META_JSON},
+                        {_json_rates(False)}, CASE WHEN value <> 0 THEN '"value":' || value END) || '}}' AS document
+{_SINK_ROWS}"""))
 def q_elasticsearch_doc_sink(spark, sf_dir):
-    return R.elasticsearch_docs(_gauge_metrics(spark, sf_dir))
+    return R.elasticsearch_docs(_sink_metrics(spark, sf_dir))
 
 
-@register("collectd_putval_sink", _sql("M", "snapshot", select="""
-SELECT 'PUTVAL localhost/kafka/' || name || '-' || key || ' interval=60 ' || ts || ':' || value AS line
-FROM g_snap"""))
+_PUTVAL = f"""
+SELECT 'PUTVAL localhost/kafka/' || name || '-' || key || ' interval=60 ' || CASE kind
+       WHEN 'gauge' THEN ts || ':' || value
+       ELSE ts || ':' || count || ',' || ts || ':' || printf('%f', rate1) || ',' || ts || ':' || printf('%f', rate5)
+            || ',' || ts || ':' || printf('%f', rate15)
+            || ',' || ts || ':' || CASE WHEN rate_mean IS NULL THEN 'U' ELSE printf('%f', rate_mean) END END AS line
+{_SINK_ROWS}"""
+
+
+@register("collectd_putval_sink", _sql("H", "snapshot", select=_PUTVAL))
 def q_collectd_putval_sink(spark, sf_dir):
-    return R.collectd_lines(_gauge_metrics(spark, sf_dir))
+    return R.collectd_lines(_sink_metrics(spark, sf_dir))
 
 
-@register("influx_point_sink", _sql("M", "snapshot", select=f"""
-SELECT name || ',' || {_TAGS.format(sep=',', eq='=')} || ' value=' || value || 'i ' || ts AS line
-FROM g_snap"""))
+@register("influx_point_sink", _sql("H", "snapshot", select=f"""
+SELECT name || ',' || {_TAGS.format(sep=',', eq='=')} || ' ' || CASE kind WHEN 'gauge' THEN 'value=' || value || 'i'
+       ELSE concat_ws(',', 'count=' || count || 'i', 'rate1=' || {_num('rate1')}, 'rate15=' || {_num('rate15')},
+                      'rate5=' || {_num('rate5')}, 'rate_mean=' || {_num('rate_mean')}) END || ' ' || ts AS line
+{_SINK_ROWS}"""))
 def q_influx_point_sink(spark, sf_dir):
-    return R.influx_lines(_gauge_metrics(spark, sf_dir))
+    return R.influx_lines(_sink_metrics(spark, sf_dir))
 
 
-@register("custom_writer_sink", _sql("M", "snapshot", select=f"""
-SELECT name, ts, {_TAGS.format(sep=',', eq='=')} AS tags, value FROM g_snap"""))
+@register("custom_writer_sink", _sql("H", "snapshot", select=f"""
+SELECT name, ts, {_TAGS.format(sep=',', eq='=')} AS tags, value, count, rate1, rate5, rate15, rate_mean {_SINK_ROWS}"""))
 def q_custom_writer_sink(spark, sf_dir):
-    rec = R.writer_records(_gauge_metrics(spark, sf_dir))
+    rec = R.writer_records(_sink_metrics(spark, sf_dir))
     pairs = F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return rec.select("name", _ts("timestamp"), F.array_join(pairs, ",").alias("tags"), "value")
+    return rec.select("name", _ts("timestamp"), F.array_join(pairs, ",").alias("tags"), "value", "count",
+                      "rate1", "rate5", "rate15", "rate_mean")
+
+
+@register("batch_sink_runner", _sql("H", "snapshot", select=_PUTVAL))
+def q_batch_sink_runner(spark, sf_dir):
+    """A batch of all metrics through the sink runner: rendered, delivered,
+    closed, delivered again (a replay changes nothing) and read back."""
+    from lagscope.sinks import runner as RUN
+    from lagscope.streaming.jobs import work_dir
+    out, closed = work_dir(spark, "runner"), []
+    batch = _sink_metrics(spark, sf_dir)
+    with RUN.batch_sink(RUN.renderer("collectd"), RUN.text_delivery(out),
+                        on_close=lambda: closed.append(True)) as sink:
+        for _ in range(2):
+            sink(batch, 0)
+    if closed != [True]:
+        raise RuntimeError("the sink was not closed once")
+    return spark.read.text(out).select(F.col("value").alias("line"))
 
 
 # --- produce window (tumbling emission interval) ---------------------------------------
 
-PRODUCE_WINDOW_SECONDS = 300
+PRODUCE_WINDOW_SECONDS = 6 * 3600
 
 
-@register("produce_window", _sql("M", "gauges", select=f"""
+@register("produce_window", _sql("H", "gauges", select=f"""
 SELECT ts // {PRODUCE_WINDOW_SECONDS} * {PRODUCE_WINDOW_SECONDS} AS window_start, name, key,
        arg_max(value, ts) AS value
 FROM gauges GROUP BY 1, 2, 3"""))
 def q_produce_window(spark, sf_dir):
     from lagscope.streaming.jobs import produce_window
-    w = produce_window(_job(spark, sf_dir, "M").gauges, PRODUCE_WINDOW_SECONDS)
+    w = produce_window(_job(spark, sf_dir, "H").gauges, PRODUCE_WINDOW_SECONDS)
     return w.select(F.unix_seconds("window_start").alias("window_start"), "name", "key", "value")
 
 
-# --- streaming (files landed per scrape, availableNow, read back) -------------------------
+# --- streaming (slices landed, availableNow, a closing scrape, read back) -----------------
 
-def _last_scrape(grid: str) -> int:
-    from lagscope.sources.fixtures import E0, GRIDS
-    g = GRIDS[grid]
-    return E0 + g.ticks * g.interval
+SLICES = 6
+CLOSING_TOPIC = "__closing__"
 
 
-def _landed(spark, sf_dir, grid, files=6):
-    from lagscope.streaming import jobs as J
-    fx = Fixture(spark, sf_dir, grid)
-    base = J.work_dir(spark, f"land-{grid}")
-    J.land(fx.topic_partitions, f"{base}/tp", files)
-    return fx, base, J.read_stream(spark, f"{base}/tp", J.TP_SCHEMA, files_per_trigger=2)
+class _Landed:
+    """Scrape times and partition rows of the fixture, landed in slices, then a
+    closing scrape late enough for the watermark to pass ``until``."""
 
+    def __init__(self, spark, sf_dir, until: Callable[[MetricsJob], int]):
+        import datetime as dt
+        from lagscope.streaming import jobs as J
+        self.fx = fx = Fixture(spark, sf_dir, "H")
+        self.job = MetricsJob.from_fixture(fx)
+        self.base = base = J.work_dir(spark, "landed")
+        scrapes = fx.topic_partitions.select("scrape_ts").distinct()
+        landing = J.Landing.over(scrapes, SLICES)
+        self.delay = landing.delay
+        J.land(fx.topic_partitions, f"{base}/tp", landing)
+        J.land(scrapes, f"{base}/scrapes", landing)
+        closing = dt.datetime.fromtimestamp(until(self.job) + int(landing.delay.split()[0]) + 1, dt.timezone.utc)
+        J.land_row(spark, (closing, CLOSING_TOPIC, 0, 0, 0, 1, [1], [1]), J.TP_SCHEMA, f"{base}/tp")
+        J.land_row(spark, (closing,), J.SCRAPE_SCHEMA, f"{base}/scrapes")
+        self.tp = spark.read.schema(J.TP_SCHEMA).parquet(f"{base}/tp")
+
+    def stream(self, spark, name, schema):
+        from lagscope.streaming import jobs as J
+        return J.read_stream(spark, f"{self.base}/{name}", schema, files_per_trigger=4)
+
+    def group_tables(self):
+        return self.fx.group_listings, self.tp, self.fx.group_descriptions, self.fx.commits
+
+    def gauges(self, spark) -> str:
+        """All ten gauges, published by the live pipeline's first stage."""
+        from lagscope.streaming import jobs as J, pipeline as P
+        P.gauge_batches(self.stream(spark, "scrapes", J.SCRAPE_SCHEMA), *self.group_tables(),
+                        f"{self.base}/gauges", f"{self.base}/ckpt-gauges")
+        return f"{self.base}/gauges"
+
+    @property
+    def open_grid(self) -> M.ProduceGrid:
+        """The produce instants without an end, as a live run has them."""
+        return M.ProduceGrid(self.job.produce.start, self.job.produce.interval)
 
-def _run_lag_stream(spark, sf_dir, grid):
-    from lagscope.streaming import jobs as J
-    fx, base, _tp_stream = _landed(spark, sf_dir, grid)
-    J.land(fx.group_listings, f"{base}/listings", 6)
-    listings = J.read_stream(spark, f"{base}/listings", S.GROUP_LISTINGS, files_per_trigger=2)
-    tp = spark.read.schema(J.TP_SCHEMA).parquet(f"{base}/tp")
-    J.lag_stream(listings, tp, fx.group_descriptions, fx.commits, f"{base}/lags", f"{base}/ckpt-lags")
-    return fx, base
+
+def _last_instant(job: MetricsJob) -> int:
+    return job.produce.end
+
+
+def _last_window(job: MetricsJob) -> int:
+    return (job.produce.end // PRODUCE_WINDOW_SECONDS + 1) * PRODUCE_WINDOW_SECONDS
+
+
+def _without_closing(df: DataFrame) -> DataFrame:
+    return df.where(F.col("topic") != CLOSING_TOPIC)
 
 
 @register("streaming_gauges", _sql("H", "gauges", select=f"SELECT {GAUGE_COLS} FROM g_part"))
 def q_streaming_gauges(spark, sf_dir):
     from lagscope.streaming import jobs as J
-    _fx, base, tp_stream = _landed(spark, sf_dir, "H")
-    J.gauge_stream(tp_stream, f"{base}/gauges", f"{base}/ckpt-gauges")
-    return flat_gauges(spark.read.parquet(f"{base}/gauges"))
+    at = _Landed(spark, sf_dir, _last_instant)
+    J.gauge_stream(at.stream(spark, "tp", J.TP_SCHEMA), f"{at.base}/gauges", f"{at.base}/ckpt-gauges")
+    return _without_closing(flat_gauges(spark.read.parquet(f"{at.base}/gauges")))
 
 
 @register("streaming_lag", _sql("H", "gauges", select=f"SELECT {GAUGE_COLS} FROM g_group"))
 def q_streaming_lag(spark, sf_dir):
-    _fx, base = _run_lag_stream(spark, sf_dir, "H")
-    lags = spark.read.parquet(f"{base}/lags/batch_id=*").drop("batch_id")
+    from lagscope.streaming import jobs as J
+    at = _Landed(spark, sf_dir, _last_instant)
+    J.lag_stream(at.stream(spark, "scrapes", J.SCRAPE_SCHEMA), *at.group_tables(), f"{at.base}/lags",
+                 f"{at.base}/ckpt-lags")
+    lags = spark.read.parquet(f"{at.base}/lags/batch_id=*")
     return flat_gauges(GR.group_gauges(lags))
 
 
-@register("streaming_meters", _sql("M", "meters", select=f"""
-SELECT {METER_COLS} FROM meters WHERE ts <= {_last_scrape("M")}"""))
+@register("streaming_meters", _sql("H", "meters", select=f"SELECT {METER_COLS} FROM meters"))
 def q_streaming_meters(spark, sf_dir):
-    from lagscope.streaming import jobs as J
-    fx, base = _run_lag_stream(spark, sf_dir, "M")
-    grid = MetricsJob.from_fixture(fx).produce
-    tp_stream = J.read_stream(spark, f"{base}/tp", J.TP_SCHEMA, files_per_trigger=2)
-    J.topic_meter_stream(tp_stream, grid, f"{base}/m-topic", f"{base}/ckpt-m-topic")
-    lag_stream = (spark.readStream.schema(J.LAG_SCHEMA)
-                  .option("maxFilesPerTrigger", 2).parquet(f"{base}/lags/batch_id=*"))
-    J.group_meter_stream(lag_stream, grid, f"{base}/m-group", f"{base}/ckpt-m-group")
-    topic = M.meter_rows(spark.read.parquet(f"{base}/m-topic"), S.TOPIC_RATE, M.TOPIC_KEYS)
-    group = M.meter_rows(spark.read.parquet(f"{base}/m-group"), S.GROUP_RATE, M.GROUP_KEYS)
+    from lagscope.streaming import pipeline as P
+    at = _Landed(spark, sf_dir, _last_instant)
+    P.meter_streams(spark, at.gauges(spark), at.delay, at.open_grid, at.base)
+    topic = M.meter_rows(spark.read.parquet(f"{at.base}/m-topic"), S.TOPIC_RATE, M.TOPIC_KEYS)
+    group = M.meter_rows(spark.read.parquet(f"{at.base}/m-group"), S.GROUP_RATE, M.GROUP_KEYS)
     return flat_meters(topic.unionByName(group))
 
 
-_PART_NAMES = "', '".join([S.OFFSET_NEWEST, S.OFFSET_OLDEST, S.LEADER, S.REPLICAS,
-                           S.IN_SYNC_REPLICAS, S.LEADER_IS_PREFERRED, S.UNDER_REPLICATED])
-
-
-@register("streaming_carry_forward", _sql("M", "snapshot", select=f"""
-SELECT {GAUGE_COLS} FROM g_snap
-WHERE name IN ('{_PART_NAMES}') AND ts <= {_last_scrape("M")}"""))
+@register("streaming_carry_forward", _sql("H", "snapshot", select=f"SELECT {GAUGE_COLS} FROM g_snap"))
 def q_streaming_carry_forward(spark, sf_dir):
-    from lagscope.streaming import jobs as J
-    fx, base, tp_stream = _landed(spark, sf_dir, "M")
-    grid = MetricsJob.from_fixture(fx).produce
-    J.carry_forward_stream(G.partition_gauges(tp_stream), grid, f"{base}/carry", f"{base}/ckpt-carry")
-    out = spark.read.parquet(f"{base}/carry")
-    key = F.concat_ws("-", "topic", F.col("partition").cast("string"))
+    from lagscope.streaming import jobs as J, pipeline as P
+    at = _Landed(spark, sf_dir, _last_instant)
+    g = P.gauge_rows_stream(spark, at.gauges(spark), at.delay)
+    J.carry_forward_stream(g, at.open_grid, f"{at.base}/carry", f"{at.base}/ckpt-carry")
+    out = spark.read.parquet(f"{at.base}/carry")
+    key = F.concat_ws("-", "group_id", "topic", F.col("partition").cast("string"))
     return out.select("name", key.alias("key"), "group_id", "topic", "partition",
                       _ts("produce_ts"), "value")
 
 
-@register("streaming_produce_window", _sql("M", "gauges", select=f"""
-SELECT * FROM (
-  SELECT ts // {PRODUCE_WINDOW_SECONDS} * {PRODUCE_WINDOW_SECONDS} AS window_start, name, key,
-         arg_max(value, ts) AS value
-  FROM g_part GROUP BY 1, 2, 3)
-WHERE window_start + {PRODUCE_WINDOW_SECONDS} <= {_last_scrape("M")}"""))
+@register("streaming_produce_window", _sql("H", "gauges", select=f"""
+SELECT ts // {PRODUCE_WINDOW_SECONDS} * {PRODUCE_WINDOW_SECONDS} AS window_start, name, key,
+       arg_max(value, ts) AS value
+FROM gauges GROUP BY 1, 2, 3"""))
 def q_streaming_produce_window(spark, sf_dir):
-    from lagscope.streaming import jobs as J
-    _fx, base, tp_stream = _landed(spark, sf_dir, "M")
-    J.produce_window_stream(G.partition_gauges(tp_stream), PRODUCE_WINDOW_SECONDS,
-                            f"{base}/window", f"{base}/ckpt-window")
-    w = spark.read.parquet(f"{base}/window")
+    from lagscope.streaming import jobs as J, pipeline as P
+    at = _Landed(spark, sf_dir, _last_window)
+    J.produce_window_stream(P.gauge_rows_stream(spark, at.gauges(spark), at.delay), PRODUCE_WINDOW_SECONDS,
+                            f"{at.base}/window", f"{at.base}/ckpt-window")
+    w = spark.read.parquet(f"{at.base}/window")
     return w.select(F.unix_seconds("window_start").alias("window_start"), "name", "key", "value")
 
 
 # --- end-to-end live pipeline (scrapes -> gauges -> carry-forward + meters -> sink) -----
 
-@register("live_pipeline", _sql("M", "snapshot", select=f"""
-SELECT 'PUTVAL localhost/kafka/' || name || '-' || key || ' interval=60 ' || ts || ':' || value AS line
-FROM g_snap WHERE ts <= {_last_scrape("M")}
-UNION ALL
-SELECT 'PUTVAL localhost/kafka/' || name || '-' || key || ' interval=60 '
-       || ts || ':' || count
-       || ',' || ts || ':' || printf('%f', rate1)
-       || ',' || ts || ':' || printf('%f', rate5)
-       || ',' || ts || ':' || printf('%f', rate15)
-       || ',' || ts || ':' || CASE WHEN rate_mean IS NULL THEN 'U' ELSE printf('%f', rate_mean) END
-FROM meters WHERE ts <= {_last_scrape("M")}"""))
+@register("live_pipeline", _sql("H", "snapshot", select=_PUTVAL))
 def q_live_pipeline(spark, sf_dir):
     """Collectd lines delivered by the streaming pipeline, read back."""
     from lagscope.sinks import runner as RUN
     from lagscope.streaming import jobs as J
     from lagscope.streaming.pipeline import run_live
-    fx, base, _tp = _landed(spark, sf_dir, "M")
-    J.land(fx.group_listings, f"{base}/listings", 6)
-    listings = J.read_stream(spark, f"{base}/listings", S.GROUP_LISTINGS, files_per_trigger=2)
-    tp = spark.read.schema(J.TP_SCHEMA).parquet(f"{base}/tp")
-    grid = MetricsJob.from_fixture(fx).produce
-    run_live(spark, listings, tp, fx.group_descriptions, fx.commits, grid, f"{base}/live",
-             RUN.renderer("collectd"), RUN.text_delivery(f"{base}/sink"))
-    return spark.read.text(f"{base}/sink").withColumnRenamed("value", "line")
+    at = _Landed(spark, sf_dir, _last_instant)
+    run_live(spark, at.stream(spark, "scrapes", J.SCRAPE_SCHEMA), *at.group_tables(), at.open_grid,
+             f"{at.base}/live", RUN.renderer("collectd"), RUN.text_delivery(f"{at.base}/sink"), delay=at.delay)
+    return spark.read.text(f"{at.base}/sink").select(F.col("value").alias("line"))

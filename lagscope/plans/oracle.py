@@ -9,26 +9,24 @@ to 6 places, and ``+ 0.0`` folds -0.0 into 0.0.
 
 from __future__ import annotations
 
-from lagscope.sources.fixtures import (E0, GRIDS, PRODUCE_PHASE_SECONDS, RETENTION_SECONDS)
-
-
-def _grid(name: str):
-    g = GRIDS[name]
-    return g.interval, g.ticks
+from lagscope import schemas as S
+from lagscope.sources.fixtures import INTERVALS, PRODUCE_PHASE_SECONDS, RETENTION_SECONDS
 
 
 def base_ctes(grid: str) -> str:
-    """rec, ticks, tp (topic_partitions), listings, descr, assign_def, assigned,
-    commits, committed, lags."""
-    iv, n = _grid(grid)
+    """rec, ticks, tp (topic_partitions), listings, descr, assigned, commits,
+    committed, lags."""
+    iv = INTERVALS[grid]
     return f"""
 rec AS (
   SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS partition,
-         epoch_us(ts) AS us, event_id
+         epoch_us(ts) AS us, event_id, 'g' || (user_id // 4 % 5) AS group_id
   FROM events),
+ends AS (SELECT min(us) // {iv}000000 * {iv} AS t0, max(us) AS hi FROM rec),
 ticks AS (
-  SELECT CAST(r.k AS BIGINT) AS k, CAST({E0} + r.k * {iv} AS BIGINT) AS ts
-  FROM range(1, {n} + 1) AS r(k)),
+  SELECT CAST(k AS BIGINT) AS k, CAST(t0 + k * {iv} AS BIGINT) AS ts
+  FROM (SELECT t0, unnest(range(1, greatest(1, (hi - t0 * 1000000 + {iv}000000 - 1) // {iv}000000) + 1)) AS k
+        FROM ends)),
 tp0 AS (
   SELECT t.k, t.ts, r.topic, r.partition,
          CAST(count(*) AS BIGINT) AS newest_offset,
@@ -46,45 +44,33 @@ tp AS (
               WHEN (k + partition) % 11 = 0 THEN replicas[2]
               ELSE replicas[1] END AS leader_id
   FROM tp1),
-topics AS (SELECT DISTINCT topic FROM rec),
-gdef(group_id, protocol_type) AS (VALUES
-  ('g_fast', 'consumer'), ('g_slow', 'consumer'), ('g_dup', 'consumer'),
-  ('g_idle', 'consumer'), ('connect-1', 'connect')),
+seen AS (
+  SELECT DISTINCT r.group_id, r.topic, r.partition,
+         greatest(1, (r.us - e.t0 * 1000000 + {iv}000000 - 1) // {iv}000000) AS k
+  FROM rec r, ends e),
 listings AS (
-  SELECT t.ts, 1 AS broker_id, g.group_id, g.protocol_type FROM ticks t, gdef g
-  UNION ALL
-  SELECT t.ts, 2 AS broker_id, 'g_fast' AS group_id, 'consumer' AS protocol_type FROM ticks t),
-descr AS (
-  SELECT t.k, t.ts, g.group_id, g.protocol_type,
-         CASE WHEN g.group_id = 'g_slow' AND t.k % 10 = 0 THEN 'PreparingRebalance'
-              ELSE 'Stable' END AS state,
-         CASE WHEN g.group_id IN ('g_fast', 'g_dup') THEN 2 ELSE 1 END AS n_members
-  FROM ticks t, gdef g),
-assign_def AS (
-  SELECT 'g_fast' AS group_id, 'm0' AS member_id, topic, p AS partition
-    FROM topics, (VALUES (0), (2)) v(p)
-  UNION ALL SELECT 'g_fast', 'm1', topic, p FROM topics, (VALUES (1), (3)) v(p)
-  UNION ALL SELECT 'g_slow', 'm0', t, p FROM (VALUES ('click'), ('view')) a(t), range(0, 4) b(p)
-  UNION ALL SELECT 'g_dup', 'm0', 'error', p FROM range(0, 3) b(p)
-  UNION ALL SELECT 'g_dup', 'm1', 'error', p FROM range(2, 4) b(p)
-  UNION ALL SELECT 'g_idle', 'm0', 'error', p FROM range(0, 4) b(p)
-  UNION ALL SELECT 'g_idle', 'm0', 'ghost', 0
-  UNION ALL SELECT 'connect-1', 'm0', 'click', p FROM range(0, 4) b(p)),
+  SELECT DISTINCT t.ts, 1 + s.partition % 3 AS broker_id, s.group_id,
+         CASE WHEN s.group_id = 'g4' THEN 'connect' ELSE 'consumer' END AS protocol_type
+  FROM seen s JOIN ticks t ON t.k = s.k),
+since AS (SELECT group_id, topic, partition, min(k) AS k FROM seen GROUP BY ALL),
 listed AS (SELECT DISTINCT ts, group_id FROM listings),
-described AS (SELECT d.* FROM listed l JOIN descr d ON d.ts = l.ts AND d.group_id = l.group_id),
+assign_at AS (
+  SELECT t.k, l.ts, l.group_id, s.topic, s.partition, s.k = t.k AS new
+  FROM listed l JOIN ticks t ON t.ts = l.ts JOIN since s ON s.group_id = l.group_id AND s.k <= t.k),
+described AS (
+  SELECT ts, group_id, CASE WHEN group_id = 'g4' THEN 'connect' ELSE 'consumer' END AS protocol_type,
+         CASE WHEN bool_or(new) THEN 'PreparingRebalance' ELSE 'Stable' END AS state,
+         CAST(count(DISTINCT partition) AS INTEGER) AS n_members
+  FROM assign_at GROUP BY ts, group_id),
 stable AS (SELECT * FROM described WHERE state = 'Stable' AND protocol_type = 'consumer'),
 assigned AS (
-  SELECT DISTINCT s.ts, s.group_id, a.topic, CAST(a.partition AS INTEGER) AS partition
-  FROM stable s JOIN assign_def a ON a.group_id = s.group_id),
-commit_lag(group_id, lag) AS (VALUES ('g_fast', 1), ('g_slow', 6), ('g_dup', 0), ('connect-1', 0)),
-commit_parts AS (SELECT DISTINCT group_id, topic, CAST(partition AS INTEGER) AS partition FROM assign_def),
+  SELECT a.ts, a.group_id, a.topic, a.partition
+  FROM assign_at a JOIN stable s ON s.ts = a.ts AND s.group_id = a.group_id),
 commits AS (
-  SELECT t.ts AS commit_ts, a.group_id, a.topic, a.partition, tp.newest_offset AS "offset"
-  FROM ticks t, commit_parts a
-  JOIN commit_lag c ON c.group_id = a.group_id
-  JOIN tp ON tp.topic = a.topic AND tp.partition = a.partition AND tp.k = t.k - c.lag
-  UNION ALL
-  SELECT ts, 'g_idle', 'ghost', 0, CAST(42 AS BIGINT) FROM ticks),
+  SELECT a.ts AS commit_ts, a.group_id, a.topic, a.partition, tp.newest_offset AS "offset"
+  FROM assign_at a
+  JOIN tp ON tp.topic = a.topic AND tp.partition = a.partition
+         AND tp.k = a.k - CAST(substr(a.group_id, 2) AS BIGINT)),
 committed AS (
   SELECT a.ts, a.group_id, a.topic, a.partition, coalesce(c."offset", -1) AS committed
   FROM assigned a ASOF LEFT JOIN commits c
@@ -99,40 +85,37 @@ lags AS (
 
 def gauge_ctes() -> str:
     """g_part (seven partition gauges), g_topic, g_group, gauges (all ten)."""
-    return """
+    return f"""
 g_part AS (
   SELECT name, topic || '-' || partition AS key, NULL::VARCHAR AS group_id, topic,
          partition, ts, value
   FROM (
-    SELECT ts, topic, partition, 'kafka_topic_partition_offset_newest' AS name, newest_offset AS value FROM tp
-    UNION ALL SELECT ts, topic, partition, 'kafka_topic_partition_offset_oldest', oldest_offset FROM tp
-    UNION ALL SELECT ts, topic, partition, 'kafka_leader_topic_partition', CAST(leader_id AS BIGINT)
+    SELECT ts, topic, partition, '{S.OFFSET_NEWEST}' AS name, newest_offset AS value FROM tp
+    UNION ALL SELECT ts, topic, partition, '{S.OFFSET_OLDEST}', oldest_offset FROM tp
+    UNION ALL SELECT ts, topic, partition, '{S.LEADER}', CAST(leader_id AS BIGINT)
       FROM tp WHERE leader_id IS NOT NULL
-    UNION ALL SELECT ts, topic, partition, 'kafka_replicas_topic_partition', CAST(len(replicas) AS BIGINT) FROM tp
-    UNION ALL SELECT ts, topic, partition, 'kafka_in_sync_replicas', CAST(len(isr) AS BIGINT) FROM tp
-    UNION ALL SELECT ts, topic, partition, 'kafka_leader_is_preferred_topic_partition',
+    UNION ALL SELECT ts, topic, partition, '{S.REPLICAS}', CAST(len(replicas) AS BIGINT) FROM tp
+    UNION ALL SELECT ts, topic, partition, '{S.IN_SYNC_REPLICAS}', CAST(len(isr) AS BIGINT) FROM tp
+    UNION ALL SELECT ts, topic, partition, '{S.LEADER_IS_PREFERRED}',
       CAST(CASE WHEN leader_id IS NOT NULL AND len(replicas) > 0 AND replicas[1] = leader_id
            THEN 1 ELSE 0 END AS BIGINT) FROM tp
-    UNION ALL SELECT ts, topic, partition, 'kafka_under_replicated_topic_partition',
+    UNION ALL SELECT ts, topic, partition, '{S.UNDER_REPLICATED}',
       CAST(CASE WHEN len(isr) < len(replicas) THEN 1 ELSE 0 END AS BIGINT) FROM tp) x),
 g_topic AS (
-  SELECT 'kafka_topic_partition' AS name, topic AS key, NULL::VARCHAR AS group_id, topic,
+  SELECT '{S.TOPIC_PARTITION}' AS name, topic AS key, NULL::VARCHAR AS group_id, topic,
          NULL::INTEGER AS partition, ts, CAST(count(*) AS BIGINT) AS value
   FROM tp GROUP BY ts, topic),
 g_group AS (
-  SELECT 'kafka_consumer_group_lag' AS name, group_id || '-' || topic || '-' || partition AS key,
+  SELECT '{S.GROUP_LAG}' AS name, group_id || '-' || topic || '-' || partition AS key,
          group_id, topic, partition, ts, CAST(lag AS BIGINT) AS value FROM lags
   UNION ALL
-  SELECT 'kafka_consumer_group_latest_offset', group_id || '-' || topic || '-' || partition,
+  SELECT '{S.GROUP_LATEST_OFFSET}', group_id || '-' || topic || '-' || partition,
          group_id, topic, partition, ts, CAST(committed AS BIGINT) FROM lags),
 gauges AS (SELECT * FROM g_topic UNION ALL SELECT * FROM g_part UNION ALL SELECT * FROM g_group)"""
 
 
-def meter_ctes(grid: str) -> str:
+def meter_ctes() -> str:
     """Closed-form meters at produce instants: m_topic, m_group, meters."""
-    iv, n = _grid(grid)
-    p0 = E0 + PRODUCE_PHASE_SECONDS + iv
-
     def one(name, keys, src):
         kcols = ", ".join(keys)
         keyexpr = " || '-' || ".join(f"f.{k}" for k in keys)
@@ -165,14 +148,14 @@ def meter_ctes(grid: str) -> str:
     group_src = ("SELECT ts, group_id, topic, CAST(sum(committed) AS BIGINT) AS total "
                  "FROM committed GROUP BY ts, group_id, topic")
     return f"""
-prod AS (SELECT CAST({p0} + r.k * {iv} AS BIGINT) AS T FROM range(0, {n}) AS r(k)),""" + \
-        one("m_topic", ["topic"], topic_src) + "," + one("m_group", ["group_id", "topic"], group_src) + """,
+prod AS (SELECT ts + {PRODUCE_PHASE_SECONDS} AS T FROM ticks),""" + \
+        one("m_topic", ["topic"], topic_src) + "," + one("m_group", ["group_id", "topic"], group_src) + f""",
 meters AS (
-  SELECT 'kafka_topic_rate' AS name, * FROM m_topic
-  UNION ALL SELECT 'kafka_consumer_group_rate' AS name, * FROM m_group)"""
+  SELECT '{S.TOPIC_RATE}' AS name, * FROM m_topic
+  UNION ALL SELECT '{S.GROUP_RATE}' AS name, * FROM m_group)"""
 
 
-def snapshot_ctes(grid: str) -> str:
+def snapshot_ctes() -> str:
     """g_snap: gauges carried forward to every produce instant (ASOF JOIN)."""
     return """
 series AS (

@@ -57,16 +57,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Read from the session (or the SparkContext's checkpoint directory when one
-    was set programmatically).  Only when neither exists, as in local tests,
-    is a fresh temporary folder created.  The SparkContext checkpoint
-    directory is installed from it so ``DataFrame.checkpoint()`` writes there.
-    """
+    Read from the session, or from the SparkContext where one was set there.
+    On a cluster one of the two must exist; a fresh temporary folder is made
+    only for a local master, where driver and tasks share the disk.  The
+    SparkContext checkpoint directory is installed from it so that
+    ``DataFrame.checkpoint()`` writes there."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        current = sc.getCheckpointDir()
-        path = current if current else tempfile.mkdtemp(prefix="lagscope-ckpt-")
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lagscope-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

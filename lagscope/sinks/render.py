@@ -38,6 +38,13 @@ def dispatch(df: DataFrame) -> DataFrame:
     return df.where(F.col("kind").isin(*KINDS))
 
 
+def by_kind(df: DataFrame, meter, gauge) -> DataFrame:
+    """Meters and gauges rendered apart, so that each row only goes through
+    the projections of its kind; where ``df`` is a union of the two, the
+    optimizer reads each side once."""
+    return meter(df.where(F.col("kind") == "meter")).unionByName(gauge(df.where(F.col("kind") == "gauge")))
+
+
 # --- formatting helpers ---------------------------------------------------------
 
 def rfc3339(ts: str | Column) -> Column:
@@ -150,7 +157,6 @@ def _meta_json_struct() -> Column:
 # --- renderers ------------------------------------------------------------------
 
 def log_lines(df: DataFrame) -> DataFrame:
-    df = with_float_text(dispatch(df), RATE_COLS)
     tags = tag_string(" ", ":")
     base = F.concat(F.lit("{BaseMetric:{Name:"), F.col("name"), F.lit(" Key:"), F.col("key"),
                     F.lit(" Timestamp:"), go_time_string("timestamp"),
@@ -164,7 +170,8 @@ def log_lines(df: DataFrame) -> DataFrame:
                      F.lit("}}"))
     gauge = F.concat(F.lit(S.LOG_GAUGE_LABEL + " "), base, F.lit("Gauge:"),
                      F.col("value").cast("string"), F.lit("}"))
-    return df.select(F.when(F.col("kind") == "meter", meter).otherwise(gauge).alias("line"))
+    return by_kind(df, lambda m: with_float_text(m, RATE_COLS).select(meter.alias("line")),
+                   lambda g: g.select(gauge.alias("line")))
 
 
 def _json_object(pairs: list[tuple[str, Column]]) -> Column:
@@ -180,15 +187,19 @@ def _json_object(pairs: list[tuple[str, Column]]) -> Column:
     return obj
 
 
+def _json_text(c: str) -> Column:
+    """The string as JSON, whatever its length; null (no entry) for null."""
+    return F.when(F.col(c).isNotNull(),
+                  F.regexp_replace(_substr_from(F.to_json(F.struct(F.col(c).alias("v"))), 6), "}$", ""))
+
+
 def _meta_json() -> Column:
     return F.to_json(_meta_json_struct())
 
 
 def kafka_json(df: DataFrame, topic: str = S.DEFAULT_TOPIC) -> DataFrame:
     """``(topic, value)`` rows ready for ``write.format('kafka')``; no key."""
-    df = with_float_text(dispatch(df), RATE_COLS)
-    name = F.to_json(F.struct(F.col("name").alias("v"))).substr(6, 10_000)
-    name = F.regexp_replace(name, "}$", "")
+    name = _json_text("name")
     ts = F.concat(F.lit('"'), rfc3339("timestamp"), F.lit('"'))
     meter = _json_object([
         ("name", name), ("timestamp", ts), ("meta", _meta_json()),
@@ -198,16 +209,15 @@ def kafka_json(df: DataFrame, topic: str = S.DEFAULT_TOPIC) -> DataFrame:
     ])
     gauge = _json_object([("name", name), ("timestamp", ts), ("meta", _meta_json()),
                           ("value", F.col("value").cast("string"))])
-    return df.select(F.lit(topic).alias("topic"),
-                     F.when(F.col("kind") == "meter", meter).otherwise(gauge).alias("value"))
+    return by_kind(df, lambda m: with_float_text(m, RATE_COLS).select(F.lit(topic).alias("topic"), meter.alias("value")),
+                   lambda g: g.select(F.lit(topic).alias("topic"), gauge.alias("value")))
 
 
 def elasticsearch_docs(df: DataFrame, index: str = S.DEFAULT_INDEX,
                        doc_type: str = S.DEFAULT_DOC_TYPE) -> DataFrame:
     """Bulk API NDJSON: one ``index`` action line and one document line per
     metric; zero numbers and empty names are omitted from the document."""
-    df = with_float_text(dispatch(df), RATE_COLS)
-    name = F.regexp_replace(F.to_json(F.struct(F.col("name").alias("v"))).substr(6, 10_000), "}$", "")
+    name = _json_text("name")
     ts = F.concat(F.lit('"'), rfc3339("timestamp"), F.lit('"'))
 
     def nz(c: str, text: Column) -> Column:
@@ -224,13 +234,13 @@ def elasticsearch_docs(df: DataFrame, index: str = S.DEFAULT_INDEX,
     gauge = _json_object([("name", F.when(F.col("name") != "", name)), ("timestamp", ts),
                           ("meta", _meta_json()), ("value", nz("value", F.col("value").cast("string")))])
     action = F.lit('{"index":{"_index":"%s","_type":"%s"}}' % (index, doc_type))
-    doc = F.when(F.col("kind") == "meter", meter).otherwise(gauge)
-    return df.select(action.alias("action"), doc.alias("document"))
+    return by_kind(
+        df, lambda m: with_float_text(m, RATE_COLS).select(action.alias("action"), meter.alias("document")),
+        lambda g: g.select(action.alias("action"), gauge.alias("document")))
 
 
 def collectd_lines(df: DataFrame, hostname: str = "localhost",
                    interval: str | int = S.DEFAULT_INTERVAL_SECONDS) -> DataFrame:
-    df = dispatch(df)
     ts = F.unix_seconds("timestamp").cast("string")
     head = F.concat(F.lit(f"PUTVAL {hostname}/kafka/"), F.col("name"), F.lit("-"), F.col("key"),
                     F.lit(f" interval={interval} "))
@@ -245,7 +255,7 @@ def collectd_lines(df: DataFrame, hostname: str = "localhost",
     meter = F.concat(head, F.concat_ws(",", pv(F.col("count").cast("string")), pv(f6("rate1")),
                                        pv(f6("rate5")), pv(f6("rate15")), pv(f6("rate_mean"))))
     gauge = F.concat(head, pv(F.col("value").cast("string")))
-    return df.select(F.when(F.col("kind") == "meter", meter).otherwise(gauge).alias("line"))
+    return by_kind(df, lambda m: m.select(meter.alias("line")), lambda g: g.select(gauge.alias("line")))
 
 
 def _influx_escape(c: Column, chars: str) -> Column:
@@ -258,7 +268,6 @@ def _influx_escape(c: Column, chars: str) -> Column:
 def influx_lines(df: DataFrame) -> DataFrame:
     """Line protocol with second precision (``database``/``retention`` are
     request parameters of the writer, not part of the line)."""
-    df = with_float_text(dispatch(df), RATE_COLS, json_style=False)
     measurement = _influx_escape(F.col("name"), ", ")
     tags = tag_string(",", "=", lambda c: _influx_escape(c, ",= "))
     key = F.concat(measurement, F.when(tags != "", F.concat(F.lit(","), tags)).otherwise(F.lit("")))
@@ -273,8 +282,12 @@ def influx_lines(df: DataFrame) -> DataFrame:
                         fld("rate5", F.col("rate5__txt")),
                         fld("rate_mean", F.col("rate_mean__txt")))
     gauge = fld("value", F.concat(F.col("value").cast("string"), F.lit("i")))
-    fields = F.when(F.col("kind") == "meter", meter).otherwise(gauge)
-    return df.select(F.concat_ws(" ", key, fields, F.unix_seconds("timestamp").cast("string")).alias("line"))
+
+    def line(fields: Column) -> Column:
+        return F.concat_ws(" ", key, fields, F.unix_seconds("timestamp").cast("string")).alias("line")
+
+    return by_kind(df, lambda m: with_float_text(m, RATE_COLS, json_style=False).select(line(meter)),
+                   lambda g: g.select(line(gauge)))
 
 
 def writer_records(df: DataFrame) -> DataFrame:

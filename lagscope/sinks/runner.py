@@ -19,6 +19,7 @@ import importlib
 import logging
 from typing import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceStreamWriter, DataSourceWriter,
                                     WriterCommitMessage)
@@ -33,39 +34,58 @@ Render = Callable[[DataFrame], DataFrame]
 Deliver = Callable[[DataFrame, int], None]
 
 
-def batch_sink(render: Render, deliver: Deliver, on_error: str = "fail",
-               on_close: Callable[[], None] | None = None):
-    if on_error not in ("fail", "drop"):
-        raise ValueError("on_error must be 'fail' or 'drop'")
+class BatchSink:
+    """The function handed to ``foreachBatch``, and its end: ``close`` runs the
+    hook once, after the last batch."""
+
+    def __init__(self, render: Render, deliver: Deliver, on_error: str, on_close: Callable[[], None] | None):
+        if on_error not in ("fail", "drop"):
+            raise ValueError("on_error must be 'fail' or 'drop'")
+        self.render, self.deliver, self.on_error, self.on_close = render, deliver, on_error, on_close
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
         try:
-            deliver(render(batch), batch_id)
+            self.deliver(self.render(batch), batch_id)
         except Exception:  # noqa: BLE001 - policy decides
-            if on_error == "drop":
+            if self.on_error == "drop":
                 log.exception("sink batch %s dropped", batch_id)
                 return
             raise
 
-    run.close = on_close  # type: ignore[attr-defined]
-    return run
+    def close(self) -> None:
+        hook, self.on_close = self.on_close, None
+        if hook is not None:
+            hook()
+
+    def __enter__(self) -> "BatchSink":
+        return self
+
+    def __exit__(self, *_exc) -> None:
+        self.close()
+
+
+def batch_sink(render: Render, deliver: Deliver, on_error: str = "fail",
+               on_close: Callable[[], None] | None = None) -> BatchSink:
+    return BatchSink(render, deliver, on_error, on_close)
 
 
 # --- deliveries -------------------------------------------------------------------
 
 def text_delivery(path: str) -> Deliver:
-    """Append the single string column of a rendered batch as text files."""
+    """The single string column of a rendered batch as text files of the
+    folder ``batch_id=N``; a batch delivered again replaces its folder."""
     def deliver(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("append").text(path)
+        df.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
     return deliver
 
 
 def ndjson_delivery(path: str) -> Deliver:
-    """Bulk NDJSON: action line followed by document line for every metric."""
+    """Bulk NDJSON: action line followed by document line for every metric, in
+    a folder per batch."""
     def deliver(df: DataFrame, batch_id: int) -> None:
         lines = df.select(F.explode(F.array("action", "document")).alias("line"))
         # explode keeps the pair order within a row; rows stay in one task
-        lines.write.mode("append").text(path)
+        lines.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
     return deliver
 
 
@@ -166,7 +186,12 @@ class MetricWriterDataSource(DataSource):
 
 
 def register_writer_source(spark) -> None:
-    spark.dataSource.register(MetricWriterDataSource)
+    """Make the writer known to a session; sessions may share their sources."""
+    try:
+        spark.dataSource.register(MetricWriterDataSource)
+    except AnalysisException as e:
+        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+            raise
 
 
 KNOWN_SINKS = ("log", "kafka", "elasticsearch", "collectd", "influxdb", "writer")

@@ -7,11 +7,19 @@ observed on a tick grid (one scrape every ``interval`` seconds):
 * ``topic_partitions``: per (topic, partition) present by tick k, the newest
   offset (records with ts <= t) and oldest retained offset (records with
   ts <= t - 7 days), plus replica / ISR / leader lists from a rule on k + p;
-* ``group_listings``, ``group_descriptions``: the consumer groups below;
-* ``commits``: committed offsets each group writes at each tick.
-
-Newest/oldest counts are built by bucketing each record to the first tick
-that sees it, aggregating per (series, tick) map-side, then a running sum per
+* ``group_listings``, ``group_descriptions``: consumer groups as the log shows
+  them: a record is consumed by group (user_id div 4) % 5; a group is listed
+  at the ticks that brought it records, by a broker per partition it read,
+  and described with one member per partition, assigned the topics the group
+  has read there so far; it is rebalancing at a tick that brings it a new
+  (topic, partition);
+* ``commits``: at those ticks a group commits, for each partition it is
+  assigned, the newest offset of some ticks earlier (its number).
+
+The grid covers the log: tick 0 is the interval that holds the first record,
+the last tick the first one that sees the last record.  Newest/oldest counts
+are built by bucketing each record to the first tick that sees it,
+aggregating per (group, series, tick) map-side, then a running sum per
 series; ticks without new records are filled by expanding each aggregated
 row over the ticks until the next one.  Records are never joined to ticks.
 """
@@ -29,24 +37,13 @@ from lagscope.session import checkpoint_dir
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture definition.
 # ---------------------------------------------------------------------------
-E0 = 1704067200                 # 2024-01-01 00:00:00 UTC, tick 0
 RETENTION_SECONDS = 7 * 86400   # oldest offset = first record younger than 7 days
 PARTITIONS_PER_TOPIC = 4        # partition = user_id % 4
 PRODUCE_PHASE_SECONDS = 30      # produce ticks sit 30 s after scrape ticks
-
-# group id, protocol type, ticks between newest and commit (None = no rule)
-# members: (member id, {topic: partitions}); "*" = every topic in the log
-GROUPS = (
-    ("g_fast", "consumer", 1, (("m0", {"*": (0, 2)}), ("m1", {"*": (1, 3)}))),
-    ("g_slow", "consumer", 6, (("m0", {"click": (0, 1, 2, 3), "view": (0, 1, 2, 3)}),)),
-    ("g_dup", "consumer", 0, (("m0", {"error": (0, 1, 2)}), ("m1", {"error": (2, 3)}))),
-    ("g_idle", "consumer", None, (("m0", {"error": (0, 1, 2, 3), "ghost": (0,)}),)),
-    ("connect-1", "connect", 0, (("m0", {"click": (0, 1, 2, 3)}),)),
-)
-REBALANCING_GROUP = "g_slow"    # reports PreparingRebalance when k % 10 == 0
-REBALANCE_EVERY = 10
-DUPLICATE_LISTING = ("g_fast", 2)   # also listed by broker 2
-IDLE_GROUP_COMMIT = ("g_idle", "ghost", 0, 42)
+GROUPS = 5                      # group = (user_id div 4) % 5
+CONNECT_GROUP = 4               # speaks the connect protocol, the others consumer
+BROKERS = 3                     # partition p is listed by broker p % 3 + 1
+INTERVALS = {"H": 3600, "M": 60}   # seconds between scrapes
 # ---------------------------------------------------------------------------
 
 
@@ -54,19 +51,22 @@ IDLE_GROUP_COMMIT = ("g_idle", "ghost", 0, 42)
 class Grid:
     name: str
     interval: int      # seconds between scrapes
-    ticks: int         # scrapes k = 1..ticks at E0 + k * interval
-    t0: int = E0
+    ticks: int         # scrapes k = 1..ticks at t0 + k * interval
+    t0: int            # tick 0
 
     def scrape_seconds(self, k: Column) -> Column:
         return F.lit(self.t0) + k * F.lit(self.interval)
 
-    def produce_seconds(self, k: Column) -> Column:
-        return F.lit(self.t0 + PRODUCE_PHASE_SECONDS) + k * F.lit(self.interval)
-
-
-GRID_H = Grid("H", 3600, 720)   # hourly over the 30 days
-GRID_M = Grid("M", 60, 360)     # every minute over the first six hours
-GRIDS = {"H": GRID_H, "M": GRID_M}
+    @staticmethod
+    def over(events: DataFrame, name: str) -> "Grid":
+        """The grid that covers every record; without records it has no tick."""
+        iv = INTERVALS[name]
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        lo, hi = events.agg(F.min(us), F.max(us)).first()
+        if lo is None:
+            return Grid(name, iv, 0, 0)
+        t0 = lo // (iv * 1_000_000) * iv
+        return Grid(name, iv, max(1, -((t0 * 1_000_000 - hi) // (iv * 1_000_000))), t0)
 
 
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,14 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_base(events: DataFrame) -> DataFrame:
-    """(topic, partition, timestamp, event_id) per event: the log before numbering."""
+    """(topic, partition, timestamp, event_id, group_id) per event: the log
+    before numbering."""
     return events.select(
         F.col("event_type").alias("topic"),
         (F.col("user_id") % PARTITIONS_PER_TOPIC).cast("int").alias("partition"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("event_id"),
+        F.concat(F.lit("g"), F.floor(F.col("user_id") / PARTITIONS_PER_TOPIC) % GROUPS).alias("group_id"),
     )
 
 
@@ -91,36 +93,36 @@ def build_records(events: DataFrame) -> DataFrame:
 
 
 def _first_tick(us: Column, grid: Grid, shift_seconds: int = 0) -> Column:
-    """Smallest k >= 1 with E0 + k*iv >= ts + shift (tick that first sees the row)."""
+    """Smallest k >= 1 with t0 + k*iv >= ts + shift (tick that first sees the row)."""
     num = us - F.lit((grid.t0 - shift_seconds) * 1_000_000)
     return F.greatest(F.ceil(num / F.lit(grid.interval * 1_000_000)), F.lit(1))
 
 
 def build_series_counts(base: DataFrame, grid: Grid) -> DataFrame:
-    """Per (topic, partition, tick k): records first seen at k (``dn``) and
-    records leaving the 7-day retention at k (``do``).  Ticks past the grid
-    collapse into k = ticks + 1, so the table has at most series × (ticks + 1)
-    rows whatever the log size; it is the only pass over the raw log."""
+    """Per (group, topic, partition, tick k): records first seen at k (``dn``)
+    and records leaving the 7-day retention at k (``do``).  At most series ×
+    groups × ticks rows whatever the log size; it is the only pass over the
+    raw log.  Records that outlive the grid leave no ``do`` inside it."""
     us = F.unix_micros("timestamp")
-    cap = F.lit(grid.ticks + 1)
     marks = base.select(
-        "topic", "partition",
+        "group_id", "topic", "partition",
         F.explode(F.array(
-            F.struct(F.least(_first_tick(us, grid), cap).alias("k"),
-                     F.lit(1).alias("dn"), F.lit(0).alias("do")),
-            F.struct(F.least(_first_tick(us, grid, RETENTION_SECONDS), cap).alias("k"),
+            F.struct(_first_tick(us, grid).alias("k"), F.lit(1).alias("dn"), F.lit(0).alias("do")),
+            F.struct(_first_tick(us, grid, RETENTION_SECONDS).alias("k"),
                      F.lit(0).alias("dn"), F.lit(1).alias("do")),
         )).alias("m"),
-    ).select("topic", "partition", "m.*")
+    ).select("group_id", "topic", "partition", "m.*")
     # map-side partial aggregation: the shuffle carries (series, tick) counts
-    return marks.groupBy("topic", "partition", "k").agg(
-        F.sum("dn").alias("dn"), F.sum("do").alias("do"))
+    return (marks.where((F.col("dn") == 1) | (F.col("k") <= grid.ticks))
+            .groupBy("group_id", "topic", "partition", "k").agg(
+                F.sum("dn").alias("dn"), F.sum("do").alias("do")))
 
 
 def topic_partitions_from_counts(counts: DataFrame, grid: Grid) -> DataFrame:
     """Running sums per series over its (small) count rows; each row then
     covers the ticks up to the series' next row."""
-    counts = counts.where(F.col("k") <= grid.ticks)
+    counts = counts.groupBy("topic", "partition", "k").agg(
+        F.sum("dn").alias("dn"), F.sum("do").alias("do"))
     w = Window.partitionBy("topic", "partition").orderBy("k")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.select(
@@ -154,93 +156,80 @@ def with_replica_state(df: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def _tick_spine(spark: SparkSession, grid: Grid) -> DataFrame:
-    return spark.range(1, grid.ticks + 1).select(
-        F.col("id").alias("k"),
-        F.timestamp_seconds(grid.scrape_seconds(F.col("id"))).alias("scrape_ts"))
-
-
-def _assignment(spec: dict, all_topics: Column) -> Column:
-    if "*" in spec:
-        parts = F.array(*[F.lit(x) for x in spec["*"]])
-        return F.map_from_arrays(all_topics, F.array_repeat(parts, F.size(all_topics)))
-    kv = []
-    for topic, parts in spec.items():
-        kv += [F.lit(topic), F.array(*[F.lit(x) for x in parts])]
-    return F.create_map(*kv)
-
-
-def build_group_listings(spark: SparkSession, grid: Grid) -> DataFrame:
-    rows = [F.struct(F.lit(1).alias("broker_id"), F.lit(g).alias("group_id"),
-                     F.lit(proto).alias("protocol_type"))
-            for g, proto, _lag, _m in GROUPS]
-    dup_group, dup_broker = DUPLICATE_LISTING
-    dup_proto = next(proto for g, proto, _l, _m in GROUPS if g == dup_group)
-    rows.append(F.struct(F.lit(dup_broker).alias("broker_id"), F.lit(dup_group).alias("group_id"),
-                         F.lit(dup_proto).alias("protocol_type")))
-    return (_tick_spine(spark, grid)
-            .select("scrape_ts", F.explode(F.array(*rows)).alias("l"))
-            .select("scrape_ts", "l.broker_id", "l.group_id", "l.protocol_type"))
-
-
-def build_group_descriptions(spark: SparkSession, grid: Grid, log_topics: DataFrame) -> DataFrame:
-    """``log_topics``: any frame with a ``topic`` column covering the whole log
-    (read once through a scalar subquery; bounded by the topic count)."""
-    all_topics = log_topics.agg(F.array_sort(F.collect_set("topic"))).scalar()
-    k = F.col("k")
-    groups = []
-    for g, proto, _lag, members in GROUPS:
-        state = F.lit("Stable")
-        if g == REBALANCING_GROUP:
-            state = F.when(k % REBALANCE_EVERY == 0, F.lit("PreparingRebalance")).otherwise(state)
-        mem = [F.struct(F.lit(f"{g}-{mid}").alias("member_id"),
-                        F.lit(f"client-{mid}").alias("client_id"),
-                        F.lit("/127.0.0.1").alias("client_host"),
-                        _assignment(spec, all_topics).alias("assignment"))
-               for mid, spec in members]
-        groups.append(F.struct(F.lit(g).alias("group_id"), state.alias("state"),
-                               F.lit(proto).alias("protocol_type"), F.array(*mem).alias("members")))
-    return (_tick_spine(spark, grid)
-            .select("scrape_ts", F.explode(F.array(*groups)).alias("g"))
-            .select("scrape_ts", "g.group_id", "g.state", "g.protocol_type", "g.members"))
-
-
-def build_commits(spark: SparkSession, grid: Grid, descriptions: DataFrame,
-                  topic_partitions: DataFrame) -> DataFrame:
-    """Each group commits, at every tick, the newest offset seen ``lag`` ticks earlier."""
-    lags = [(g, lag) for g, _p, lag, _m in GROUPS if lag is not None]
-    lag_of = F.create_map(*[x for g, lag in lags for x in (F.lit(g), F.lit(lag))])
-    assigned = (
-        descriptions.where(F.col("group_id").isin([g for g, _ in lags]))
-        .select("scrape_ts", "group_id", F.explode("members").alias("m"))
-        .select("scrape_ts", "group_id", F.explode("m.assignment").alias("topic", "parts"))
-        .select("scrape_ts", "group_id", "topic", F.explode("parts").alias("partition"))
-        .distinct()
-        .select(
-            F.col("scrape_ts").alias("commit_ts"), "group_id", "topic", "partition",
-            F.timestamp_seconds(F.unix_seconds("scrape_ts")
-                                - lag_of[F.col("group_id")] * grid.interval).alias("src_ts"),
-        )
-    )
+def _scrape_ts(grid: Grid) -> Column:
+    return F.timestamp_seconds(grid.scrape_seconds(F.col("k"))).alias("scrape_ts")
+
+
+def _group_number() -> Column:
+    return F.substring("group_id", 2, 9).cast("int")
+
+
+def _protocol() -> Column:
+    return F.when(_group_number() == CONNECT_GROUP, F.lit("connect")).otherwise(F.lit("consumer"))
+
+
+def build_group_listings(counts: DataFrame, grid: Grid) -> DataFrame:
+    """A group is listed at the ticks that brought it records, once by each
+    broker that holds one of the partitions it read."""
+    return (counts.where(F.col("dn") > 0)
+            .select(_scrape_ts(grid), (F.col("partition") % BROKERS + 1).cast("int").alias("broker_id"),
+                    "group_id", _protocol().alias("protocol_type")).distinct())
+
+
+def _assigned(counts: DataFrame) -> DataFrame:
+    """(group_id, k, topic, partition, new): what a group listed at k has read
+    by then; groups × ticks × partitions rows at most."""
+    seen = counts.where(F.col("dn") > 0)
+    active = seen.select("group_id", "k").distinct()
+    read = seen.groupBy("group_id", "topic", "partition").agg(F.min("k").alias("since"))
+    return (active.join(read, "group_id").where(F.col("since") <= F.col("k"))
+            .select("group_id", "k", "topic", "partition", (F.col("since") == F.col("k")).alias("new")))
+
+
+def build_group_descriptions(counts: DataFrame, grid: Grid) -> DataFrame:
+    """One row per listed group and tick; what is collected is one member's
+    topics, then one group's members, the contents of that row."""
+    member = (_assigned(counts).groupBy("group_id", "k", "partition")
+              .agg(F.array_sort(F.collect_list("topic")).alias("topics"), F.max("new").alias("new")))
+    group = member.groupBy("group_id", "k").agg(
+        F.array_sort(F.collect_list(F.struct("partition", "topics"))).alias("members"), F.max("new").alias("new"))
+    member_of = lambda m: F.struct(
+        F.concat_ws("-", F.col("group_id"), F.concat(F.lit("m"), m["partition"])).alias("member_id"),
+        F.concat(F.lit("client-m"), m["partition"]).alias("client_id"), F.lit("/127.0.0.1").alias("client_host"),
+        F.map_from_arrays(m["topics"], F.array_repeat(F.array(m["partition"]), F.size(m["topics"])))
+        .alias("assignment"))
+    return group.select(
+        _scrape_ts(grid), "group_id",
+        F.when(F.col("new"), F.lit("PreparingRebalance")).otherwise(F.lit("Stable")).alias("state"),
+        _protocol().alias("protocol_type"), F.transform("members", member_of).alias("members"))
+
+
+def build_commits(counts: DataFrame, grid: Grid, topic_partitions: DataFrame) -> DataFrame:
+    """At each tick it is listed, a group commits the newest offset seen its
+    number of ticks earlier (none where the partition had no records yet)."""
+    asked = _assigned(counts).select(
+        _scrape_ts(grid).alias("commit_ts"), "group_id", "topic", "partition",
+        F.timestamp_seconds(grid.scrape_seconds(F.col("k") - _group_number())).alias("src_ts"))
     newest = topic_partitions.select(
         F.col("scrape_ts").alias("src_ts"), "topic", "partition",
         F.col("newest_offset").alias("offset"))
-    lagged = assigned.join(newest, ["src_ts", "topic", "partition"]).select(
+    return asked.join(newest, ["src_ts", "topic", "partition"]).select(
         "commit_ts", "group_id", "topic", "partition", "offset")
-    g, t, p, off = IDLE_GROUP_COMMIT
-    idle = _tick_spine(spark, grid).select(
-        F.col("scrape_ts").alias("commit_ts"), F.lit(g).alias("group_id"), F.lit(t).alias("topic"),
-        F.lit(p).cast("int").alias("partition"), F.lit(off).cast("bigint").alias("offset"))
-    return lagged.unionByName(idle)
 
 
 class Fixture:
     """All input tables for one scale-factor directory and tick grid."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, grid: Grid | str = GRID_H):
+    def __init__(self, spark: SparkSession, sf_dir: str, grid: str = "H", events: DataFrame | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.grid = GRIDS[grid] if isinstance(grid, str) else grid
+        self.grid_name = grid
+        if events is not None:
+            self.events = events
+
+    @cached_property
+    def grid(self) -> Grid:
+        return Grid.over(self.events, self.grid_name)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -267,12 +256,12 @@ class Fixture:
 
     @cached_property
     def group_listings(self) -> DataFrame:
-        return build_group_listings(self.spark, self.grid)
+        return build_group_listings(self.series_counts, self.grid)
 
     @cached_property
     def group_descriptions(self) -> DataFrame:
-        return build_group_descriptions(self.spark, self.grid, self.series_counts)
+        return build_group_descriptions(self.series_counts, self.grid)
 
     @cached_property
     def commits(self) -> DataFrame:
-        return build_commits(self.spark, self.grid, self.group_descriptions, self.topic_partitions)
+        return build_commits(self.series_counts, self.grid, self.topic_partitions)

@@ -1,14 +1,17 @@
 """Structured Streaming jobs over landed scrape files.
 
-Input contract: snapshot tables arrive as Parquet files in which every scrape
-is complete in one file (``land`` writes them that way), so a micro-batch
-always holds whole scrapes.  All jobs write Parquet with a checkpoint in the
-cluster's shared checkpoint folder and can run continuously or with
-``availableNow`` (tests, backfills).
+Input contract: snapshot tables are landed in slices of scrape time, one after
+the other, each written by as many tasks as it needs.  The files of a slice
+may reach a stream over several triggers, so watermarks trail by the span of a
+slice (``Landing.delay``) and the stateful jobs collect a scrape's rows until
+the watermark has passed it.  The group pass is driven by a stream of scrape
+times.  Every stream runs in a session of its own, so its settings touch no
+other; all of them write Parquet with a checkpoint in the cluster's shared
+folder and run continuously or with ``availableNow`` (tests, backfills).
 
 * ``gauge_stream``      stateless: the batch gauge projection per row;
 * ``lag_stream``        ``foreachBatch``: the batch's scrapes joined with the
-                        group tables, written idempotently per batch id;
+                        group tables, published once per batch id;
 * ``meter_stream``      ``transformWithStateInPandas`` meters per key;
 * ``carry_forward_stream`` gauge series re-emitted at each produce instant;
 * ``produce_window_stream`` last value per series per tumbling window.
@@ -17,6 +20,7 @@ cluster's shared checkpoint folder and can run continuously or with
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,14 +30,20 @@ from lagscope.operators.meters import ProduceGrid
 from lagscope.session import checkpoint_dir
 from lagscope.streaming.processors import CarryForwardProcessor, MeterProcessor
 
-WATERMARK_DELAY = "0 seconds"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _keyed_state_store(spark: SparkSession) -> None:
-    """``transformWithState`` needs a state store with column families (RocksDB);
-    it also keeps large keyed state off the JVM heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for one stream.  ``transformWithState`` needs a state store
+    with column families (RocksDB), which also keeps keyed state off the JVM
+    heap.  A stateful query keeps its number of state partitions for life and
+    AQE does not coalesce them, so it is the cluster's task slots, not a batch
+    setting."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
+    return own
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -41,52 +51,60 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/lagscope-streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(df: DataFrame, path: str, files: int, ts_col: str = "scrape_ts") -> str:
-    """Write a snapshot table as ``files`` Parquet appends in scrape order, each
-    holding a contiguous range of scrapes (every scrape whole in one file).
-    Appends are sequential so file modification times follow scrape time,
-    the order in which a file stream source picks them up."""
-    bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
-    lo, hi = bounds["lo"].timestamp(), bounds["hi"].timestamp()
-    step = (hi - lo) / files
-    for i in range(files):
-        a = lo + i * step
-        cond = F.unix_micros(ts_col) >= int(a * 1e6) if i else F.lit(True)
-        if i < files - 1:
-            cond = cond & (F.unix_micros(ts_col) < int((a + step) * 1e6))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+@dataclass(frozen=True)
+class Landing:
+    """Slices of ``span`` seconds of scrape time from ``start`` (epoch) on."""
+    start: float
+    span: float
+    slices: int
+
+    @property
+    def delay(self) -> str:
+        return f"{int(-(-self.span // 1))} seconds"
+
+    @staticmethod
+    def over(df: DataFrame, slices: int, ts_col: str = "scrape_ts") -> "Landing":
+        us = F.unix_micros(ts_col)
+        lo, hi = df.agg(F.min(us), F.max(us)).first()
+        if lo is None:
+            return Landing(0.0, 1.0, 0)
+        return Landing(lo / 1e6, max(1.0, (hi - lo) / 1e6 / slices), slices)
+
+    def slice_of(self, ts_col: str):
+        at = F.floor((F.unix_micros(ts_col) / 1e6 - self.start) / self.span)
+        return F.greatest(F.lit(0), F.least(at, F.lit(self.slices - 1)))
+
+
+def land(df: DataFrame, path: str, landing: Landing, ts_col: str = "scrape_ts") -> str:
+    """Append a snapshot table slice by slice, in scrape order, each slice by
+    several tasks.  The table is computed once and cut from a checkpoint; file
+    modification times follow the slices, the order in which a file stream
+    source picks them up."""
+    checkpoint_dir(df.sparkSession)
+    ready = df.checkpoint(eager=True)
+    for i in range(landing.slices):
+        ready.where(landing.slice_of(ts_col) == i).write.mode("append").parquet(path)
     return path
 
 
+def land_row(spark: SparkSession, row: tuple, schema, path: str) -> None:
+    """Append one row, such as a closing scrape that moves the watermark."""
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema)
+    r = stream_session(spark).readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.parquet(path)
 
 
-def state_partitions(spark: SparkSession) -> int:
-    """Shuffle/state partitions for streaming queries: the cluster's task
-    slots.  A stateful query keeps this number for its whole life (it is
-    stored with the checkpoint), and AQE does not coalesce state partitions,
-    so it is chosen explicitly rather than inherited from a batch setting."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def _run(writer, available_now: bool = True, spark: SparkSession | None = None):
-    spark = spark or SparkSession.getActiveSession()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    # the query clones the session conf when it starts
-    spark.conf.set(key, str(state_partitions(spark)))
-    try:
-        q = writer.trigger(availableNow=True).start() if available_now else writer.start()
-        if available_now:
-            q.awaitTermination()
-            if q.exception() is not None:
-                raise q.exception()
-    finally:
-        spark.conf.set(key, old)
+def _run(writer, available_now: bool = True):
+    q = writer.trigger(availableNow=True).start() if available_now else writer.start()
+    if available_now:
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
     return q
 
 
@@ -96,67 +114,113 @@ def gauge_stream(tp_stream: DataFrame, out: str, ckpt: str, available_now: bool
     return _run(w.outputMode("append"), available_now)
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hp = jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hp = _path(spark, path)
+    return fs.exists(hp)
+
+
+def publish(df: DataFrame, root: str, batch_id: int) -> None:
+    """Make a batch's rows visible under ``batch_id=N`` at once and only once:
+    they are written beside, and the folder is renamed.  A replayed batch
+    finds its folder and leaves it, so a stream that reads the folders never
+    sees a row twice or a file vanish."""
+    spark, target = df.sparkSession, f"{root}/batch_id={batch_id}"
+    if _path_exists(spark, target):
+        return
+    staging = f"{root}/_staging-{batch_id}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(staging)
+    fs, src = _path(spark, staging)
+    if not fs.rename(src, _path(spark, target)[1]):
+        raise OSError(f"could not publish {target}")
 
 
 COMMIT_KEYS = ["group_id", "topic", "partition"]
+#: A commit may become visible this long after later ones.
+COMMIT_LATENESS_SECONDS = 3600
 
 
 def commits_for_batch(spark: SparkSession, commits: DataFrame, state_root: str, batch_id: int,
-                      latest) -> DataFrame:
+                      latest, lateness: int = COMMIT_LATENESS_SECONDS) -> DataFrame:
     """Commits needed to answer a micro-batch whose latest scrape is ``latest``:
     the latest commit per partition carried by batch ``batch_id - 1`` plus the
-    commits after that batch's horizon.  Written to the checkpoint folder so
-    the batch's plans read it once."""
+    commits since that batch's horizon less ``lateness``.  Written to the
+    checkpoint folder so the batch's plans read it once."""
     prev = f"{state_root}/batch_id={batch_id - 1}"
     if batch_id > 0 and _path_exists(spark, prev):
         carried = spark.read.parquet(prev)
         horizon = carried.agg(F.max("horizon")).first()[0]
-        fresh = commits.where((F.col("commit_ts") > F.lit(horizon))
-                              & (F.col("commit_ts") <= F.lit(latest)))
-        known = carried.select("commit_ts", *COMMIT_KEYS, "offset").unionByName(fresh)
+        since = F.timestamp_seconds(F.unix_seconds(F.lit(horizon)) - lateness)
+        fresh = commits.where((F.col("commit_ts") > since) & (F.col("commit_ts") <= F.lit(latest)))
+        known = (carried.where(F.col("commit_ts").isNotNull())
+                 .select("commit_ts", *COMMIT_KEYS, "offset").unionByName(fresh))
     else:
         known = commits.where(F.col("commit_ts") <= F.lit(latest))
     return known.checkpoint(eager=True)
 
 
 def save_commit_state(known: DataFrame, state_root: str, batch_id: int, latest) -> None:
-    """Latest commit per partition up to ``latest``, for the next batch."""
-    (known.groupBy(*COMMIT_KEYS)
-     .agg(F.max_by("offset", "commit_ts").alias("offset"), F.max("commit_ts").alias("commit_ts"))
-     .withColumn("horizon", F.lit(latest).cast("timestamp"))
-     .write.mode("overwrite").parquet(f"{state_root}/batch_id={batch_id}"))
-
-
-def lag_stream(listing_stream: DataFrame, topic_partitions: DataFrame, descriptions: DataFrame,
-               commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
-    """The group pass, driven by the stream of group listings (one per scrape,
-    landed after that scrape's partition and group tables).
-
-    Per micro-batch N: the batch's scrapes select their descriptions and
-    partition rows; committed offsets come from ``commits_for_batch`` (the
-    carried latest commit per partition + commits since the last horizon), so
-    a batch never re-reads the commit history.  Outputs and the carried table
-    are written under ``batch_id=N`` folders: a replayed batch rebuilds the
-    same files from batch N-1's state.  Each scrape's lag rows land whole in
-    one file (downstream meters sum a scrape at once)."""
+    """Latest commit per partition up to ``latest``, for the next batch (and a
+    row without one, for the horizon).  States before the last two are
+    dropped: a batch can only be replayed from its predecessor's."""
+    spark = known.sparkSession
+    rows = (known.groupBy(*COMMIT_KEYS).agg(F.max(F.struct("commit_ts", "offset")).alias("c"))
+            .select(*COMMIT_KEYS, "c.offset", "c.commit_ts"))
+    none = spark.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    publish(rows.unionByName(none).withColumn("horizon", F.lit(latest).cast("timestamp")), state_root, batch_id)
+    fs, old = _path(spark, f"{state_root}/batch_id={batch_id - 2}")
+    fs.delete(old, True)
+
+
+def between(df: DataFrame, lo, hi, ts_col: str = "scrape_ts") -> DataFrame:
+    """The rows of a span of scrapes; the bounds reach the scan, and prune
+    date folders where the table has them."""
+    out = df.where((F.col(ts_col) >= F.lit(lo)) & (F.col(ts_col) <= F.lit(hi)))
+    day = ts_col.replace("_ts", "_date")
+    if day in df.columns:
+        out = out.where((F.col(day) >= F.to_date(F.lit(lo))) & (F.col(day) <= F.to_date(F.lit(hi))))
+    return out
+
+
+def batch_inputs(batch: DataFrame, batch_id: int, listings: DataFrame, topic_partitions: DataFrame,
+                 descriptions: DataFrame, commits: DataFrame, state_root: str):
+    """Of a batch of scrape times: partition rows and lag rows of its scrapes,
+    the commits known to it, its latest scrape."""
+    scrapes = batch.select("scrape_ts").distinct()
+    lo, hi = batch.agg(F.min("scrape_ts"), F.max("scrape_ts")).first()
+    known = commits_for_batch(batch.sparkSession, commits, state_root, batch_id, hi)
+    of = lambda df: between(df, lo, hi).join(scrapes, "scrape_ts", "left_semi")
+    tp = of(topic_partitions)
+    lags = GR.lag_rows(GR.committed_offset_scan(
+        GR.assigned_partitions(of(listings), of(descriptions)), known), tp)
+    return tp, lags, known, hi
+
+
+def lag_stream(scrape_stream: DataFrame, listings: DataFrame, topic_partitions: DataFrame,
+               descriptions: DataFrame, commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
+    """The group pass, driven by the stream of scrape times (each landed after
+    that scrape's partition and group tables).
+
+    Per micro-batch N: reads of the tables are bounded by the batch's scrapes;
+    committed offsets come from ``commits_for_batch``, so a batch never
+    re-reads the commit history.  Rows and the carried commits are published
+    once under ``batch_id=N``."""
     state_root = f"{out}/_commit_state"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        scrapes = batch.select("scrape_ts").distinct()
-        latest = batch.agg(F.max("scrape_ts")).first()[0]
-        known = commits_for_batch(spark, commits, state_root, batch_id, latest)
-        dsc = descriptions.join(scrapes, "scrape_ts", "left_semi")
-        tp = topic_partitions.join(scrapes, "scrape_ts", "left_semi")
-        lags = GR.lag_rows(GR.committed_offset_scan(GR.assigned_partitions(batch, dsc), known), tp)
-        lags.repartition("scrape_ts").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if batch.isEmpty():
+            return
+        _tp, lags, known, latest = batch_inputs(batch, batch_id, listings, topic_partitions, descriptions,
+                                                commits, state_root)
+        publish(lags, out, batch_id)
         save_commit_state(known, state_root, batch_id, latest)
 
-    w = listing_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    w = scrape_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     return _run(w, available_now)
 
 
@@ -169,12 +233,11 @@ def _meter_schema(keys: list[str], types: dict) -> str:
 
 def meter_stream(stream: DataFrame, keys: list[str], value_col: str, grid: ProduceGrid,
                  out: str, ckpt: str, available_now: bool = True):
-    """Meters keyed by ``keys`` from per-partition rows of each scrape."""
-    _keyed_state_store(stream.sparkSession)
+    """Meters keyed by ``keys`` from per-partition rows of each scrape;
+    ``stream`` has its watermark on ``scrape_ts``."""
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     proc = MeterProcessor(keys, value_col, grid.start, grid.interval, grid.count)
     snaps = (stream.select(*keys, "scrape_ts", value_col)
-             .withWatermark("scrape_ts", WATERMARK_DELAY)
              .groupBy(*keys)
              .transformWithStateInPandas(proc, _meter_schema(keys, types), "Append", "EventTime"))
     w = snaps.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
@@ -186,13 +249,13 @@ CARRY_KEYS = ["name", "group_id", "topic", "partition"]
 
 def carry_forward_stream(gauges: DataFrame, grid: ProduceGrid, out: str, ckpt: str,
                          available_now: bool = True):
-    """``gauges``: streaming long-form gauge rows (``timestamp`` = scrape time).
+    """``gauges``: streaming long-form gauge rows (``timestamp`` = scrape time,
+    with its watermark).
 
     The series key is grouped with the partition as a string: a nullable
     integer grouping column would reach the Python state handler as a float
     whenever a batch mixes null and non-null partitions (topic-level and
     partition-level gauges), and the state key would not round-trip."""
-    _keyed_state_store(gauges.sparkSession)
     flat = gauges.select("name", F.col("meta.group").alias("group_id"),
                          F.col("meta.topic").alias("topic"),
                          F.col("meta.partition").cast("string").alias("partition"),
@@ -200,8 +263,7 @@ def carry_forward_stream(gauges: DataFrame, grid: ProduceGrid, out: str, ckpt: s
     proc = CarryForwardProcessor(CARRY_KEYS, grid.start, grid.interval, grid.count)
     schema = ("name string, group_id string, topic string, partition string, "
               "produce_ts timestamp, value bigint")
-    snaps = (flat.withWatermark("scrape_ts", WATERMARK_DELAY)
-             .groupBy(*CARRY_KEYS)
+    snaps = (flat.groupBy(*CARRY_KEYS)
              .transformWithStateInPandas(proc, schema, "Append", "EventTime")
              .withColumn("partition", F.col("partition").cast("int")))
     w = snaps.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
@@ -212,13 +274,13 @@ def produce_window(gauges: DataFrame, seconds: int) -> DataFrame:
     """Last value of each series in each tumbling window of ``seconds``
     (batch or streaming; streaming needs a watermark on ``timestamp``)."""
     return (gauges.groupBy(F.window("timestamp", f"{seconds} seconds").alias("w"), "name", "key")
-            .agg(F.max_by("value", "timestamp").alias("value"))
+            .agg(F.max(F.struct("timestamp", "value"))["value"].alias("value"))
             .select(F.col("w.start").alias("window_start"), "name", "key", "value"))
 
 
 def produce_window_stream(gauges: DataFrame, seconds: int, out: str, ckpt: str,
                           available_now: bool = True):
-    agg = produce_window(gauges.withWatermark("timestamp", WATERMARK_DELAY), seconds)
+    agg = produce_window(gauges, seconds)
     w = agg.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
     return _run(w.outputMode("append"), available_now)
 
@@ -227,10 +289,5 @@ def topic_meter_stream(tp_stream: DataFrame, grid: ProduceGrid, out: str, ckpt:
     return meter_stream(tp_stream, M.TOPIC_KEYS, "newest_offset", grid, out, ckpt, **kw)
 
 
-def group_meter_stream(lag_rows_stream: DataFrame, grid: ProduceGrid, out: str, ckpt: str, **kw):
-    return meter_stream(lag_rows_stream, M.GROUP_KEYS, "committed", grid, out, ckpt, **kw)
-
-
 TP_SCHEMA = S.TOPIC_PARTITIONS
-LAG_SCHEMA = ("scrape_ts timestamp, group_id string, topic string, partition int, "
-              "committed bigint, lag bigint")
+SCRAPE_SCHEMA = "scrape_ts timestamp"

@@ -1,7 +1,6 @@
 """End-to-end live pipeline: scrapes in, rendered metrics out.
 
-    listings stream ──foreachBatch──▶ gauges/ (all ten gauges per scrape,
-                                       each scrape whole in one file)
+    scrape stream ──foreachBatch──▶ gauges/ (all ten gauges per scrape)
     gauges stream ──carry-forward──▶ carry/    (every series at each instant)
     gauges stream ──meter (topic)──▶ m-topic/  (from newest-offset gauges)
     gauges stream ──meter (group)──▶ m-group/  (from latest-offset gauges)
@@ -28,39 +27,53 @@ GAUGE_SCHEMA = ("kind string, name string, key string, timestamp timestamp, "
                 "meta struct<group:string,partition:int,topic:string>, value bigint")
 
 
-def gauge_batches(listing_stream: DataFrame, topic_partitions: DataFrame, descriptions: DataFrame,
-                  commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
-    """All ten gauges for the scrapes of each micro-batch of listings; the
-    group pass reuses the lag job's carried commit state."""
+def gauge_batches(scrape_stream: DataFrame, listings: DataFrame, topic_partitions: DataFrame,
+                  descriptions: DataFrame, commits: DataFrame, out: str, ckpt: str, available_now: bool = True):
+    """All ten gauges for the scrapes of each micro-batch of scrape times."""
     state_root = f"{out}/_commit_state"
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        scrapes = batch.select("scrape_ts").distinct()
-        latest = batch.agg(F.max("scrape_ts")).first()[0]
-        known = J.commits_for_batch(spark, commits, state_root, batch_id, latest)
-        tp = topic_partitions.join(scrapes, "scrape_ts", "left_semi")
-        dsc = descriptions.join(scrapes, "scrape_ts", "left_semi")
-        lags = GR.lag_rows(GR.committed_offset_scan(GR.assigned_partitions(batch, dsc), known), tp)
+        if batch.isEmpty():
+            return
+        tp, lags, known, latest = J.batch_inputs(batch, batch_id, listings, topic_partitions, descriptions,
+                                                 commits, state_root)
         gauges = (G.topic_partition_gauge(tp).unionByName(G.partition_gauges(tp))
                   .unionByName(GR.group_gauges(lags)))
-        gauges.repartition("timestamp").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        J.publish(gauges, out, batch_id)
         J.save_commit_state(known, state_root, batch_id, latest)
 
-    w = listing_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    w = scrape_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
     return J._run(w, available_now)
 
 
-def _gauge_stream(spark: SparkSession, path: str, files_per_trigger: int | None) -> DataFrame:
-    r = spark.readStream.schema(GAUGE_SCHEMA)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(f"{path}/batch_id=*")
+def gauge_rows_stream(spark: SparkSession, path: str, delay: str) -> DataFrame:
+    """The published gauges as a stream with a watermark on the scrape time,
+    set before any filter so that every gauge moves it."""
+    return (J.stream_session(spark).readStream.schema(GAUGE_SCHEMA).parquet(f"{path}/batch_id=*")
+            .withWatermark("timestamp", delay))
+
+
+def meter_streams(spark: SparkSession, gauges: str, delay: str, grid: ProduceGrid, work: str,
+                  available_now: bool = True) -> list:
+    """Topic meters from the newest-offset gauges and group meters from the
+    latest-offset gauges."""
+    # a condition on the event time stays above the watermark
+    only = lambda name: F.when(F.col("timestamp").isNotNull(), F.col("name") == name)
+    newest = gauge_rows_stream(spark, gauges, delay).where(only(S.OFFSET_NEWEST)).select(
+        F.col("meta.topic").alias("topic"), F.col("timestamp").alias("scrape_ts"), "value")
+    latest = gauge_rows_stream(spark, gauges, delay).where(only(S.GROUP_LATEST_OFFSET)).select(
+        F.col("meta.group").alias("group_id"), F.col("meta.topic").alias("topic"),
+        F.col("timestamp").alias("scrape_ts"), "value")
+    return [J.meter_stream(newest, M.TOPIC_KEYS, "value", grid, f"{work}/m-topic", f"{work}/ckpt-m-topic",
+                           available_now),
+            J.meter_stream(latest, M.GROUP_KEYS, "value", grid, f"{work}/m-group", f"{work}/ckpt-m-group",
+                           available_now)]
 
 
 def metric_rows_stream(spark: SparkSession, work: str) -> DataFrame:
     """Carried-forward gauges and meter snapshots as one stream in the
     ``metrics`` layout."""
+    spark = J.stream_session(spark)
     carry = spark.readStream.schema(
         "name string, group_id string, topic string, partition int, produce_ts timestamp, value bigint"
     ).parquet(f"{work}/carry")
@@ -82,27 +95,26 @@ def metric_rows_stream(spark: SparkSession, work: str) -> DataFrame:
     return gauge_rows.unionByName(meters)
 
 
-def run_live(spark: SparkSession, listing_stream: DataFrame, topic_partitions: DataFrame,
+def run_live(spark: SparkSession, scrape_stream: DataFrame, listings: DataFrame, topic_partitions: DataFrame,
              descriptions: DataFrame, commits: DataFrame, grid: ProduceGrid, work: str,
              render: RUN.Render, deliver: RUN.Deliver, on_error: str = "fail",
-             available_now: bool = True, files_per_trigger: int | None = 2):
-    """Start (or, with ``available_now``, run to completion) every stage."""
-    queries = [gauge_batches(listing_stream, topic_partitions, descriptions, commits,
-                             f"{work}/gauges", f"{work}/ckpt-gauges", available_now)]
-    g = _gauge_stream(spark, f"{work}/gauges", files_per_trigger)
-    queries.append(J.carry_forward_stream(g, grid, f"{work}/carry", f"{work}/ckpt-carry",
-                                          available_now))
-    newest = g.where(F.col("name") == S.OFFSET_NEWEST).select(
-        F.col("meta.topic").alias("topic"), F.col("timestamp").alias("scrape_ts"), "value")
-    queries.append(J.meter_stream(newest, M.TOPIC_KEYS, "value", grid, f"{work}/m-topic",
-                                  f"{work}/ckpt-m-topic", available_now))
-    latest = g.where(F.col("name") == S.GROUP_LATEST_OFFSET).select(
-        F.col("meta.group").alias("group_id"), F.col("meta.topic").alias("topic"),
-        F.col("timestamp").alias("scrape_ts"), "value")
-    queries.append(J.meter_stream(latest, M.GROUP_KEYS, "value", grid, f"{work}/m-group",
-                                  f"{work}/ckpt-m-group", available_now))
-    sink = (metric_rows_stream(spark, work).writeStream
-            .foreachBatch(RUN.batch_sink(render, deliver, on_error))
-            .option("checkpointLocation", f"{work}/ckpt-sink"))
-    queries.append(J._run(sink, available_now))
-    return queries
+             on_close=None, available_now: bool = True, delay: str = "0 seconds"):
+    """Start every stage (``grid`` without a count goes on for ever); with
+    ``available_now``, run them to completion and close the sink.  Returns the
+    queries and the sink, whose ``close`` the caller of a continuous run calls
+    after its queries have stopped."""
+    RUN.register_writer_source(spark)
+    sink = RUN.batch_sink(render, deliver, on_error, on_close)
+    gauges = f"{work}/gauges"
+    queries = [gauge_batches(scrape_stream, listings, topic_partitions, descriptions, commits,
+                             gauges, f"{work}/ckpt-gauges", available_now)]
+    queries.append(J.carry_forward_stream(gauge_rows_stream(spark, gauges, delay), grid, f"{work}/carry",
+                                          f"{work}/ckpt-carry", available_now))
+    queries += meter_streams(spark, gauges, delay, grid, work, available_now)
+    rows = metric_rows_stream(spark, work)
+    RUN.register_writer_source(rows.sparkSession)
+    queries.append(J._run(rows.writeStream.foreachBatch(sink)
+                          .option("checkpointLocation", f"{work}/ckpt-sink"), available_now))
+    if available_now:
+        sink.close()
+    return queries, sink

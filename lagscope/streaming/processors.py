@@ -53,8 +53,10 @@ CARRY_STATE = _schema(
 
 
 class _Grid:
-    def __init__(self, start: float, interval: float, count: int):
-        self.start, self.interval, self.count = float(start), float(interval), int(count)
+    def __init__(self, start: float, interval: float, count: int | None):
+        """``count`` None: the grid has no end."""
+        self.start, self.interval = float(start), float(interval)
+        self.count = np.inf if count is None else int(count)
         self.end = self.start + self.interval * (self.count - 1)
 
     def between(self, lo: float, hi: float) -> np.ndarray:
@@ -64,7 +66,7 @@ class _Grid:
         if hi < self.start:
             return np.zeros(0)
         k0 = max(0, int(np.floor((lo - self.start) / self.interval)) + 1)
-        k1 = min(self.count - 1, int(np.floor((hi - self.start) / self.interval)))
+        k1 = int(min(self.count - 1, np.floor((hi - self.start) / self.interval)))
         if k1 < k0:
             return np.zeros(0)
         return self.start + self.interval * np.arange(k0, k1 + 1, dtype=np.float64)
@@ -104,7 +106,7 @@ class MeterProcessor(StatefulProcessor):
     """
 
     def __init__(self, keys: list[str], value_col: str, start: float, interval: float,
-                 count: int):
+                 count: int | None):
         self.keys, self.value_col = keys, value_col
         self.grid = _Grid(start, interval, count)
 
@@ -188,7 +190,7 @@ class MeterProcessor(StatefulProcessor):
 class CarryForwardProcessor(StatefulProcessor):
     """Last value of one gauge series at every produce instant after it is seen."""
 
-    def __init__(self, keys: list[str], start: float, interval: float, count: int):
+    def __init__(self, keys: list[str], start: float, interval: float, count: int | None):
         self.keys = keys
         self.grid = _Grid(start, interval, count)
 

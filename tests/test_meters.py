@@ -33,6 +33,25 @@ def test_g4_worked_example():
     assert s["rate_mean"] == pytest.approx(30 / 65)
 
 
+def closed_form(t, d, T):
+    """Reference evaluation straight from the definition (tests only)."""
+    t = np.asarray(t, float)
+    d = np.asarray(d, float)
+    k = np.floor(t / ewma.TICK_SECONDS) + 1
+    K = np.floor(T / ewma.TICK_SECONDS)
+    kf = k.min()
+    out = []
+    for lam, alpha in zip(ewma.LAMBDAS, ewma.ALPHAS):
+        m = k <= K
+        w = np.where(k == kf, 1.0, alpha)
+        out.append(float(np.sum((w * d / ewma.TICK_SECONDS * np.exp(-lam * (K - k)))[m])))
+    seen = t <= T
+    count = float(d[seen].sum())
+    elapsed = max(t[seen].max(), ewma.TICK_SECONDS * K) - t.min()
+    mean = count / elapsed if elapsed > 0 else float("nan")
+    return count, out[0], out[1], out[2], mean
+
+
 marks = st.lists(st.tuples(st.integers(0, 4000), st.integers(-500, 500)), min_size=1, max_size=60)
 
 
@@ -44,7 +63,7 @@ def test_closed_form_equals_recurrence(ms, extra):
     d = np.array([m[1] for m in ms])
     T = t.max() + extra
     got = snap(t, d, T)
-    count, r1, r5, r15, mean = ewma.closed_form(t, d, T)
+    count, r1, r5, r15, mean = closed_form(t, d, T)
     assert got["count"] == count
     for a, b in ((got["rate1"], r1), (got["rate5"], r5), (got["rate15"], r15)):
         assert a == pytest.approx(b, rel=1e-9, abs=1e-12)
@@ -98,34 +117,33 @@ def test_spark_meter_matches_kernel(spark):
     assert r["rate1"] == pytest.approx(12 * math.exp(-1) - 6 * (1 - math.exp(-1 / 12)))
 
 
-def test_chunked_scan_equals_per_key(spark):
-    """30 days of hourly scrapes in 6-hour chunks: the parallel scan gives the
-    per-key kernel's values (chunk boundaries, gaps, the first chunk)."""
-    import numpy as np
+def _per_key(deltas, keys, grid):
+    """One kernel pass over each key's whole history, on the driver."""
+    out = {}
+    pdf = deltas.toPandas().sort_values("scrape_ts", kind="stable")
+    for key, g in pdf.groupby(keys):
+        t = g["scrape_ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        first = max(0, math.ceil((t[0] - grid.start) / grid.interval))
+        instants = grid.start + grid.interval * np.arange(first, grid.count, dtype=float)
+        cols, _ = ewma.advance(None, t, g["delta"].to_numpy(), instants)
+        for i, at in enumerate(cols["produce"]):
+            out[(*key, int(at))] = [cols[c][i] for c in ("count", "rate1", "rate5", "rate15", "rate_mean")]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [6 * 3600, 7 * 86400])
+def test_chunked_scan_equals_one_pass(spark, chunk):
+    """30 days of hourly scrapes in short and long chunks: the parallel scan
+    gives the one-pass kernel's values (chunk boundaries, gaps, first chunk)."""
     from lagscope.operators import meters as M
     from lagscope.plans.metrics import MetricsJob
     from lagscope.sources.fixtures import Fixture
     job = MetricsJob.from_fixture(Fixture(spark, "/root/testdata/sf0.001", "H"))
     d = M.offset_delta(M.group_offset_sum(job.committed), M.GROUP_KEYS).checkpoint()
-    keys = M.GROUP_KEYS + ["produce_ts"]
-    a = M.meter_snapshots_chunked(d, M.GROUP_KEYS, job.produce, 6 * 3600).toPandas()
-    b = M.meter_snapshots_per_key(d, M.GROUP_KEYS, job.produce).toPandas()
-    assert len(a) == len(b) > 0
-    j = a.merge(b, on=keys, suffixes=("_c", "_k"))
-    assert len(j) == len(a)
-    assert (j["count_c"] == j["count_k"]).all()
-    for c in ("rate1", "rate5", "rate15", "rate_mean"):
-        np.testing.assert_allclose(j[c + "_c"].astype(float), j[c + "_k"].astype(float),
-                                   rtol=1e-9, atol=1e-15, equal_nan=True)
-
-
-def test_size_check_routes_long_histories_to_chunks(spark):
-    from lagscope.operators import meters as M
-    from lagscope.plans.metrics import MetricsJob
-    from lagscope.sources.fixtures import Fixture
-    job = MetricsJob.from_fixture(Fixture(spark, "/root/testdata/sf0.001", "M"))
-    d = M.offset_delta(M.topic_offset_sum(job.tp), M.TOPIC_KEYS)
-    small = M.meter_snapshots(d, M.TOPIC_KEYS, job.produce, max_rows_per_group=10, chunk_seconds=3600)
-    big = M.meter_snapshots(d, M.TOPIC_KEYS, job.produce)
-    assert sorted(map(tuple, small.select("topic", "produce_ts", "count").collect())) == \
-        sorted(map(tuple, big.select("topic", "produce_ts", "count").collect()))
+    want = _per_key(d, M.GROUP_KEYS, job.produce)
+    got = {(r.group_id, r.topic, int(r.s)): [r["count"], r.rate1, r.rate5, r.rate15, r.rate_mean]
+           for r in M.meter_snapshots(d, M.GROUP_KEYS, job.produce, chunk)
+           .selectExpr("*", "unix_seconds(produce_ts) AS s").collect()}
+    assert got.keys() == want.keys() and len(got) > 1000
+    for k, v in want.items():
+        np.testing.assert_allclose(np.array(got[k], float), np.array(v, float), rtol=1e-9, atol=1e-15, equal_nan=True)

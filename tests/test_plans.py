@@ -3,15 +3,15 @@ or nested-loop joins, and the raw log is scanned with a pruned schema."""
 
 import pytest
 
-import __spark_entry__ as E
+from lagscope.plans import catalog
 from tests.conftest import SF_SMALL
 
-BATCH = sorted(n for n in E.queries() if not n.startswith(("streaming_", "live_")))
+BATCH = sorted(n for n in catalog.queries() if not n.startswith(("streaming_", "live_", "batch_sink")))
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_or_nested_loop_joins(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "NestedLoopJoin" not in plan

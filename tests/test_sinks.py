@@ -119,7 +119,7 @@ def test_runner_policies(metrics):
 def test_runner_delivers_whole_batch(metrics, tmpdir_path):
     out = os.path.join(tmpdir_path, "collectd")
     RUN.batch_sink(RUN.renderer("collectd"), RUN.text_delivery(out))(metrics, 0)
-    text = "".join(open(f).read() for f in glob.glob(f"{out}/part-*"))
+    text = "".join(open(f).read() for f in glob.glob(f"{out}/batch_id=*/part-*"))
     assert text.count("PUTVAL") == 3
 
 
@@ -143,9 +143,32 @@ def test_json_html_escaping(spark):
 def test_ndjson_bulk_delivery(metrics, tmpdir_path):
     out = os.path.join(tmpdir_path, "bulk")
     RUN.batch_sink(RUN.renderer("elasticsearch"), RUN.ndjson_delivery(out))(metrics, 0)
-    lines = [x.rstrip("\n") for f in sorted(glob.glob(f"{out}/part-*")) for x in open(f)]
+    lines = [x.rstrip("\n") for f in sorted(glob.glob(f"{out}/batch_id=*/part-*")) for x in open(f)]
     assert len(lines) == 6
     # every action line is immediately followed by its document
     for action, doc in zip(lines[0::2], lines[1::2]):
         assert json.loads(action) == {"index": {"_index": "metrics", "_type": "doc"}}
         assert "timestamp" in json.loads(doc)
+
+
+def test_long_and_null_names_give_valid_json(spark):
+    long_ = "n" * 12_000
+    rows = [(kind, name, "k", TS, (None, 0, "t"), 5 if kind == "gauge" else None, *([1, 0.5, 0.5, 0.5, 0.5] if kind == "meter" else [None] * 5))
+            for kind in ("gauge", "meter") for name in (long_, None, "")]
+    df = spark.createDataFrame(rows, S.METRICS)
+    for out in (R.kafka_json(df).select("value"), R.elasticsearch_docs(df).select("document")):
+        docs = [json.loads(r[0]) for r in out.collect()]
+        assert sorted(len(d.get("name", "")) for d in docs) == [0, 0, 0, 0, 12_000, 12_000]
+
+
+def test_replayed_batch_replaces_its_folder(metrics, tmpdir_path):
+    out = os.path.join(tmpdir_path, "replay")
+    closed = []
+    with RUN.batch_sink(RUN.renderer("collectd"), RUN.text_delivery(out), on_close=lambda: closed.append(1)) as sink:
+        for batch_id in (7, 7, 8):
+            sink(metrics, batch_id)
+        assert not closed
+    sink.close()
+    assert closed == [1]
+    lines = [x for f in glob.glob(f"{out}/batch_id=*/part-*") for x in open(f)]
+    assert len(lines) == 6

@@ -71,7 +71,7 @@ def prefix_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence
     """Adds ``out``: the sum of ``value`` over the rows of the group that come
     before the row by (``bucket``, then ``order``).
 
-    A group's rows are summed per bucket first; the running sum over a whole
+    Group columns must not be null. A group's rows are summed per bucket first; the running sum over a whole
     group sees one row per bucket, and the rows themselves are only sorted
     within a bucket, so a group of any size spreads over the cluster."""
     start, part = fresh(df, "start", "part")
@@ -83,9 +83,10 @@ def prefix_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence
     within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
     rows = df.withColumn(part, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    same = [rows[c].eqNullSafe(F.col(f"{start}_{c}")) for c in (*group, bucket)]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return rows.join(starts, cond).select(
+    cond = F.lit(True)
+    for c in (*group, bucket):
+        cond = cond & (rows[c] == F.col(f"{start}_{c}"))
+    # the rows are already dealt out by these keys; they must never be
+    # broadcast, however few a plan takes them for
+    return rows.hint("merge").join(starts, cond).select(
         *[rows[c] for c in df.columns], (F.col(part) + F.col(start)).alias(out))

@@ -32,6 +32,8 @@ MOST_TIMES = 3
 #: Words of a block, about; smaller if a source's share asks for more slots.
 BLOCK_WORDS = 1024
 LEAST_SLOTS = 16
+#: The table of sources is broadcast up to this many, else joined by shuffle.
+BROADCAST_SOURCES = 50_000
 #: Buckets that a source's documents and slots are ranked through.
 BUCKETS = 1024
 
@@ -43,6 +45,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(one, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("bigint")
 
 
+def _key(source: Column) -> Column:
+    """The source as a key that is never null and sorts like it, null last."""
+    return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+
+
+def _source(key: Column) -> Column:
+    return F.when(key != "1", F.substring(key, 2, 1 << 30))
+
+
 def targets(sizes: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
     """``(source, source_size, weight, target, cum)``: the sum of all sizes
     shared by weight, no source above ``MOST_TIMES`` its size, what is above
@@ -91,11 +102,11 @@ def schedule(shares: DataFrame, bits: int, source: str = "source") -> DataFrame:
     pieces = (stretch.where("hi > lo")
               .select(source, "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step))).alias("at"))
               .select(source, F.explode(F.sequence("at", F.least(F.col("at") + step, "hi") - 1)).alias("j")))
-    slots = pieces.select(source, F.conv(F.reverse(F.lpad(F.bin("j"), bits, "0")), 2, 10)
+    slots = pieces.select(_key(F.col(source)).alias(source), F.conv(F.reverse(F.lpad(F.bin("j"), bits, "0")), 2, 10)
                           .cast("bigint").alias("slot"))
     slots = slots.withColumn("stretch", F.shiftright("slot", max(0, bits - 10))).withColumn("one", F.lit(1))
     return (prefix_sum(slots, [source], "stretch", ["slot"], "one", "rank")
-            .select(source, "slot", "rank"))
+            .select(_source(F.col(source)).alias(source), "slot", "rank"))
 
 
 def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source",
@@ -105,22 +116,24 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "sour
     of their own where ``df`` has such columns."""
     outs = fresh(df, "size", "source_size", "target", "taken")
     # a row travels as one struct, so its column names meet no others
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(source).alias("source"),
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), _key(F.col(source)).alias("source"),
                      F.col(id_col).alias("id"), size.cast("bigint").alias("size"))
     shares = settle(targets(rows.select("source", "size")))
-    whole = shares.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    whole = shares.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target"))),
+                       F.count("*")).first()
     total, least = float(whole[0] or 0.0), float(whole[1] or 1.0)
     slots = schedule(shares, _bits(int(max(total / block_words, LEAST_SLOTS * total / least, LEAST_SLOTS))))
     slots = settle(slots.select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_rank")))
     n_slots = slots.groupBy(F.col("slot_source").alias("n_source")).agg(F.count("*").alias("n"))
-    plan = (shares.join(n_slots, F.col("source").eqNullSafe(F.col("n_source")), "left")
+    plan = (shares.join(n_slots, F.col("source") == F.col("n_source"), "left")
             .select(F.col("source").alias("plan_source"), "source_size", "target",
                     F.coalesce("n", F.lit(0)).alias("n")))
+    plan = F.broadcast(plan) if whole[2] <= BROADCAST_SOURCES else plan
 
     order = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
     shuffled = rows.withColumn("order", order).withColumn("bucket", F.pmod(F.col("order"), F.lit(BUCKETS)))
     placed = (prefix_sum(shuffled, ["source"], "bucket", ["order", "id", "size"], "size", "start")
-              .join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+              .join(plan, F.col("source") == F.col("plan_source"))
               .select("row", "source", "size", "start", "source_size", "target", "n"))
 
     # words [a, b) of the repeated stream that a row covers, by repetition,
@@ -140,12 +153,13 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "sour
                                         .otherwise(F.floor((F.col("rank") + 1) * per_slot))))
               .where("from < to")
               .select("source", "start", "rank", (F.col("to") - F.col("from")).alias("words")))
-    took = (covers.join(slots, F.col("source").eqNullSafe(F.col("slot_source"))
+    # the slots grow with the words: never broadcast, whatever they are taken for
+    took = (covers.join(slots.hint("merge"), (F.col("source") == F.col("slot_source"))
                         & (F.col("rank") == F.col("slot_rank")))
             .groupBy("source", "start").agg(F.sum("words").alias("words"))
             .select(F.col("source").alias("took_source"), F.col("start").alias("took_start"), "words"))
     taken = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("bigint")
-    return (placed.join(took, F.col("source").eqNullSafe(F.col("took_source"))
+    return (placed.join(took, (F.col("source") == F.col("took_source"))
                         & (F.col("start") == F.col("took_start")), "left")
             .select(*[F.col("row")[c].alias(c) for c in df.columns],
                     *[c.alias(out) for c, out in zip(

@@ -8,7 +8,7 @@ the partition's newest offset.  Every step is a set operation keyed on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lagscope import schemas as S
 from lagscope.functions.columns import meta, metric_key
@@ -133,12 +133,14 @@ def consumer_group_latest_offset_gauge(lags: DataFrame) -> DataFrame:
     return _group_gauge(lags, S.GROUP_LATEST_OFFSET, "committed")
 
 
+def group_gauge_values() -> dict[str, Column]:
+    """Gauge name → value expression over one lag row."""
+    return {S.GROUP_LAG: F.col("lag"), S.GROUP_LATEST_OFFSET: F.col("committed")}
+
+
 def group_gauges(lags: DataFrame) -> DataFrame:
     """Both group gauges from one pass over the lag rows."""
-    pairs = F.array(
-        F.struct(F.lit(S.GROUP_LAG).alias("name"), F.col("lag").alias("value")),
-        F.struct(F.lit(S.GROUP_LATEST_OFFSET).alias("name"), F.col("committed").alias("value")),
-    )
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in group_gauge_values().items()])
     ex = lags.select("scrape_ts", "group_id", "topic", "partition", F.explode(pairs).alias("g"))
     return ex.select(
         F.lit("gauge").alias("kind"), F.col("g.name").alias("name"),

@@ -538,7 +538,14 @@ class _Landed:
         return J.read_stream(spark, f"{self.base}/{name}", schema, files_per_trigger=4)
 
     def group_tables(self):
-        return self.fx.group_listings, self.tp, self.fx.group_descriptions, self.fx.commits
+        """Listings, partition rows, descriptions and commits; stored by date, so
+        that a micro-batch's bounds prune what it reads."""
+        from lagscope.sources.tables import write_table
+        stored = {}
+        for name in ("group_listings", "group_descriptions", "commits"):
+            write_table(getattr(self.fx, name), f"{self.base}/tables", name)
+            stored[name] = self.fx.spark.read.parquet(f"{self.base}/tables/{name}")
+        return stored["group_listings"], self.tp, stored["group_descriptions"], stored["commits"]
 
     def gauges(self, spark) -> str:
         """All ten gauges, published by the live pipeline's first stage."""

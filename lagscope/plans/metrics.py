@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from lagscope import schemas as S
 from lagscope.operators import gauges as G, groups as GR, meters as M, snapshot as SN
 from lagscope.operators.meters import ProduceGrid
 from lagscope.session import checkpoint_dir
@@ -88,7 +89,15 @@ class MetricsJob:
     # --- registry snapshots -----------------------------------------------------
     @cached_property
     def gauge_snapshot(self) -> DataFrame:
-        return SN.snapshot_asof(self.gauges, self.produce)
+        """``snapshot_asof`` of all gauges, carried on the wide rows they come from."""
+        topics = self.tp.groupBy("scrape_ts", "topic").agg(F.count(F.lit(1)).alias("n"))
+        partition = ["topic", "partition"]
+        return (SN.carry(topics, ["topic"], {"topic": "topic"}, {S.TOPIC_PARTITION: F.col("n")}, self.produce)
+                .unionByName(SN.carry(self.tp, partition, {c: c for c in partition},
+                                      G.partition_gauge_values(), self.produce))
+                .unionByName(SN.carry(self.lags, ["group_id", *partition],
+                                      {"group": "group_id", **{c: c for c in partition}},
+                                      GR.group_gauge_values(), self.produce)))
 
     @cached_property
     def metrics(self) -> DataFrame:

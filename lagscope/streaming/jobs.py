@@ -156,9 +156,9 @@ def commits_for_batch(spark: SparkSession, commits: DataFrame, state_root: str,
         carried = spark.read.parquet(prev)
         horizon = carried.agg(F.max("horizon")).first()[0]
         since = F.timestamp_seconds(F.unix_seconds(F.lit(horizon)) - lateness)
-        fresh = commits.where((F.col("commit_ts") > since) & (F.col("commit_ts") <= F.lit(latest)))
-        known = (carried.where(F.col("commit_ts").isNotNull())
-                 .select("commit_ts", *COMMIT_KEYS, "offset").unionByName(fresh))
+        columns = ["commit_ts", *COMMIT_KEYS, "offset"]
+        fresh = between(commits, since, latest, "commit_ts").select(*columns)
+        known = carried.where(F.col("commit_ts").isNotNull()).select(*columns).unionByName(fresh)
     else:
         known = commits.where(F.col("commit_ts") <= F.lit(latest))
     return known.checkpoint(eager=True)
@@ -178,7 +178,7 @@ def save_commit_state(known: DataFrame, state_root: str, batch_id: int, latest)
 
 
 def between(df: DataFrame, lo, hi, ts_col: str = "scrape_ts") -> DataFrame:
-    """The rows of a span of scrapes; the bounds reach the scan, and prune
+    """The rows of a span of time; the bounds reach the scan, and prune
     date folders where the table has them."""
     out = df.where((F.col(ts_col) >= F.lit(lo)) & (F.col(ts_col) <= F.lit(hi)))
     day = ts_col.replace("_ts", "_date")

@@ -4,7 +4,7 @@ Both processors run in event-time mode on a stream watermarked on
 ``scrape_ts``.  A produce instant T is emitted for a key once the watermark
 has passed T, so every mark/observation at or before T is known.  Rows that
 arrive after T was emitted but belong to an earlier scrape are late and
-ignored (``scrape_ts <= last seen`` is dropped).  Observations newer than the
+ignored.  Observations newer than the
 last emitted instant are kept as a short pending list in state; an
 event-time timer at the next instant makes a key emit even when it receives
 no more rows (a vanished topic keeps reporting its last value).
@@ -48,7 +48,7 @@ METER_STATE = _schema(
     "ps_t array<double>, ps_v array<bigint>")
 
 CARRY_STATE = _schema(
-    "last_scrape double, last_emitted double, has_value boolean, value bigint, "
+    "last_folded double, last_emitted double, has_value boolean, value bigint, "
     "pend_t array<double>, pend_v array<bigint>")
 
 
@@ -188,7 +188,10 @@ class MeterProcessor(StatefulProcessor):
 
 
 class CarryForwardProcessor(StatefulProcessor):
-    """Last value of one gauge series at every produce instant after it is seen."""
+    """Last value of one gauge series at every produce instant after it is seen.
+
+    Observations may come in any order as long as the watermark has not passed
+    them: they wait, sorted by time, for the instant that reports them."""
 
     def __init__(self, keys: list[str], start: float, interval: float, count: int | None):
         self.keys = keys
@@ -206,16 +209,12 @@ class CarryForwardProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         st = self._load()
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf["_t"] = _seconds(pdf["scrape_ts"])
-        pdf = pdf.sort_values("_t", kind="stable")
-        pend_t, pend_v = list(st[4] or []), list(st[5] or [])
-        for t, v in zip(pdf["_t"].to_numpy(), pdf["value"].to_numpy()):
-            if t <= st[0]:
-                continue
-            pend_t.append(float(t))
-            pend_v.append(int(v))
-            st[0] = float(t)
-        st[4], st[5] = pend_t, pend_v
+        pending = dict(zip(st[4] or [], st[5] or []))
+        for t, v in zip(_seconds(pdf["scrape_ts"]), pdf["value"].to_numpy()):
+            if t > st[0]:   # newer than the value that stands
+                pending[float(t)] = int(v)
+        st[4] = sorted(pending)
+        st[5] = [pending[t] for t in st[4]]
         yield from self._emit(key, st, timerValues.getCurrentWatermarkInMs() / 1000.0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -237,7 +236,7 @@ class CarryForwardProcessor(StatefulProcessor):
             ticks, vals = ticks[seen], vals[seen]
             fold = pend_t <= upto
             if fold.any():
-                st[2], st[3] = True, int(pend_v[fold][-1])
+                st[0], st[2], st[3] = float(pend_t[fold][-1]), True, int(pend_v[fold][-1])
             st[4], st[5] = pend_t[~fold].tolist(), pend_v[~fold].tolist()
             st[1] = upto
             if len(ticks):

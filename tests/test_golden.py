@@ -207,6 +207,18 @@ def test_property_lag_plus_committed_is_newest(spark):
     assert bad.count() == 0
 
 
+def test_gauges_carried_on_wide_rows_equal_the_asof_of_each_series(spark):
+    from lagscope.operators import snapshot as SN
+    from lagscope.plans.metrics import MetricsJob
+    from lagscope.sources.fixtures import Fixture
+    job = MetricsJob.from_fixture(Fixture(spark, "/root/testdata/sf0.001", "H"))
+    cols = ["kind", "name", "key", "timestamp", "meta", "value"]
+    wide = job.gauge_snapshot.select(*cols)
+    each = SN.snapshot_asof(job.gauges, job.produce).select(*cols)
+    assert wide.exceptAll(each).count() == each.exceptAll(wide).count() == 0
+    assert each.where(F.col("name") == S.LEADER).count() > 0
+
+
 def test_property_snapshots_never_lose_a_series(spark):
     """Every series is reported at every produce instant from its first
     observation to the end of the grid."""

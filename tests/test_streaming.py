@@ -128,3 +128,23 @@ def test_open_grid_never_ends(spark):
     g = _Grid(30, 60, None)
     assert g.next_after(1e9) == 30 + 60 * ((10**9 - 30) // 60 + 1)
     assert list(g.between(29, 151)) == [30, 90, 150] and len(g.between(1e9, 1e9 + 600)) == 10
+
+
+def test_carry_forward_takes_observations_in_any_order(spark):
+    """A scrape that arrives after a later one, before the watermark has
+    passed it, still reports at its instants."""
+    base = J.work_dir(spark, "order")
+    at = lambda m: T0 + timedelta(minutes=m)
+    value = lambda m: 100 + m
+    for m in (3, 0, 2, 1, 30):
+        rows = spark.createDataFrame([("g", None, "t", 0, at(m), value(m))], "name string, g string, topic string, "
+                                     "partition int, timestamp timestamp, value bigint")
+        (rows.select("name", F.struct(F.col("g").alias("group"), "partition", "topic").alias("meta"), "timestamp",
+                     "value").coalesce(1).write.mode("append").parquet(f"{base}/g"))
+    schema = "name string, meta struct<group: string, partition: int, topic: string>, timestamp timestamp, value bigint"
+    stream = J.read_stream(spark, f"{base}/g", schema, files_per_trigger=1).withWatermark("timestamp", "10 minutes")
+    grid = M.ProduceGrid(int(T0.timestamp()) + 30, 60)
+    J.carry_forward_stream(stream, grid, f"{base}/out", f"{base}/ckpt")
+    got = {r["produce_ts"]: r["value"] for r in spark.read.parquet(f"{base}/out").collect()}
+    first = T0.replace(tzinfo=None) + timedelta(seconds=30)
+    assert [got.get(first + timedelta(minutes=m)) for m in range(6)] == [100, 101, 102, 103, 103, 103]

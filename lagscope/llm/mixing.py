@@ -109,12 +109,10 @@ def schedule(shares: DataFrame, bits: int, source: str = "source") -> DataFrame:
             .select(_source(F.col(source)).alias(source), "slot", "rank"))
 
 
-def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source",
-        block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """The columns of ``df`` and ``size``, ``source_size``, ``target`` and
-    ``taken`` (words of the row that the scheduled blocks take), under names
-    of their own where ``df`` has such columns."""
-    outs = fresh(df, "size", "source_size", "target", "taken")
+def _place(df: DataFrame, size: Column, id_col: str, source: str, block_words: int,
+           seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` at their places in their source's stream, and the
+    schedule's slots."""
     # a row travels as one struct, so its column names meet no others
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), _key(F.col(source)).alias("source"),
                      F.col(id_col).alias("id"), size.cast("bigint").alias("size"))
@@ -123,7 +121,7 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "sour
                        F.count("*")).first()
     total, least = float(whole[0] or 0.0), float(whole[1] or 1.0)
     slots = schedule(shares, _bits(int(max(total / block_words, LEAST_SLOTS * total / least, LEAST_SLOTS))))
-    slots = settle(slots.select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_rank")))
+    slots = settle(slots.select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_rank"), "slot"))
     n_slots = slots.groupBy(F.col("slot_source").alias("n_source")).agg(F.count("*").alias("n"))
     plan = (shares.join(n_slots, F.col("source") == F.col("n_source"), "left")
             .select(F.col("source").alias("plan_source"), "source_size", "target",
@@ -134,29 +132,55 @@ def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "sour
     shuffled = rows.withColumn("order", order).withColumn("bucket", F.pmod(F.col("order"), F.lit(BUCKETS)))
     placed = (prefix_sum(shuffled, ["source"], "bucket", ["order", "id", "size"], "size", "start")
               .join(plan, F.col("source") == F.col("plan_source"))
-              .select("row", "source", "size", "start", "source_size", "target", "n"))
+              .select("row", "id", "source", "size", "start", "source_size", "target", "n"))
+    return placed, slots
 
+
+def _scheduled(placed: DataFrame, slots: DataFrame) -> DataFrame:
+    """``(slot, source, id, start, at, first, words)``: what each slot's block
+    takes of each row; ``at`` is the place in the source's repeated stream."""
     # words [a, b) of the repeated stream that a row covers, by repetition,
     # then by block
     per_slot = F.col("target") / F.col("n")
     again = F.explode(F.array(*[F.lit(e) for e in range(MOST_TIMES)]))
     covers = (placed.where((F.col("size") > 0) & (F.col("n") > 0))
-              .select("source", "start", "size", "source_size", "target", "n", again.alias("e"))
+              .select("source", "id", "start", "size", "source_size", "target", "n", again.alias("e"))
               .withColumn("a", F.col("start") + F.col("e") * F.col("source_size"))
               .withColumn("b", F.least(F.col("a") + F.col("size"), F.floor("target")))
               .where("a < b")
-              .select("source", "start", "a", "b", "target", "n", F.explode(F.sequence(
+              .select("source", "id", "start", "a", "b", "target", "n", F.explode(F.sequence(
                   F.greatest(F.floor(F.col("a") / per_slot) - 1, F.lit(0)),
                   F.least(F.floor(F.col("b") / per_slot), F.col("n") - 1))).alias("rank"))
               .withColumn("from", F.greatest("a", F.floor(F.col("rank") * per_slot)))
               .withColumn("to", F.least("b", F.when(F.col("rank") == F.col("n") - 1, F.floor("target"))
                                         .otherwise(F.floor((F.col("rank") + 1) * per_slot))))
               .where("from < to")
-              .select("source", "start", "rank", (F.col("to") - F.col("from")).alias("words")))
+              .select("source", "id", "start", "rank", F.col("from").alias("at"),
+                      (F.col("from") - F.col("a")).alias("first"), (F.col("to") - F.col("from")).alias("words")))
     # the slots grow with the words: never broadcast, whatever they are taken for
-    took = (covers.join(slots.hint("merge"), (F.col("source") == F.col("slot_source"))
+    return (covers.join(slots.hint("merge"), (F.col("source") == F.col("slot_source"))
                         & (F.col("rank") == F.col("slot_rank")))
-            .groupBy("source", "start").agg(F.sum("words").alias("words"))
+            .select("slot", "source", "id", "start", "at", "first", "words"))
+
+
+def mixture(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source",
+            block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+    """The mix itself, ``(slot, at, source, id, first, words)``: by ``slot``, then
+    ``at``, the next ``words`` words of document ``id``, from its word
+    ``first`` (0 is the first one) on."""
+    pieces = _scheduled(*_place(df, size, id_col, source, block_words, seed))
+    return pieces.select("slot", "at", _source(F.col("source")).alias("source"), "id", "first", "words")
+
+
+def mix(df: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source",
+        block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+    """The columns of ``df`` and ``size``, ``source_size``, ``target`` and
+    ``taken`` (words of the row that the scheduled blocks take: the sum of its
+    words in ``mixture``), under names of their own where ``df`` has such
+    columns."""
+    outs = fresh(df, "size", "source_size", "target", "taken")
+    placed, slots = _place(df, size, id_col, source, block_words, seed)
+    took = (_scheduled(placed, slots).groupBy("source", "start").agg(F.sum("words").alias("words"))
             .select(F.col("source").alias("took_source"), F.col("start").alias("took_start"), "words"))
     taken = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("bigint")
     return (placed.join(took, (F.col("source") == F.col("took_source"))

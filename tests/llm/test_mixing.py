@@ -80,3 +80,25 @@ def test_word_count(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(M.word_count(F.col("t"))).collect()] == [
         len(re.findall("[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_the_mixture_holds_the_words_taken(spark):
+    from pyspark.sql import functions as F
+    docs = table(spark, "documents")
+    pieces = M.mixture(docs, M.word_count(F.col("text")), block_words=256).collect()
+    taken = {(r.source, r.doc_id): r for r in M.mix(docs, M.word_count(F.col("text")), block_words=256).collect()}
+    words, per_slot, streams = defaultdict(int), defaultdict(int), defaultdict(list)
+    for p in pieces:
+        assert 0 <= p["first"] and p["first"] + p.words <= taken[p.source, p.id]["size"]
+        words[p.source, p.id] += p.words
+        per_slot[p.source, p.slot] += p.words
+        streams[p.source].append(p)
+    assert words == {k: r.taken for k, r in taken.items() if r.taken}
+    assert len({slot for _, slot in per_slot}) == len(per_slot)   # a slot has one source
+    for source, found in streams.items():
+        slots = [n for (s, _), n in per_slot.items() if s == source]
+        assert max(slots) - min(slots) <= 2
+        end = 0
+        for p in sorted(found, key=lambda p: (p.slot, p["at"])):   # slots take the stream block by block
+            assert p["at"] == end
+            end += p.words

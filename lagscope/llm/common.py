@@ -45,16 +45,17 @@ def unit(*key: Column | str, seed: int = 11) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, label: str, per_class: int,
-                   max_classes: int = 64, seed: int = 11) -> DataFrame:
+                   max_classes: int | None = 64, seed: int = 11) -> DataFrame:
     """At most ``per_class`` rows of each of the ``max_classes`` commonest
-    values of ``label``, the same ones on every run: the rows with the
-    smallest hashes of ``key``.
+    values of ``label`` (None: of every value), the same ones on every run:
+    the rows with the smallest hashes of ``key``.
 
     Counts every row of each class first (only the label column is read), so
     a class is thinned by its own rate before the exact cut, and the window
     sees about ``2 * per_class`` rows of a class however common it is."""
     counts = (df.where(F.col(label).isNotNull()).groupBy(label).count()
-              .orderBy(F.desc("count"), label).limit(max_classes).collect())
+              .orderBy(F.desc("count"), label))
+    counts = (counts if max_classes is None else counts.limit(max_classes)).collect()
     if not counts:
         return df.limit(0)
     rate = F.create_map(*[F.lit(x) for r in counts

@@ -123,9 +123,12 @@ class LanguageModel:
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id",
         per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Learn from at most ``per_language`` rows of each language."""
+    """Learn every language that has a row, from at most ``per_language`` rows
+    of each. The machines grow with the square of the families and of a
+    family's languages."""
     rows = bounded_sample(df.select(F.col(key).alias("key"), F.col(text).alias("text"),
-                                    F.col(label).alias("label")), "key", "label", per_language)
+                                    F.col(label).alias("label")), "key", "label", per_language,
+                          max_classes=None)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

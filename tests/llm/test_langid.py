@@ -39,3 +39,19 @@ def test_stage_keeps_clean_rows_and_columns(spark):
     assert kept.join(docs, "doc_id", "left_semi").count() >= 0.99 * docs.count()
     assert None not in ids and "" not in ids and "12345 ### 678" not in ids
     assert rows(kept.select("text").where("text = 'x y z'")) == [("x y z",)] * 2
+
+
+def test_every_language_is_learned_however_many(spark):
+    """70 labels; the six rarest have fewer rows than any other."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def text(k, row):
+        a, b, c = letters[k % 26], letters[(k // 26 * 7 + k + 1) % 26], letters[(k * 5 + 3) % 26]
+        return " ".join((a + b + c) * (1 + (row + i) % 3) for i in range(12))
+
+    labels = [f"x{k:02}" for k in range(70)]
+    docs = spark.createDataFrame([(100 * k + row, text(k, row), label) for k, label in enumerate(labels)
+                                  for row in range(4 if k < 64 else 3)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert sorted(x for members in model.families.values() for x in members) == labels
+    assert [model.predict(text(k, 1))[0] for k in range(64, 70)] == labels[64:]

@@ -6,17 +6,20 @@ A conversation is a log of events in sequence order:
 * ``delta``: appends its text to message ``msg``, starting it if need be;
 * ``edit``: replaces the text of message ``msg``;
 * ``regenerate``: takes back message ``msg`` and every message that had
-  started after it; what follows in the log stands in their place.
+  started after it; what follows in the log stands in their place, under
+  new ids or under the same ones.
 
 Logs are partitioned by conversation and folded into final messages, which
 are rendered in order into one text per conversation with a loss mask over
 the assistant's texts.
 
 Bounded memory: events are sorted by (conversation, message, sequence) and
-folded as a stream, one message at a time; regenerations are a running
-minimum; rendering is a stream over sorted messages that keeps an offset. A
-conversation of any length is never collected: the rendered text is one row
-per message, with its offset in the conversation's text.
+folded as a stream, one message at a time; what regenerations take back is
+found before, in a stream of the conversations that have any, which holds the
+ids of a conversation's standing messages and no text; rendering is a stream
+over sorted messages that keeps an offset. A conversation's texts are never
+collected: the rendered text is one row per message, with its offset in the
+conversation's text.
 
 Template: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Inside a role or a text,
 every ``<`` that is followed by any number of backslashes and ``|`` gets one
@@ -38,7 +41,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
@@ -71,13 +74,15 @@ def fold(events: DataFrame) -> DataFrame:
     """``(conv, at, role, text)``: the final messages of ``events(conv, msg,
     seq, kind, role, text)``; ``conv`` becomes text, ``at`` is the sequence
     number at which a message started."""
-    numbered = events.withColumn("seq", F.coalesce("seq", F.lit(_FIRST)))
-    keyed = numbered.select(
-        F.col("conv").cast("string").alias("conv"), F.coalesce(F.concat(F.lit("m:"), "msg"),
-                           F.concat(F.lit("s:"), F.col("seq"), F.lit(":"), F.monotonically_increasing_id()))
-        .alias("msg"), "seq", F.coalesce("kind", F.lit("message")).alias("kind"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    own = keyed.where(F.col("kind") != "regenerate")
+    rows = events.select(
+        F.col("conv").cast("string").alias("conv"), "msg", F.coalesce("seq", F.lit(_FIRST)).alias("seq"),
+        F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"))
+    # events without an id that are equal in all else share a key and are counted
+    content = F.sha2(F.concat(*[x for c in ("kind", "role") for x in (F.length(c), F.lit(":"), F.col(c))], "text"), 256)
+    keyed = rows.withColumn("msg", F.coalesce(F.concat(F.lit("m:"), "msg"),
+                                              F.concat(F.lit("s:"), "seq", F.lit(":"), content)))
+    own = keyed.where(F.col("kind") != "regenerate").unionByName(cuts(keyed))
     streamed = (own.repartition("conv", "msg")
                 .sortWithinPartitions("conv", "msg", "seq", "kind", "role", "text"))
 
@@ -89,41 +94,66 @@ def fold(events: DataFrame) -> DataFrame:
                     index=False, name=None):
                 if (conv, msg) != now:
                     if state:
-                        out.append(state.row())
+                        out += state.rows()
                     now, state = (conv, msg), None
-                if state is None:
+                if kind == "regenerate":
+                    # taken back; what follows under this id is a new message
+                    state = None
+                elif state is None:
                     # nothing to edit yet
-                    state = _Message(conv, msg, seq, role, [text]) if kind != "edit" else None
-                    now = now if state else None
+                    state = _Message(conv, seq, role, [text]) if kind != "edit" else None
+                elif msg.startswith("s:"):
+                    state.times += 1
                 elif kind == "delta":
                     state.parts.append(text)
                 else:
                     state.parts = [text]
                     state.role = role or state.role
-            yield pd.DataFrame(out, columns=["conv", "msg", "at", "role", "text"])
+            yield pd.DataFrame(out, columns=["conv", "at", "role", "text"])
         if state:
-            yield pd.DataFrame([state.row()], columns=["conv", "msg", "at", "role", "text"])
-
-    final = streamed.mapInPandas(messages, "conv string, msg string, at long, role string, text string")
-    # the earliest start that any later regeneration takes back
-    again = (keyed.where(F.col("kind") == "regenerate").select("conv", "msg", F.col("seq").alias("when"))
-             .join(own.where(F.col("kind") != "edit").groupBy(F.col("conv").alias("c"), "msg").agg(F.min("seq").alias("at")),
-                   ["msg"]).where(F.col("conv").eqNullSafe(F.col("c"))).select("conv", "when", F.col("at").alias("target")))
-    marks = (final.select("conv", F.col("at").alias("seq"), "at", "role", "text", F.lit(None).cast("bigint")
-                          .alias("target"))
-             .unionByName(again.select("conv", F.col("when").alias("seq"), "target"), allowMissingColumns=True))
-    later = Window.partitionBy("conv").orderBy(F.desc("seq")).rangeBetween(Window.unboundedPreceding, -1)
-    return (marks.withColumn("undone", F.min("target").over(later))
-            .where(F.col("target").isNull() & (F.col("undone").isNull() | (F.col("undone") > F.col("at"))))
-            .select("conv", "at", "role", "text"))
+            yield pd.DataFrame(state.rows(), columns=["conv", "at", "role", "text"])
+
+    return streamed.mapInPandas(messages, "conv string, at long, role string, text string")
+
+
+def cuts(keyed: DataFrame) -> DataFrame:
+    """One ``regenerate`` event for every message that a regeneration takes
+    back, at the regeneration's place in the log.
+
+    Only conversations with a regeneration are read, each as a stream in log
+    order; texts order events of equal sequence and stay out of the stream."""
+    again = keyed.where(F.col("kind") == "regenerate").select(F.col("conv").alias("c")).distinct()
+    log = (keyed.join(again, F.col("conv").eqNullSafe(F.col("c")), "left_semi").where(F.col("kind") != "edit")
+           .repartition("conv").sortWithinPartitions("conv", "seq", "kind", "role", "text", "msg")
+           .select("conv", "msg", "seq", "kind"))
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, standing = object(), {}
+        for b in batches:
+            out = []
+            for conv, msg, seq, kind in b[["conv", "msg", "seq", "kind"]].itertuples(index=False, name=None):
+                if conv != now:
+                    now, standing = conv, {}   # ids in the order of their start
+                if kind != "regenerate":
+                    standing.setdefault(msg)
+                elif msg in standing:
+                    while True:
+                        last, _ = standing.popitem()
+                        out.append((conv, last, seq))
+                        if last == msg:
+                            break
+            yield pd.DataFrame(out, columns=["conv", "msg", "seq"])
+
+    return log.mapInPandas(taken, "conv string, msg string, seq long").select(
+        "conv", "msg", "seq", F.lit("regenerate").alias("kind"), F.lit("").alias("role"), F.lit("").alias("text"))
 
 
 class _Message:
-    def __init__(self, conv, msg, at, role, parts):
-        self.conv, self.msg, self.at, self.role, self.parts = conv, msg, at, role, parts
+    def __init__(self, conv, at, role, parts):
+        self.conv, self.at, self.role, self.parts, self.times = conv, at, role, parts, 1
 
-    def row(self):
-        return self.conv, self.msg, self.at, self.role, "".join(self.parts)
+    def rows(self):
+        return [(self.conv, self.at, self.role, "".join(self.parts))] * self.times
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -98,3 +98,53 @@ def test_rendered_text_and_mask(spark):
                      "<|im_start|>assistant\ngood day<|im_end|>\n")
     assert [r.start for r in rows] == [whole.index(r.segment) for r in rows]
     assert [whole[r.loss_start:r.loss_end] for r in rows if r.loss_start is not None] == ["good day"]
+
+
+def test_ids_used_again_after_a_regeneration(spark):
+    """Regenerated and removed ids come back, as do equal ids in other
+    conversations; the log in order is the reference."""
+    import random
+    rng = random.Random(5)
+    events = [("r", "q", 1, "message", "user", "hi"), ("r", "a", 2, "message", "assistant", "old"),
+              ("r", "a", 3, "regenerate", None, None), ("r", "a", 4, "delta", "assistant", "ne"),
+              ("r", "a", 5, "delta", None, "w")]
+    for conv in ("a", "b", "c", "d", None):
+        seq = 0
+        for step in range(120):
+            seq += rng.randint(1, 3)
+            kind = rng.choices(("message", "delta", "edit", "regenerate"), (3, 4, 2, 1))[0]
+            events.append((conv, f"m{rng.randrange(9)}", seq, kind, rng.choice(("user", "assistant")), f"t{step} "))
+    plain = [e[:4] + (None if e[3] in ("delta", "edit") and i > 4 and i % 2 else e[4],) + e[5:] for i, e in enumerate(events)]
+    want = final(plain)
+    assert ("r", 4, "assistant", "new") in want and len(want) > 10
+    rng.shuffle(plain)
+    assert sorted(map(tuple, C.fold(spark.createDataFrame(plain, EVENTS)).collect()), key=repr) == want
+
+
+def final(events):
+    """``brute_fold`` with roles: a later message or edit may bring one."""
+    out = {}
+    for conv, msg, seq, kind, role, text in sorted(events, key=lambda e: e[2]):
+        log = out.setdefault(conv, [])
+        at = next((i for i, m in enumerate(log) if m[0] == msg), None)
+        if kind == "regenerate":
+            if at is not None:
+                del log[at:]
+        elif at is None:
+            if kind != "edit":
+                log.append([msg, seq, role or "", text])
+        elif kind == "delta":
+            log[at][3] += text
+        else:
+            log[at][2:] = [role or log[at][2], text]
+    return sorted(((c, m[1], m[2], m[3]) for c, log in out.items() for m in log), key=repr)
+
+
+def test_events_without_id_and_of_equal_sequence(spark):
+    events = [("c", None, 1, "message", "user", "same"), ("c", None, 1, "message", "user", "same"),
+              ("c", "a", 2, "message", "assistant", "x"), ("c", None, 3, "message", "user", "gone"),
+              ("c", "b", 4, "message", "user", "tie"), ("c", "a", 4, "regenerate", None, None),
+              ("c", None, 5, "message", "user", "gone"), ("c", None, 6, "edit", "user", "nothing")]
+    got = sorted(map(tuple, C.fold(spark.createDataFrame(events, EVENTS)).collect()))
+    # a regeneration comes after the messages of its own sequence number
+    assert got == [("c", 1, "user", "same"), ("c", 1, "user", "same"), ("c", 5, "user", "gone")]

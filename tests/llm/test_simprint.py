@@ -70,3 +70,46 @@ def test_search_finds_everything_in_the_radius(spark, radius, blocks):
     d = lambda x, y: int(np.bitwise_count(x ^ y).sum())
     assert got == {(tuple(signed[i]), tuple(signed[j]), d(rows[i], rows[j])) for i in range(6)
                    for j in range(len(rows)) if d(rows[i], rows[j]) <= radius}
+
+
+def test_default_search_is_exact_far_out(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, S.WORDS).astype(np.uint64)
+    rows = []
+    for k in (0, 8, 20, 30, 39, 40, 41, 41, 41, 42, 43, 60):
+        x = base.copy()
+        for bit in rng.choice(S.BITS, k, replace=False):
+            x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append((x.view(np.int64).tolist(), 1))
+    # three bits in all blocks but one with two: the least that one block shows
+    x = base.copy()
+    for t, (start, _, _) in enumerate(S.block_plan(S.RADIUS, S.BLOCKS)):
+        for bit in range(start, start + 3 - (t == 5)):
+            x[bit // 64] ^= np.uint64(1) << np.uint64(63 - bit % 64)
+    rows.append((x.view(np.int64).tolist(), 1))
+    index = spark.createDataFrame(rows, "fp array<bigint>, n long")
+    got = sorted(r.distance for r in S.search(index.limit(1), index).collect())
+    assert got == [0, 8, 20, 30, 39, 40, 41, 41, 41, 41]
+
+
+def test_near_copies_are_found_and_named(spark):
+    """One word in a hundred replaced; exact copies share a fingerprint."""
+    import random
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    docs, want = [], {}
+    for k in range(20):
+        text = [rng.choice(words) for _ in range(rng.choice((60, 200, 600)))]
+        near = list(text)
+        for i in rng.sample(range(len(text)), max(1, len(text) // 100)):
+            near[i] = "changed"
+        docs += [(100 * k, " ".join(text)), (100 * k + 1, " ".join(near)), (100 * k + 2, " ".join(near))]
+        want[100 * k] = {100 * k, 100 * k + 1, 100 * k + 2}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found, of = S.members(df)
+    asked = of.where("doc_id % 100 = 0").select(F.col("fp").alias("query"), F.col("doc_id").alias("q"))
+    got = {}
+    for q, doc in found.join(asked, "query").join(of, "fp").select("q", "doc_id").collect():
+        got.setdefault(q, set()).add(doc)
+    assert got == want
+    assert {r.doc_id: r.n_within for r in S.op6(df).collect() if r.doc_id % 100 == 0} == dict.fromkeys(want, 2)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagscope.llm import (chat, decontaminate, langid, mixing, quality, secrets,
-                          simhash_dedup, simprint, toxicity, wrapper)
+from lagscope.llm import (chat, collocate, decontaminate, langid, mixing, quality, secrets,
+                          simhash_dedup, simprint, toxicity, warc, whitening, wrapper)
 from lagscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,12 @@ def queries() -> dict[str, Query]:
         "op9_language_id": _documents(langid.op9),
         "op10_chat_format": lambda spark, sf_dir: chat.op10(
             spark, table(spark, sf_dir, "conversations")),
+        "op11_whitening": lambda spark, sf_dir: whitening.op11(table(spark, sf_dir, "embeddings")),
+        "op12_warc": lambda spark, sf_dir: warc.op12(table(spark, sf_dir, "pages")),
+        "op13_collocations": _documents(collocate.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.ORACLE_SQL}
+    return {"op10_chat_format": chat.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL,
+            "op13_collocations": collocate.ORACLE_SQL}

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lagscope.llm.common import bounded_sample, fold, fresh
+from lagscope.llm.common import bounded_sample, fold, fresh, settle
 from lagscope.llm.linear import fit_sparse
 
 # ---------------------------------------------------------------------------
@@ -125,46 +125,51 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
         per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learn every language that has a row, from at most ``per_language`` rows
     of each. The machines grow with the square of the families and of a
-    family's languages."""
-    rows = bounded_sample(df.select(F.col(key).alias("key"), F.col(text).alias("text"),
+    family's languages; each is fitted in a task, from the profiles of its two
+    sides, and only its weights (16 kB) come to the driver."""
+    rows = bounded_sample(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"),
                                     F.col(label).alias("label")), "key", "label", per_language,
                           max_classes=None)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, lang in zip(b["text"], b["label"]):
+            for key, t, lang in zip(b["key"], b["text"], b["label"]):
                 for piece in (t, t[len(t) // 2:][:SHORT]) if t else ():
                     if (g := profile(piece)) is not None:
-                        out.append((lang, g[0].tolist(), g[1].tolist()))
-            yield pd.DataFrame(out, columns=["label", "at", "v"])
-
-    sample = (rows.select("text", "label")
-              .mapInPandas(grams, "label string, at array<int>, v array<double>").toPandas())
-    features = [(np.asarray(at, np.int64), np.asarray(v)) for at, v in zip(sample["at"], sample["v"])]
-    of = sample["label"].to_numpy()
-    languages = sorted(set(of))
+                        out.append((key, lang, g[0].astype("<u2").tobytes(), g[1].astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["key", "label", "at", "v"])
+
+    sample = settle(rows.select("key", "text", "label").mapInPandas(
+        grams, "key string, label string, at binary, v binary"))
+    languages = [r[0] for r in sample.select("label").distinct().orderBy("label").collect()]
     families: dict[str, tuple[str, ...]] = {}
     for x in languages:
         families[family_of(x)] = (*families.get(family_of(x), ()), x)
-    machines, weights, bias = {}, [], []
-
-    def machine(group: str, a: str, b: str, ins: list[str], outs: list[str]) -> None:
-        chosen = np.flatnonzero(np.isin(of, ins + outs))
-        y = np.isin(of[chosen], ins)
-        each = np.where(y, len(y) / (2 * y.sum()), len(y) / (2 * (~y).sum()))
-        w, at_zero = fit_sparse([features[i] for i in chosen], y, DIMENSIONS, "hinge", each)
-        machines[group, a, b] = len(bias)
-        weights.append(w)
-        bias.append(at_zero)
-
-    for a, b in combinations(families, 2):
-        machine("", a, b, list(families[a]), list(families[b]))
-    for family, members in families.items():
-        for a, b in combinations(members, 2):
-            machine(family, a, b, [a], [b])
-    return LanguageModel(families, machines,
-                         np.array(weights).reshape(len(bias), DIMENSIONS).T.copy(), np.array(bias))
+    sides = [("", a, b, families[a], families[b]) for a, b in combinations(families, 2)]
+    sides += [(family, a, b, (a,), (b,)) for family, members in families.items()
+              for a, b in combinations(members, 2)]
+    if not sides:
+        return LanguageModel(families, {}, np.zeros((DIMENSIONS, 0)), np.zeros(0))
+    roles = sample.sparkSession.createDataFrame(
+        [(x, i, y) for i, (_, _, _, ins, outs) in enumerate(sides)
+         for y, members in ((True, ins), (False, outs)) for x in members], "label string, machine int, side boolean")
+
+    def machine(b: pd.DataFrame) -> pd.DataFrame:
+        """One machine from the rows of its two sides, in a fixed order."""
+        b = b.sort_values(["key", "label", "at"], kind="stable")
+        y = b["side"].to_numpy(bool)
+        each = np.where(y, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (~y).sum())))
+        rows = [(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float))
+                for at, v in zip(b["at"], b["v"])]
+        w, bias = fit_sparse(rows, y, DIMENSIONS, "hinge", each)
+        return pd.DataFrame({"machine": [int(b["machine"].iloc[0])], "w": [w.astype("<f4").tobytes()], "bias": [bias]})
+
+    fitted = (sample.join(roles, "label").groupBy("machine")
+              .applyInPandas(machine, "machine int, w binary, bias double").orderBy("machine").collect())
+    return LanguageModel(
+        families, {side[:3]: i for i, side in enumerate(sides)},
+        np.stack([np.frombuffer(r.w, "<f4") for r in fitted], axis=1), np.array([r.bias for r in fitted]))
 
 
 def predictor(model: LanguageModel):

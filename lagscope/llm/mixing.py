@@ -3,7 +3,11 @@
 Every source gets a target number of words. The mix is a row of equal slots;
 slot ``i`` has the van der Corput point of ``i`` (its bits reversed), which
 the cumulative target shares map to a source, so every stretch of the mix
-holds the sources near their shares. The slots of a source are ranked; the
+holds the sources near their shares. A source with fewer than ``LEAST_SLOTS``
+points takes part blocks instead: ``LEAST_SLOTS`` slots between the others,
+evenly spaced from a golden-ratio point on. There are thus at most one slot
+for every ``BLOCK_WORDS`` words and ``LEAST_SLOTS`` for every source, however
+small one is. The slots of a source are ranked; the
 ``k``-th takes the ``k``-th block of the source's stream, its documents in
 shuffled order, again from the start when it is used up. A source's blocks
 are of equal size, its target over its number of slots.
@@ -29,9 +33,11 @@ from lagscope.llm.common import WORD, fresh, prefix_sum, settle
 WEIGHTS = (5, 2, 1)
 #: No source, and no document, is taken more often.
 MOST_TIMES = 3
-#: Words of a block, about; smaller if a source's share asks for more slots.
+#: Words of a block: so many or more, less than twice as many.
 BLOCK_WORDS = 1024
+#: Blocks of a source, at least; smaller ones if its words ask for it.
 LEAST_SLOTS = 16
+GOLDEN = (5 ** 0.5 - 1) / 2
 #: The table of sources is broadcast up to this many, else joined by shuffle.
 BROADCAST_SOURCES = 50_000
 #: Buckets that a source's documents and slots are ranked through.
@@ -84,29 +90,54 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size") -> Dat
                                F.lit(0.0)).alias("cum")))
 
 
-def _bits(slots: int) -> int:
-    return max(1, (slots - 1).bit_length())
+def _stretches(shares: DataFrame, bits: int, source: str = "source") -> DataFrame:
+    """``shares`` with ``lo`` and ``hi``, the source's stretch of the points,
+    ``n``, its number of slots, and ``minor``, its number among the sources
+    with part blocks (null: not one of them)."""
+    m = 1 << bits
+    all_targets = F.sum("target").over(Window.partitionBy())
+    point = [F.coalesce(F.ceil(F.round(x / all_targets * m, 6)), F.lit(0).cast("bigint"))
+             for x in (F.col("cum"), F.col("cum") + F.col("target"))]
+    few = (F.col("target") > 0) & (F.col("hi") - F.col("lo") < LEAST_SLOTS)
+    before = Window.orderBy(F.col(source).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    return (shares.withColumn("lo", F.when(F.col("target") > 0, point[0]).otherwise(0).cast("bigint"))
+            .withColumn("hi", F.when(F.col("target") > 0, point[1]).otherwise(0).cast("bigint"))
+            .withColumn("few", few)
+            .withColumn("minor", F.when(F.col("few"), F.coalesce(F.sum(F.col("few").cast("bigint")).over(before), F.lit(0))))
+            .withColumn("n", F.when(F.col("few"), LEAST_SLOTS).otherwise(F.col("hi") - F.col("lo")).cast("bigint"))
+            .drop("few"))
 
 
 def schedule(shares: DataFrame, bits: int, source: str = "source") -> DataFrame:
-    """``(source, slot, rank)``: the source of each of the ``2 ** bits`` slots
-    and the slot's rank within its source.
-
-    Reversing the bits maps the slots one to one on the points ``j``, so the
-    slots of a source are read off its stretch of the cumulative shares."""
+    """``(source, slot, rank)``: the source of each slot of the mix and the
+    slot's rank within its source; slots come in the order of their numbers,
+    which may have gaps.
+
+    Reversing the bits maps the ``2 ** bits`` slots one to one on the points
+    ``j``, so the slots of a source are read off its stretch of the cumulative
+    shares. The part blocks of ``minor`` sources stand after the slot at their
+    place; each has a number of its own there."""
     m = 1 << bits
-    all_targets = F.sum("target").over(Window.partitionBy())
-    point = [F.ceil(F.round(x / all_targets * m, 6)) for x in (F.col("cum"), F.col("cum") + F.col("target"))]
-    stretch = shares.where("target > 0").select(source, point[0].alias("lo"), point[1].alias("hi"))
+    plan = _stretches(shares, bits, source)
+    room = F.coalesce(F.max("minor").over(Window.partitionBy()) + 1, F.lit(0)) * LEAST_SLOTS + 1
+    plan = plan.withColumn("room", room)
     step = 1 << 14  # no array gets longer, however many slots a source has
-    pieces = (stretch.where("hi > lo")
-              .select(source, "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step))).alias("at"))
-              .select(source, F.explode(F.sequence("at", F.least(F.col("at") + step, "hi") - 1)).alias("j")))
-    slots = pieces.select(_key(F.col(source)).alias(source), F.conv(F.reverse(F.lpad(F.bin("j"), bits, "0")), 2, 10)
-                          .cast("bigint").alias("slot"))
+    pieces = (plan.where(F.col("minor").isNull() & (F.col("hi") > F.col("lo")))
+              .select(source, "hi", "room", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(step))).alias("at"))
+              .select(source, "room", F.explode(F.sequence("at", F.least(F.col("at") + step, "hi") - 1)).alias("j")))
+    turned = F.conv(F.reverse(F.lpad(F.bin("j"), bits, "0")), 2, 10).cast("bigint") if bits else F.lit(0).cast("bigint")
+    slots = pieces.select(_key(F.col(source)).alias(source), "room", turned.alias("slot"))
     slots = slots.withColumn("stretch", F.shiftright("slot", max(0, bits - 10))).withColumn("one", F.lit(1))
-    return (prefix_sum(slots, [source], "stretch", ["slot"], "one", "rank")
-            .select(_source(F.col(source)).alias(source), "slot", "rank"))
+    large = (prefix_sum(slots, [source], "stretch", ["slot"], "one", "rank")
+             .select(_source(F.col(source)).alias(source), (F.col("slot") * F.col("room")).alias("slot"),
+                     F.col("rank").cast("bigint").alias("rank")))
+    start = F.col("minor") * GOLDEN
+    place = F.floor((F.col("rank") + start - F.floor(start)) * m / LEAST_SLOTS)
+    small = (plan.where(F.col("minor").isNotNull())
+             .select(source, "room", "minor", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                                   F.lit(LEAST_SLOTS - 1).cast("bigint"))).alias("rank"))
+             .select(source, (place * F.col("room") + 1 + F.col("minor") * LEAST_SLOTS + F.col("rank")).alias("slot"), "rank"))
+    return large.union(small)
 
 
 def _place(df: DataFrame, size: Column, id_col: str, source: str, block_words: int,
@@ -117,16 +148,11 @@ def _place(df: DataFrame, size: Column, id_col: str, source: str, block_words: i
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), _key(F.col(source)).alias("source"),
                      F.col(id_col).alias("id"), size.cast("bigint").alias("size"))
     shares = settle(targets(rows.select("source", "size")))
-    whole = shares.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target"))),
-                       F.count("*")).first()
-    total, least = float(whole[0] or 0.0), float(whole[1] or 1.0)
-    slots = schedule(shares, _bits(int(max(total / block_words, LEAST_SLOTS * total / least, LEAST_SLOTS))))
-    slots = settle(slots.select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_rank"), "slot"))
-    n_slots = slots.groupBy(F.col("slot_source").alias("n_source")).agg(F.count("*").alias("n"))
-    plan = (shares.join(n_slots, F.col("source") == F.col("n_source"), "left")
-            .select(F.col("source").alias("plan_source"), "source_size", "target",
-                    F.coalesce("n", F.lit(0)).alias("n")))
-    plan = F.broadcast(plan) if whole[2] <= BROADCAST_SOURCES else plan
+    whole = shares.agg(F.sum("target"), F.count("*")).first()
+    bits = max(1, int(float(whole[0] or 0.0) / block_words)).bit_length() - 1
+    slots = settle(schedule(shares, bits).select(F.col("source").alias("slot_source"), F.col("rank").alias("slot_rank"), "slot"))
+    plan = _stretches(shares, bits).select(F.col("source").alias("plan_source"), "source_size", "target", "n")
+    plan = F.broadcast(plan) if whole[1] <= BROADCAST_SOURCES else plan
 
     order = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
     shuffled = rows.withColumn("order", order).withColumn("bucket", F.pmod(F.col("order"), F.lit(BUCKETS)))
@@ -198,5 +224,21 @@ def op7(documents: DataFrame) -> DataFrame:
 def stage(documents: DataFrame) -> DataFrame:
     """Every document with its ``size``, ``source_size``, ``target`` and the
     words that the mix takes of it (``taken``; 0: left out, more than
-    ``size``: repeated)."""
-    return mix(documents, word_count(F.col("text")))
+    ``size``: repeated).
+
+    The words are counted once, into a table without texts that the mix works
+    on; whole rows are shuffled once, to meet what was taken of them. Equal
+    rows meet as one and come out as many as they are."""
+    key, row = fresh(documents, "key", "row")
+    cols = [F.col(c) for c in documents.columns]
+    keyed = documents.withColumn(key, F.concat(F.hex(F.xxhash64(F.lit(1), *cols)), F.hex(F.xxhash64(F.lit(2), *cols))))
+    thin = settle(keyed.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), F.col("source").alias("source"),
+                               word_count(F.col("text")).alias("words")))
+    outs = fresh(documents, "size", "source_size", "target", "taken")
+    took = mix(thin, F.col("words"), "id").select(
+        F.col("key").alias("took_key"), *[F.col(c).alias(f"took_{i}") for i, c in enumerate(
+            ("size", "source_size", "target", "taken"))])
+    whole = keyed.groupBy(key).agg(F.first(F.struct(*cols)).alias(row))
+    return (took.join(whole, F.col("took_key") == F.col(key))
+            .select(*[F.col(row)[c].alias(c) for c in documents.columns],
+                    *[F.col(f"took_{i}").alias(out) for i, out in enumerate(outs)]))

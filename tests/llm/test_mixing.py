@@ -102,3 +102,31 @@ def test_the_mixture_holds_the_words_taken(spark):
         for p in sorted(found, key=lambda p: (p.slot, p["at"])):   # slots take the stream block by block
             assert p["at"] == end
             end += p.words
+
+
+def test_slots_are_bounded_however_small_a_source_is(spark):
+    rows = [(i, "a" if i % 2 else "b", 1000) for i in range(1000)] + [(5000, "tiny", 1), (5001, None, 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, words bigint")
+    from pyspark.sql import functions as F
+    placed, slots = M._place(df, F.col("words"), "doc_id", "source", 1024, 17)
+    by = defaultdict(list)
+    for r in slots.collect():
+        by[r.slot_source[1:] or None].append(r)
+    total = 1_000_041
+    assert sum(map(len, by.values())) <= total / 1024 + 16 * 2
+    assert len(by["tiny"]) == len(by[None]) == 16
+    numbers = [r.slot for rs in by.values() for r in rs]
+    assert len(set(numbers)) == len(numbers)
+    for rs in by.values():   # ranks follow the order of the mix
+        rs.sort(key=lambda r: r.slot)
+        assert [r.slot_rank for r in rs] == list(range(len(rs)))
+    end = max(numbers)
+    places = [r.slot / end for r in by["tiny"]]
+    assert all(abs((b - a) - 1 / 16) < 0.01 for a, b in zip(places, places[1:]))
+    got = M.mix(df, F.col("words")).collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r["size"]
+    target = brute_targets({"a": 500_000, "b": 500_000, "tiny": 1, None: 40})
+    assert all(t - 1.001 <= taken[s] <= t + 1e-6 for s, t in target.items())

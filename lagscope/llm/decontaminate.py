@@ -1,10 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of lower-cased words. A document and a benchmark item
-are compared if they share a seed, a run of ``MIN_MATCH`` words. The compared
+Texts are sequences of lower-cased words; in scripts that are written without
+spaces every character is a word. A document and a benchmark item
+are compared if they share a seed, a run of ``MIN_MATCH`` words, or the whole
+item where it has fewer. The compared
 pair is tiled: the longest matches among unmarked words are found by Karp-
 Rabin hashes and marked, again and again, until none of ``MIN_MATCH`` words
-is left. The share of the item's words under tiles is its coverage, wherever
+(or of the whole short item) is left. A length is tried by hashing its runs
+on both sides, and the longest one is found by halving, so time and memory are
+linear in both texts for each length of a tile, however often words repeat.
+The share of the item's words under tiles is its coverage, wherever
 and in whatever order the pieces stand in the document; an item with
 ``MIN_COVERAGE`` or more has leaked into the document.
 
@@ -16,8 +21,8 @@ in the document, so its ``k - 1`` positions with the commonest seeds need not
 be joined: any pair that counts still meets in another seed. Common passages
 thus make no pairs, and no pair is lost.
 
-Defined results: null and empty texts, and items or documents of less than
-``MIN_MATCH`` words, match nothing. Repeated rows and items are reported one
+Defined results: texts without words match nothing; an item of less than
+``MIN_MATCH`` words is found where it stands whole. Repeated rows and items are reported one
 by one, with null ids if they have null ids. Equal longest matches are marked
 in document order, then item order. Empty tables give an empty result.
 Columns are taken by name; others are not read."""
@@ -40,13 +45,25 @@ MIN_COVERAGE = 0.8
 MAP_BITS = 26
 
 _WORDS = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words (Thai, Lao, Myanmar,
+#: Khmer, kana, Han).
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uf900-\ufaff\U00020000-\U0003ffff]")
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def words(text: str | None) -> list[str]:
+    found = _WORDS.findall(text.lower()) if text else []
+    if found and _UNSPACED.search(text):
+        found = [p for w in found for p in (_UNSPACED.sub(r" \g<0> ", w).split() if _UNSPACED.search(w) else (w,))]
+    return found
 
 
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words."""
-    words = _WORDS.findall(text.lower()) if text else ()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    found = words(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def rolling(x: np.ndarray, m: int) -> np.ndarray:
@@ -68,38 +85,94 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class _Runs:
+    """Hashes of the runs of one text, of any length, over unmarked words."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.free = x, np.ones(len(x), bool)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * _powers(_BASE, len(x)))))
+        self.shift = _powers(_INVERSE, len(x) + 1)
+        self.used = np.zeros(len(x) + 1, np.int64)
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the unmarked runs of ``size`` words."""
+        at = np.flatnonzero(self.used[size:] == self.used[:len(self.used) - size])
+        return at, (self.sums[at + size] - self.sums[at]) * self.shift[at]
+
+    def mark(self, at: int, size: int) -> None:
+        self.free[at:at + size] = False
+
+    def settle(self) -> None:
+        self.used = np.concatenate(([0], np.cumsum(~self.free)))
+
+
+def _shared(doc: _Runs, item: _Runs, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(document starts, their hashes, item starts, their sorted hashes) of the
+    runs of ``size`` words that both have; None without any."""
+    i, hi = doc.of(size)
+    j, hj = item.of(size)
+    if not len(i) or not len(j):
+        return None
+    order = np.argsort(hj, kind="stable")
+    j, hj = j[order], hj[order]
+    both = hj[np.minimum(np.searchsorted(hj, hi), len(hj) - 1)] == hi
+    return (i[both], hi[both], j, hj) if both.any() else None
+
+
 def tile(doc: np.ndarray, item: np.ndarray, m: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Tiles (document start, item start, length), longest first."""
-    hd, hi = rolling(doc, m), rolling(item, m)
-    order = np.argsort(hi, kind="stable")
-    lo, up = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
-    n = up - lo
-    i = np.repeat(np.arange(len(hd)), n)
-    j = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else i
-    for k in range(m):  # equal hashes are checked word by word
-        same = doc[i + k] == item[j + k]
-        i, j = i[same], j[same]
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    free_d, free_i, tiles = np.ones(len(doc), bool), np.ones(len(item), bool), []
-    while len(i):
-        # seeds one after the other on a diagonal are one match
-        start = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 1) | (np.diff(i - j) != 0))))
-        length = np.diff(np.concatenate((start, [len(i)]))) + m - 1
-        best = start[length == length.max()]
-        size = int(length.max())
-        for at in best[np.lexsort((j[best], i[best]))]:
-            a, b = int(i[at]), int(j[at])
-            if free_d[a:a + size].all() and free_i[b:b + size].all():
-                free_d[a:a + size] = free_i[b:b + size] = False
-                tiles.append((a, b, size))
-        used_d = np.concatenate(([0], np.cumsum(~free_d)))
-        used_i = np.concatenate(([0], np.cumsum(~free_i)))
-        open_ = (used_d[i + m] == used_d[i]) & (used_i[j + m] == used_i[j])
-        i, j = i[open_], j[open_]
+    a, b, tiles = _Runs(doc), _Runs(item), []
+    most = min(len(doc), len(item))
+    while most >= m and (found := _shared(a, b, m)):
+        low, size = m, most  # a run of ``low`` words is shared
+        if (whole := _shared(a, b, most)):
+            low, found = most, whole
+        while size - low > 1:
+            half = (low + size) // 2
+            if (longer := _shared(a, b, half)):
+                low, found = half, longer
+            else:
+                size = half
+        size, (i, hi, j, hj) = low, found
+        starts = np.searchsorted(hj, hi, "left").tolist()
+        ends = np.searchsorted(hj, hi, "right").tolist()
+        after: dict[int, int] = {}  # places of a run that are marked stay so
+        before, last = len(tiles), -1
+        for at, lo, up in zip(i.tolist(), starts, ends):
+            if at < last:
+                continue
+            k = after.get(lo, lo)
+            while k < up and not b.free[j[k]:j[k] + size].all():
+                k += 1
+            after[lo] = k
+            # equal hashes are checked word by word
+            while k < up and not (b.free[j[k]:j[k] + size].all()
+                                  and np.array_equal(doc[at:at + size], item[j[k]:j[k] + size])):
+                k += 1
+            if k < up:
+                a.mark(at, size)
+                b.mark(int(j[k]), size)
+                tiles.append((at, int(j[k]), size))
+                last = at + size
+        a.settle()
+        b.settle()
+        most = size - 1
+        if len(tiles) > before and not b.free.any():
+            break
     return tiles
 
 
+def _least(n: int, m: int) -> int:
+    """Words of a seed of an item of ``n`` words."""
+    return min(max(n, 1), m)
+
+
 def _item_seeds(benchmark: DataFrame, m: int) -> DataFrame:
     """``(item, seed, times, n)`` by item row."""
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +180,9 @@ def _item_seeds(benchmark: DataFrame, m: int) -> DataFrame:
             out = []
             for item, text in zip(b["item"], b["text"]):
                 x = tokens(text)
-                found, times = np.unique(rolling(x, m).view(np.int64), return_counts=True)
+                if not len(x):
+                    continue
+                found, times = np.unique(rolling(x, _least(len(x), m)).view(np.int64), return_counts=True)
                 out += [(item, s, t, len(x)) for s, t in zip(found.tolist(), times.tolist())]
             yield pd.DataFrame(out, columns=["item", "seed", "times", "n"])
 
@@ -142,12 +217,14 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                                     F.col(item_text).alias("item_text")))
     seeds = settle(_item_seeds(items.withColumnRenamed("item_text", "text"), m))
     bits = spark.sparkContext.broadcast(_seed_map(seeds))
+    short = [r.n for r in seeds.where(F.col("n") < m).select("n").distinct().collect()]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for key, t in zip(b["id"], b["text"]):
-                h = rolling(tokens(t), m)
+                x = tokens(t)
+                h = np.concatenate([rolling(x, size) for size in (m, *short)])
                 one, two = _bits(h)
                 hit = _has(bits.value, one)
                 if hit.any():
@@ -160,9 +237,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                    .where(F.col("text").isNotNull())
                    .mapInPandas(scan, "id string, text string, seeds array<bigint>")
                    .withColumn("row", F.monotonically_increasing_id()))
+    bits.destroy()
     hits = found.select("row", F.explode("seeds").alias("seed"))
     common = hits.groupBy("seed").agg(F.count("*").alias("df"))
-    k = F.ceil(F.col("n") * min_coverage / m)
+    k = F.greatest(F.ceil(F.col("n") * min_coverage / m), F.lit(1))
     above = (Window.partitionBy("item").orderBy(F.desc("df"), "seed")
              .rowsBetween(Window.unboundedPreceding, 0))
     rare = (seeds.join(common, "seed")
@@ -177,7 +255,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             out = []
             for key, t, item, it in zip(b["id"], b["text"], b["item_id"], b["item_text"]):
                 y = tokens(it)
-                tiles = tile(tokens(t), y, m)
+                tiles = tile(tokens(t), y, _least(len(y), m))
                 coverage = sum(x[2] for x in tiles) / len(y)
                 if coverage >= min_coverage:
                     out.append((key, item, coverage, len(tiles), tiles[0][2],

@@ -94,3 +94,22 @@ def test_common_seeds_lose_no_pair(spark):
                                  "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.item_id, r.n_tiles) for r in D.op5(docs, items).collect()), key=repr)
     assert got == brute(docs.collect(), items.collect()) and len(got) == 20
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    docs = spark.createDataFrame([(1, "he said forty two is it"), (2, "forty, TWO"), (3, "two forty"),
+                                  (4, "他说" "今天天气很好我们去公园" "散步"), (5, "今天天气不好"), (6, "ภาษาไทยไม่มีการเว้นวรรค"),
+                                  (7, "公園今天天气很好我们去玩")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "Forty two"), (2, "今天天气很好我们去公园"), (3, "ไม่มีการเว้นวรรค"), (4, "absent")],
+                                  "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in D.op5(docs, items).collect())
+    assert got == [(1, 1), (2, 1), (4, 2), (6, 3), (7, 2)]
+
+
+def test_tiling_is_linear_in_memory():
+    import tracemalloc
+    x, y = D.tokens("a " * 200_000), D.tokens("a " * 2000)
+    tracemalloc.start()
+    assert [tuple(t) for t in D.tile(x, y)] == [(0, 0, 2000)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()

@@ -7,7 +7,9 @@ coverage, path-likeness and neighbouring words which ones are secrets. It is
 trained from labelled findings; ``labelled_findings`` makes them where no
 reviewed ones are at hand: strings of known kinds, secret or harmless, set
 among the words of sampled documents, and the corpus' own long words, numbers
-and addresses as harmless ones.
+and addresses as harmless ones. Words and letter pairs are counted over all
+documents; the sample gives labelled findings only, and its texts stay in the
+tasks.
 
 Defined results: null and empty texts have no candidates. A string that
 occurs several times is reported at every place. Rows are scanned one by one,
@@ -34,12 +36,19 @@ from pyspark.sql import DataFrame, functions as F
 from lagscope.llm import forest
 from lagscope.llm.common import bounded_sample, fresh, settle
 
-#: Documents that give words, neighbours and harmless strings.
+#: Documents that labelled findings are set in and taken from, at most.
 SAMPLE_DOCUMENTS = 1500
+#: Made findings, about; they are dealt out over the sample.
+MADE = 4000
+#: The dictionary: so many of the words that most documents have.
 DICTIONARY_WORDS = 30_000
+#: Words that a task counts before it sends them on.
+HELD = 300_000
 LEAST_LENGTH = 16          # of a run without an assignment
 LEAST_VALUE = 8            # of a value after an assignment
 THRESHOLD = 0.5
+#: Tasks that label the sample.
+TASKS = 16
 MASK = "[SECRET]"
 
 # ---------------------------------------------------------------------------
@@ -110,15 +119,41 @@ class Language:
     words: frozenset[str]
 
     @staticmethod
-    def of(texts: list[str]) -> Language:
-        pairs, words = Counter(), Counter()
-        for t in texts:
-            for w in set(_LETTERS.findall(t.lower())):
-                words[w] += 1
-                pairs.update(w[i:i + 2] for i in range(len(w) - 1))
+    def of(df: DataFrame, text: str = "text") -> Language:
+        """Counted over all of ``text``: the words of three letters or more
+        that most rows have, up to ``DICTIONARY_WORDS`` (none of those that are
+        as common as the first one too many), and the pairs of a-z in the
+        words of all rows, once a row."""
+        def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: Counter[str] = Counter()
+            pairs: Counter[str] = Counter()
+
+            def sent() -> pd.DataFrame:
+                for w, n in held.items():
+                    for i in range(len(w) - 1):
+                        if "a" <= w[i] <= "z" and "a" <= w[i + 1] <= "z":
+                            pairs[w[i:i + 2]] += n
+                out = pd.DataFrame([(True, w, n) for w, n in held.items() if len(w) >= 3],
+                                   columns=["word", "item", "n"])
+                held.clear()
+                return out
+
+            for b in batches:
+                for t in b["text"]:
+                    held.update(set(_LETTERS.findall(t.lower())))
+                    if len(held) > HELD:
+                        yield sent()
+            yield sent()
+            yield pd.DataFrame([(False, p, n) for p, n in pairs.items()], columns=["word", "item", "n"])
+
+        counts = settle(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+                        .mapInPandas(runs, "word boolean, item string, n bigint")
+                        .groupBy("word", "item").agg(F.sum("n").alias("n")))
+        least = _least_kept(counts.where("word").select("n"), DICTIONARY_WORDS)
+        top = counts.where(F.col("word") & (F.col("n") >= least)).select("item").collect()
+        pairs = {r.item: r.n for r in counts.where("not word").collect()}  # 26 * 26 at most
         n = sum(pairs.values()) or 1
-        top = sorted((w for w in words if len(w) >= 3), key=lambda w: (-words[w], w))
-        return Language({p: math.log(c / n) for p, c in pairs.items()}, frozenset(top[:DICTIONARY_WORDS]))
+        return Language({p: math.log(c / n) for p, c in sorted(pairs.items())}, frozenset(r.item for r in top))
 
     def coverage(self, s: str) -> float:
         """Share of the characters in dictionary words, longest first."""
@@ -132,6 +167,26 @@ class Language:
         return covered / max(1, len(s))
 
 
+def _least_kept(counts: DataFrame, most: int, parts: int = 1024) -> int:
+    """The least ``n`` such that at most ``most`` rows have it or more. Looks
+    at ``parts`` ranges of ``n`` at a time; only their sizes reach the driver."""
+    low, high, above = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0
+    while low < high:   # ``above`` rows have ``high`` or more
+        width = -(-(high - low) // parts)
+        sizes = dict(counts.where((F.col("n") >= low) & (F.col("n") < high))
+                     .groupBy(F.floor((F.col("n") - low) / width)).count().collect())
+        for part in sorted(sizes, reverse=True):
+            if above + sizes[part] > most:
+                low, high = low + part * width, min(high, low + (part + 1) * width)
+                break
+            above += sizes[part]
+        else:
+            return low
+        if width == 1:
+            return high
+    return low
+
+
 FEATURES = ("length", "entropy", "distinct", "digits", "upper", "lower", "hex", "transitions", "pairs",
             "dictionary", "path", "extension", "separators", "run", "prefix", "secret_word",
             "harmless_word", "assigned", "quoted", "letters_only", "digits_only")
@@ -212,31 +267,43 @@ def _made(rng: random.Random, words: list[str]) -> tuple[str, str, str, int]:
     return (*rng.choice(secret if label else harmless), int(label))
 
 
-def labelled_findings(texts: list[str], language: Language, made: int = 4000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of made findings among words of the texts, and of
-    harmless strings of the texts themselves."""
-    rng = random.Random(seed)
+def labelled_findings(df: DataFrame, language: Language, made: int = MADE, key: str = "doc_id",
+                      text: str = "text", seed: int = 5) -> DataFrame:
+    """``(x, label)``: features and labels of made findings set in the rows of
+    ``df``, a bounded sample, and of all harmless strings of those rows
+    themselves. Without a row, made findings alone."""
     words = sorted(w for w in language.words if w.isascii()) or list(HARMLESS_WORDS)
-    around = [t for t in texts if len(t) > 40] or [" ".join(words)]
-    x, y = [], []
-    for _ in range(made):
-        t = rng.choice(around)
-        cut = rng.randrange(len(t))
-        left, right = t[max(0, cut - 80):cut], t[cut:cut + 40]
-        before, s, after, label = _made(rng, words)
-        text = f"{left} {before}{s}{after} {right}"
-        at = len(left) + 1 + len(before)
-        for a, b in candidates(text):
-            if a < at + len(s) and b > at:
-                x.append(features(text, a, b, language))
-                y.append(label)
-                break
-    for t in texts:
-        for a, b in candidates(t)[:4]:
-            if t[a:b].isalpha() or t[a:b].isdigit() or "@" in t[a:b]:
-                x.append(features(t, a, b, language))
-                y.append(0)
-    return np.array(x, float).reshape(-1, len(FEATURES)), np.array(y, float)
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where(F.length("text") > 40)
+    n = rows.count()
+    if not n:
+        rows = df.sparkSession.createDataFrame([("", " ".join(words[:500]))], "key string, text string")
+    each, shared = math.ceil(made / max(1, n)), df.sparkSession.sparkContext.broadcast((language, words))
+
+    def findings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        language, words = shared.value
+        for b in batches:
+            out: list[tuple[list[float], float]] = []
+            for key, t in zip(b["key"], b["text"]):
+                rng = random.Random(f"{seed} {key} {len(t)}")
+                for _ in range(each):
+                    cut = rng.randrange(len(t))
+                    left, right = t[max(0, cut - 80):cut], t[cut:cut + 40]
+                    before, s, after, label = _made(rng, words)
+                    whole = f"{left} {before}{s}{after} {right}"
+                    at = len(left) + 1 + len(before)
+                    for a, z in candidates(whole):
+                        if a < at + len(s) and z > at:
+                            out.append((features(whole, a, z, language), float(label)))
+                            break
+                for a, z in candidates(t) if n else ():
+                    if t[a:z].isalpha() or t[a:z].isdigit() or "@" in t[a:z]:
+                        out.append((features(t, a, z, language), 0.0))
+            yield pd.DataFrame(out, columns=["x", "label"])
+
+    found = settle(rows.repartition(TASKS, "key").sortWithinPartitions("key", "text")
+                   .mapInPandas(findings, "x array<double>, label double"))
+    shared.destroy()
+    return found
 
 
 @dataclass(frozen=True)
@@ -260,14 +327,10 @@ class SecretModel:
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", trees: int = 30) -> SecretModel:
     """Train from labelled findings in at most ``SAMPLE_DOCUMENTS`` texts."""
-    rows = bounded_sample(df.select(F.col(key).alias("key"), F.col(text).alias("text"),
+    language = Language.of(df, text)
+    rows = bounded_sample(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"),
                                     F.lit(1).alias("all")), "key", "all", SAMPLE_DOCUMENTS)
-    texts = [r[0] for r in rows.where(F.col("text").isNotNull()).orderBy("key").select("text").collect()]
-    language = Language.of(texts)
-    x, y = labelled_findings(texts, language)
-    spark = df.sparkSession
-    data = settle(spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "label": y}), "x array<double>, label double")
-                  .select(array_to_vector("x").alias("features"), "label"))
+    data = labelled_findings(rows, language, key="key").select(array_to_vector("x").alias("features"), "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=7, minInstancesPerNode=3, seed=3,
                                    featureSubsetStrategy="sqrt").fit(data)
     return SecretModel(language, forest.paths(model))

@@ -34,12 +34,13 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lagscope.llm.common import settle
 from lagscope.session import checkpoint_dir
@@ -50,11 +51,15 @@ TOP = 2000
 #: Entries of a hash container before it bursts.
 BURST = 8192
 #: Entries that a task's trie holds before subtrees are spilled.
-HELD = 400_000
+HELD = 500_000
+#: Entries of a run that travel in one row.
+ROW = 1000
 #: Words that a task turns into phrases at once.
 CHUNK = 400_000
 #: A prefix with one of so many parts of all words is split by its next word.
 HEAVY = 256
+#: Parts of a language where its total meets its phrases.
+SALTS = 64
 #: Bits of a map of frequent phrases, as powers of two: up to 8 MB.
 LEAST_BITS, MOST_BITS = 12, 26
 UNDETERMINED = "und"
@@ -80,10 +85,14 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > HELD:
             self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word) or 1
+        self[word] = x = xxhash.xxh64_intdigest(word, 42) or 1  # as in _id
         return x
 
 
+def _id(word: str) -> Column:
+    return F.when(F.xxhash64(word) == 0, 1).otherwise(F.xxhash64(word))
+
+
 class HatTrie:
     """Counts keys made of 8-byte words. ``spill`` yields sorted runs."""
 
@@ -211,8 +220,8 @@ def _texts(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def _count_words(texts: DataFrame) -> DataFrame:
-    """``(lang, id, word, n)`` runs; a null word holds a language's total."""
-    schema = pa.schema([("lang", pa.string()), ("id", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+    """``(lang, word, n)`` runs; a null word holds a language's total."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[bytes]] = {}
@@ -220,9 +229,7 @@ def _count_words(texts: DataFrame) -> DataFrame:
 
         def spill(lang: str) -> pa.RecordBatch:
             words = sorted(held.pop(lang).items())
-            ids = [xxhash.xxh3_64_intdigest(w) or 1 for w, _ in words]
             return pa.record_batch([pa.array([lang] * len(words), pa.string()),
-                                    pa.array(np.array(ids, np.uint64).view(np.int64)),
                                     pa.array([w for w, _ in words], pa.binary()),
                                     pa.array([n for _, n in words], pa.int64())], schema)
 
@@ -236,11 +243,10 @@ def _count_words(texts: DataFrame) -> DataFrame:
                     yield spill(max(held, key=lambda x: len(held[x])))
         for lang in list(held):
             yield spill(lang)
-        yield pa.record_batch([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()),
-                               pa.nulls(len(totals), pa.binary()),
+        yield pa.record_batch([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()),
                                pa.array(list(totals.values()), pa.int64())], schema)
 
-    return texts.mapInArrow(runs, "lang string, id bigint, word binary, n bigint")
+    return texts.mapInArrow(runs, "lang string, word binary, n bigint")
 
 
 def _encode(texts: DataFrame, frequent) -> DataFrame:
@@ -274,9 +280,11 @@ def _encode(texts: DataFrame, frequent) -> DataFrame:
 
 
 def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str, bytes]]]) -> DataFrame:
-    """``(lang, prefix, key, n)`` runs of phrases of ``k`` words whose parts of
-    ``k - 1`` words are in ``frequent``."""
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("key", pa.binary()), ("n", pa.int64())])
+    """``(lang, prefix, rests, times)`` runs of phrases of ``k`` words whose
+    parts of ``k - 1`` words are in ``frequent``: what follows the prefix, end
+    to end, and how often each occurs."""
+    schema = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("rests", pa.binary()),
+                        ("times", pa.list_(pa.int64()))])
 
     def prefix(lang: str, key: bytes) -> bytes:
         at = 8
@@ -287,23 +295,20 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
 
-        def rows(lang: str, run: list[tuple[bytes, int]]) -> pa.RecordBatch:
-            keys = [key for key, _ in run]
-            return pa.record_batch([pa.array([lang] * len(run), pa.string()),
-                                    pa.array([prefix(lang, key) for key in keys], pa.binary()),
-                                    pa.array(keys, pa.binary()),
-                                    pa.array([n for _, n in run], pa.int64())], schema)
-
-        def merged(lang: str, spilled) -> Iterator[pa.RecordBatch]:
-            """Runs of neighbouring subtrees in batches worth sending."""
-            held: list[tuple[bytes, int]] = []
+        def sent(lang: str, spilled: Iterator[list[tuple[bytes, int]]]) -> Iterator[pa.RecordBatch]:
+            """A row for each prefix of a run, in parts of a bounded size."""
+            out: list[tuple[bytes, bytes, list[int]]] = []
             for run in spilled:
-                held += run
-                if len(held) > 10_000:
-                    yield rows(lang, held)
-                    held = []
-            if held:
-                yield rows(lang, held)
+                for start, group in groupby(run, lambda e: prefix(lang, e[0])):
+                    for part in batched(group, ROW):
+                        out.append((start, b"".join(key[len(start):] for key, _ in part), [n for _, n in part]))
+                if len(out) > ROW:
+                    yield pa.record_batch([pa.array([lang] * len(out), pa.string()),
+                                           *(pa.array(c, t.type) for c, t in zip(zip(*out), list(schema)[1:]))], schema)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array([lang] * len(out), pa.string()),
+                                       *(pa.array(c, t.type) for c, t in zip(zip(*out), list(schema)[1:]))], schema)
 
         def count(lang: str, x: np.ndarray) -> None:
             h, whole = _grams(x, k - 1)
@@ -335,10 +340,10 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
                 for at in range(0, len(x), CHUNK):  # neighbouring chunks share k - 1 places
                     count(lang, x[at:at + CHUNK + k - 1])
                 if tries.get(lang) and tries[lang].full():
-                    yield from merged(lang, tries[lang].spill(HELD // 2))
+                    yield from sent(lang, tries[lang].spill(HELD // 2))
             while sum(t.entries for t in tries.values()) > HELD:
                 lang = max(tries, key=lambda t: tries[t].entries)
-                yield from merged(lang, tries[lang].spill(tries[lang].entries // 2))
+                yield from sent(lang, tries[lang].spill(tries[lang].entries // 2))
             held.clear()
 
         held: dict[str, list[np.ndarray]] = {}
@@ -353,9 +358,19 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
                     words = 0
         yield from flush(held)
         for lang, trie in tries.items():
-            yield from merged(lang, trie.spill(0))
+            yield from sent(lang, trie.spill(0))
+
+    return coded.mapInArrow(runs, "lang string, prefix binary, rests binary, times array<bigint>")
+
 
-    return coded.mapInArrow(runs, "lang string, prefix binary, key binary, n bigint")
+def _merged(runs: DataFrame, k: int) -> DataFrame:
+    """``(lang, key, f)`` of the runs; a prefix's runs meet in one partition."""
+    width = 8 * k - F.octet_length("prefix")
+    return (runs.repartition("lang", "prefix")
+            .select("lang", "prefix", "rests", F.posexplode("times").alias("i", "n"))
+            .select("lang", "prefix", F.substring("rests", F.col("i") * width + 1, width).alias("rest"), "n")
+            .groupBy("lang", "prefix", "rest").agg(F.sum("n").alias("f"))
+            .select("lang", F.concat("prefix", "rest").alias("key"), "f"))
 
 
 def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
@@ -366,15 +381,16 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", min_cou
     words' ids, 8 bytes each."""
     spark = df.sparkSession
     texts = _texts(df, text, lang)
-    counted = settle(_count_words(texts).repartition("lang", "id")
+    runs = _count_words(texts)
+    counted = settle(runs.repartition("lang", _id("word")).withColumn("id", _id("word"))
                      .groupBy("lang", "id", "word").agg(F.sum("n").alias("f"))
-                     .groupBy("lang", "id").agg(F.sum("f").alias("f"), F.count("*").alias("words"),
-                                                F.min("word").alias("word"))
-                     .where((F.col("f") >= min_count) | F.col("id").isNull() | (F.col("words") > 1)))
+                     .groupBy("lang", "id").agg(F.sum("f").alias("f"), F.count("word").alias("words"),
+                                                F.max("word").alias("word"))
+                     .where((F.col("f") >= min_count) | (F.col("words") != 1)))
     if counted.where(F.col("words") > 1).limit(1).count():
         raise ValueError("two words share a 64-bit id")
-    totals = counted.where(F.col("id").isNull()).select("lang", F.col("f").alias("n"))
-    words = counted.where(F.col("id").isNotNull()).select(
+    totals = counted.where(F.col("words") == 0).select("lang", F.col("f").alias("n"))
+    words = counted.where(F.col("words") == 1).select(
         "lang", F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), F.col("word").cast("string").alias("word"), "f")
     every = totals.agg(F.sum("n")).first()[0] or 0
     least = max(min_count, every // HEAVY)
@@ -386,13 +402,11 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", min_cou
     found, heavy = [words.select("lang", "key", F.lit(1).alias("k"), "f")], [heavies(words)]
     frequent = _frequent_map(spark, words)
     folder = f"{checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
-    _encode(texts, frequent).write.parquet(folder)
+    _encode(texts, frequent).write.parquet(folder, compression="zstd")
     coded = spark.read.schema("lang string, ids binary").parquet(folder)
     for k in range(2, max_words + 1):
-        runs = _count_phrases(coded, k, frequent, heavy)
-        phrases = settle(runs.repartition("lang", "prefix").groupBy("lang", "prefix", "key")
-                         .agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-                         .select("lang", "key", F.lit(k).alias("k"), "f"))
+        phrases = settle(_merged(_count_phrases(coded, k, frequent, heavy), k)
+                         .where(F.col("f") >= min_count).select("lang", "key", F.lit(k).alias("k"), "f"))
         frequent.destroy()
         found.append(phrases)
         heavy.append(heavies(phrases))
@@ -415,7 +429,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", min_coun
             .withColumn("rest", F.expr("substring(key, 8 * cut + 1)"))
             .join(part.select("lang", F.col("part").alias("first"), F.col("f").alias("l")), ["lang", "first"])
             .join(part.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-            .join(totals, "lang")
+            .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+            .join(totals.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))),
+                  ["lang", "salt"])
             .withColumn("score", F.expr(_SCORE)))
     scored = cuts.groupBy("lang", "key", "k", "a", "n").agg(
         F.min(F.struct("score", "cut", "l", "r")).alias("best"))

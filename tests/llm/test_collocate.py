@@ -56,7 +56,7 @@ def test_bursts_spills_and_chunks(spark, monkeypatch, seed):
     texts = [(rng.choice(["en", None, "und", "fr"]),
               "".join(rng.choice(words) + rng.choice(["  ", " ", "\t", " ", ". ", "\n", "!"]) for _ in range(rng.randrange(60))))
              for _ in range(400)]
-    for name, value in (("BURST", 3), ("HELD", 20), ("CHUNK", 7), ("HEAVY", 4)):
+    for name, value in (("BURST", 3), ("HELD", 20), ("CHUNK", 7), ("ROW", 2), ("HEAVY", 4)):
         monkeypatch.setattr(C, name, value)
     df = spark.createDataFrame(texts, "lang string, text string").repartition(5)
     assert mined(df, 12) == brute(texts, 12)
@@ -98,9 +98,8 @@ def test_edges(spark):
 
 
 def test_one_id_for_two_words_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(C.xxhash, "xxh3_64_intdigest", lambda w: 7)
+    from pyspark.sql import functions as F
     df = spark.createDataFrame([("en", "a a b b")], "lang string, text string")
-    counted = C._count_words
-    monkeypatch.setattr(C, "_count_words", lambda t: counted(t).selectExpr("lang", "if(id is null, null, 7L) id", "word", "n"))
+    monkeypatch.setattr(C, "_id", lambda word: F.when(F.col(word).isNotNull(), F.lit(7)))
     with pytest.raises(ValueError, match="share"):
         C.collocations(df, min_count=1)

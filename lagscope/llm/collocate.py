@@ -14,8 +14,10 @@ Phrases grow by a word at a time. A phrase of ``k`` words that occurs
 only places whose parts set a bit in a map of at most 8 MB, which is all that
 is broadcast. A false bit costs a count that the threshold removes; nothing is
 lost, and counts are exact. The first round also writes the texts as word ids
-(64-bit hashes) into the shared folder; two words of one id end the job with
-an error instead of a wrong count.
+into the shared folder. Ids are 64-bit hashes; two words of one id end the job
+with an error instead of a wrong count. Up to ``NARROW`` frequent words, whose
+hashes fill 8 MB at most, are broadcast and numbered, and ids have 4 bytes;
+more of them keep their hashes, 8 bytes wide, on the same path.
 
 Per language: ``n`` counts words, ``f`` occurrences of a phrase, overlaps
 included. A candidate's score is the least over its cuts of
@@ -60,6 +62,8 @@ CHUNK = 400_000
 HEAVY = 256
 #: Parts of a language where its total meets its phrases.
 SALTS = 64
+#: Frequent words that are numbered: 8 bytes each reach every task.
+NARROW = 1 << 20
 #: Bits of a map of frequent phrases, as powers of two: up to 8 MB.
 LEAST_BITS, MOST_BITS = 12, 26
 UNDETERMINED = "und"
@@ -94,13 +98,14 @@ def _id(word: str) -> Column:
 
 
 class HatTrie:
-    """Counts keys made of 8-byte words. ``spill`` yields sorted runs."""
+    """Counts keys made of words of ``width`` bytes. ``spill`` yields sorted
+    runs."""
 
     class Node(dict):
         """Next word -> node or container; a container is a plain dict."""
 
-    def __init__(self, burst: int = BURST, held: int = HELD):
-        self.root, self.burst, self.held = HatTrie.Node(), burst, held
+    def __init__(self, burst: int = BURST, held: int = HELD, width: int = 8):
+        self.root, self.burst, self.held, self.width = HatTrie.Node(), burst, held, width
         self.sizes: Counter[bytes] = Counter()
         self.entries = 0
 
@@ -113,13 +118,13 @@ class HatTrie:
         self.entries += new
 
     def _put(self, parent: dict, at: bytes, rest: list[bytes], times: list[int]) -> int:
-        here = parent[at]
+        here, width = parent[at], self.width
         if type(here) is HatTrie.Node:
             new, groups = 0, {}
             for r, t in zip(rest, times):
-                groups.setdefault(r[:8], ([], []))
-                groups[r[:8]][0].append(r[8:])
-                groups[r[:8]][1].append(t)
+                rs, ts = groups.setdefault(r[:width], ([], []))
+                rs.append(r[width:])
+                ts.append(t)
             for word, (rs, ts) in groups.items():
                 if word not in here:
                     here[word] = {}
@@ -129,10 +134,10 @@ class HatTrie:
         for r, t in zip(rest, times):
             here[r] = get(r, 0) + t
         new = len(here) - before
-        if len(here) > self.burst and len(rest[0]) > 8:
+        if len(here) > self.burst and len(rest[0]) > width:
             node = HatTrie.Node()
             for r, t in here.items():
-                node.setdefault(r[:8], {})[r[8:]] = t
+                node.setdefault(r[:width], {})[r[width:]] = t
             parent[at] = node
         return new
 
@@ -192,14 +197,15 @@ def _grams(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h, whole
 
 
-def _frequent_map(spark: SparkSession, frequent: DataFrame):
-    """Broadcast ``FrequentMap`` of ``(lang, key)``; the map's size follows the
-    rows up to ``MOST_BITS``, and only the map reaches the driver."""
+def _frequent_map(spark: SparkSession, frequent: DataFrame, width: int):
+    """Broadcast ``FrequentMap`` of ``(lang, key)``, words of ``width`` bytes;
+    the map's size follows the rows up to ``MOST_BITS``, and only the map
+    reaches the driver."""
     bits = min(MOST_BITS, max(LEAST_BITS, (32 * frequent.count()).bit_length()))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = np.frombuffer(b"".join(b["key"]), ">u8").astype(np.uint64).reshape(len(b), -1)
+            ids = np.frombuffer(b"".join(b["key"]), f">u{width}").astype(np.uint64).reshape(len(b), -1)
             salts = {lang: _salt(lang) for lang in b["lang"].unique()}
             h = reduce(lambda a, i: a * _BASE + i, ids.T, np.zeros(len(b), np.uint64))
             h ^= np.array([salts[lang] for lang in b["lang"]], np.uint64)
@@ -249,7 +255,13 @@ def _count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(runs, "lang string, word binary, n bigint")
 
 
-def _encode(texts: DataFrame, frequent) -> DataFrame:
+def _number(x: np.ndarray, numbered: np.ndarray) -> np.ndarray:
+    """Place of each hash among the numbered ones, from 1; 0 if it is none."""
+    at = np.minimum(np.searchsorted(numbered, x), max(0, len(numbered) - 1))
+    return np.where(numbered[at] == x, at + 1, 0).astype(np.uint64) if len(numbered) else np.zeros_like(x)
+
+
+def _encode(texts: DataFrame, frequent, numbered, width: int) -> DataFrame:
     """``(lang, ids)``: each text's word ids as bytes, 0 where a phrase ends."""
     schema = pa.schema([("lang", pa.string()), ("ids", pa.binary())])
 
@@ -266,6 +278,8 @@ def _encode(texts: DataFrame, frequent) -> DataFrame:
                     continue
                 x = np.array(words, np.uint64)
                 x[~frequent.value.has(x ^ _salt(lang))] = 0
+                if numbered is not None:
+                    x = _number(x, numbered.value)
                 near = x != 0
                 pair = near[1:] & near[:-1]
                 kept = np.concatenate((pair, [False])) | np.concatenate(([False], pair))
@@ -273,13 +287,14 @@ def _encode(texts: DataFrame, frequent) -> DataFrame:
                 x = x[kept | np.concatenate(([False], kept[:-1]))]  # one break after each run
                 if len(x):
                     langs.append(lang)
-                    out.append(x.tobytes())
+                    out.append(x.astype(f"<u{width}").tobytes())
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], schema)
 
     return texts.mapInArrow(run, "lang string, ids binary")
 
 
-def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str, bytes]]]) -> DataFrame:
+def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str, bytes]]],
+                   width: int) -> DataFrame:
     """``(lang, prefix, rests, times)`` runs of phrases of ``k`` words whose
     parts of ``k - 1`` words are in ``frequent``: what follows the prefix, end
     to end, and how often each occurs."""
@@ -287,9 +302,9 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
                         ("times", pa.list_(pa.int64()))])
 
     def prefix(lang: str, key: bytes) -> bytes:
-        at = 8
-        while at < len(key) and (lang, key[:at]) in heavy[at // 8 - 1]:
-            at += 8
+        at = width
+        while at < len(key) and (lang, key[:at]) in heavy[at // width - 1]:
+            at += width
         return key[:at]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,15 +339,15 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
             new = np.concatenate(([True], (rows_[1:] != rows_[:-1]).any(axis=1)))
             start = np.flatnonzero(new)
             times = np.diff(np.concatenate((start, [len(at)])))
-            keys = rows_[start].astype(">u8")
+            keys = rows_[start].astype(f">u{width}")
             by_first = np.argsort(keys[:, 0], kind="stable")
             raw, times = keys[by_first].tobytes(), times[by_first].tolist()
             first = keys[by_first, 0]
             cuts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
-            trie, size = tries.setdefault(lang, HatTrie()), 8 * k
+            trie, size = tries.setdefault(lang, HatTrie(width=width)), width * k
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                trie.add(raw[a * size:a * size + 8],
-                         [raw[i * size + 8:(i + 1) * size] for i in range(a, z)], times[a:z])
+                trie.add(raw[a * size:a * size + width],
+                         [raw[i * size + width:(i + 1) * size] for i in range(a, z)], times[a:z])
 
         def flush(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for lang, xs in held.items():
@@ -350,7 +365,7 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
         words = 0
         for b in batches:
             for lang, ids in zip(b.column("lang").to_pylist(), b.column("ids")):
-                x = np.frombuffer(ids.as_py(), np.uint64)
+                x = np.frombuffer(ids.as_py(), f"<u{width}").astype(np.uint64)
                 held.setdefault(lang, []).append(x)
                 words += len(x)
                 if words > CHUNK:
@@ -363,9 +378,9 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
     return coded.mapInArrow(runs, "lang string, prefix binary, rests binary, times array<bigint>")
 
 
-def _merged(runs: DataFrame, k: int) -> DataFrame:
+def _merged(runs: DataFrame, k: int, word: int) -> DataFrame:
     """``(lang, key, f)`` of the runs; a prefix's runs meet in one partition."""
-    width = 8 * k - F.octet_length("prefix")
+    width = word * k - F.octet_length("prefix")
     return (runs.repartition("lang", "prefix")
             .select("lang", "prefix", "rests", F.posexplode("times").alias("i", "n"))
             .select("lang", "prefix", F.substring("rests", F.col("i") * width + 1, width).alias("rest"), "n")
@@ -374,11 +389,11 @@ def _merged(runs: DataFrame, k: int) -> DataFrame:
 
 
 def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
-                  max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(totals, words, phrases)``: ``(lang, n)``; ``(lang, key, word, f)`` of
+                  max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """``(totals, words, phrases, width)``: ``(lang, n)``; ``(lang, key, word, f)`` of
     the words with ``min_count`` or more occurrences; ``(lang, key, k, f)`` of
     all phrases of up to ``max_words`` words with as many, where ``key`` is the
-    words' ids, 8 bytes each."""
+    words' ids, ``width`` bytes each."""
     spark = df.sparkSession
     texts = _texts(df, text, lang)
     runs = _count_words(texts)
@@ -391,7 +406,19 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", min_cou
         raise ValueError("two words share a 64-bit id")
     totals = counted.where(F.col("words") == 0).select("lang", F.col("f").alias("n"))
     words = counted.where(F.col("words") == 1).select(
-        "lang", F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), F.col("word").cast("string").alias("word"), "f")
+        "lang", "id", F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), F.col("word").cast("string").alias("word"), "f")
+    frequent = _frequent_map(spark, words, 8)
+    ids = words.select("id").distinct()
+    numbered, width = None, 8
+    if ids.count() <= NARROW:
+        numbered, width = spark.sparkContext.broadcast(np.sort(ids.toPandas()["id"].to_numpy(np.int64).view(np.uint64))), 4
+
+        @F.pandas_udf("binary")
+        def number(ids: pd.Series) -> pd.Series:
+            at = _number(ids.to_numpy(np.int64).view(np.uint64), numbered.value)
+            return pd.Series([int(i).to_bytes(4, "big") for i in at], dtype=object)
+
+        words = settle(words.withColumn("key", number("id")))
     every = totals.agg(F.sum("n")).first()[0] or 0
     least = max(min_count, every // HEAVY)
 
@@ -400,33 +427,34 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", min_cou
         return {(r.lang, bytes(r.key)) for r in phrases.where(F.col("f") > least).select("lang", "key").collect()}
 
     found, heavy = [words.select("lang", "key", F.lit(1).alias("k"), "f")], [heavies(words)]
-    frequent = _frequent_map(spark, words)
     folder = f"{checkpoint_dir(spark)}/phrases-{uuid.uuid4().hex}"
-    _encode(texts, frequent).write.parquet(folder, compression="zstd")
+    _encode(texts, frequent, numbered, width).write.parquet(folder, compression="zstd")
     coded = spark.read.schema("lang string, ids binary").parquet(folder)
     for k in range(2, max_words + 1):
-        phrases = settle(_merged(_count_phrases(coded, k, frequent, heavy), k)
+        phrases = settle(_merged(_count_phrases(coded, k, frequent, heavy, width), k, width)
                          .where(F.col("f") >= min_count).select("lang", "key", F.lit(k).alias("k"), "f"))
         frequent.destroy()
         found.append(phrases)
         heavy.append(heavies(phrases))
-        frequent = _frequent_map(spark, phrases)
+        frequent = _frequent_map(spark, phrases, width)
         if phrases.isEmpty():
             break
     frequent.destroy()
-    return totals, words, reduce(DataFrame.union, found)
+    if numbered is not None:
+        numbered.destroy()
+    return totals, words, reduce(DataFrame.union, found), width
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
                  max_words: int = MAX_WORDS, percent: int = 100) -> DataFrame:
     """``(lang, phrase, a, l, r, n, score)`` of every candidate that is not
     inside a longer one with ``percent`` of its occurrences or more."""
-    totals, words, phrases = phrase_counts(df, text, lang, min_count, max_words)
+    totals, words, phrases, width = phrase_counts(df, text, lang, min_count, max_words)
     candidates = phrases.where(F.col("k") > 1).select("lang", "key", "k", F.col("f").alias("a"))
     part = phrases.select("lang", F.col("key").alias("part"), F.col("f"))
     cuts = (candidates.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-            .withColumn("first", F.expr("substring(key, 1, 8 * cut)"))
-            .withColumn("rest", F.expr("substring(key, 8 * cut + 1)"))
+            .withColumn("first", F.expr(f"substring(key, 1, {width} * cut)"))
+            .withColumn("rest", F.expr(f"substring(key, {width} * cut + 1)"))
             .join(part.select("lang", F.col("part").alias("first"), F.col("f").alias("l")), ["lang", "first"])
             .join(part.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
             .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
@@ -438,13 +466,13 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", min_coun
     inner = (candidates.where(F.col("k") > 2)
              .withColumn("size", F.explode(F.sequence(F.lit(2), F.col("k") - 1)))
              .withColumn("at", F.explode(F.expr("sequence(0, k - size)")))
-             .groupBy("lang", F.expr("substring(key, 8 * at + 1, 8 * size)").alias("key"))
+             .groupBy("lang", F.expr(f"substring(key, {width} * at + 1, {width} * size)").alias("key"))
              .agg(F.max("a").alias("longer")))
     kept = (scored.join(inner, ["lang", "key"], "left")
             .where(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a")))
             .select("lang", "key", "k", "a", "n", "best"))
     spelled = (kept.withColumn("i", F.explode(F.expr("sequence(0, k - 1)")))
-               .withColumn("part", F.expr("substring(key, 8 * i + 1, 8)"))
+               .withColumn("part", F.expr(f"substring(key, {width} * i + 1, {width})"))
                .join(words.select("lang", F.col("key").alias("part"), "word"), ["lang", "part"])
                .groupBy("lang", "key", "a", "n", "best")
                .agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("words")))

@@ -174,7 +174,13 @@ def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGri
         state.select(*keys, "c", F.lit(1).alias("is_state"), "t_first", "k_first",
                      "count_before", "t_last_before", *[n for n, _, _ in rates]),
         allowMissingColumns=True)
-    start, step, count = grid.start, grid.interval, grid.count
+    return rows.groupBy(*keys, "c").applyInPandas(chunk_kernel(keys, grid, C, schema), schema=schema)
+
+
+def chunk_kernel(keys: list[str], grid: ProduceGrid, chunk_seconds: int, schema: T.StructType):
+    """Function of one (key, chunk): its marks and the row of the state that
+    enters it (``is_state``) to the snapshots at the chunk's instants."""
+    start, step, count, tpc = grid.start, grid.interval, grid.count, chunk_seconds // ewma.TICK_SECONDS
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         st = pdf[pdf["is_state"] == 1]
@@ -183,8 +189,8 @@ def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGri
         st = st.iloc[0]
         mk = pdf[pdf["is_state"] == 0].sort_values("t", kind="stable")
         c = int(st["c"])
-        lo = max(0, int(np.ceil((c * C - start) / step)))
-        hi = min(count, int(np.ceil(((c + 1) * C - start) / step)))
+        lo = max(0, int(np.ceil((c * chunk_seconds - start) / step)))
+        hi = min(count, int(np.ceil(((c + 1) * chunk_seconds - start) / step)))
         instants = start + step * np.arange(lo, max(lo, hi), dtype=np.float64)
         if pd.isna(st["count_before"]):
             state0 = None                  # the meter starts in this chunk
@@ -192,7 +198,7 @@ def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGri
             state0 = ewma.MeterState(
                 float(st["t_first"]), int(st["k_first"]), int(st["count_before"]),
                 float(st["t_last_before"]), c * tpc,
-                *[0.0 if pd.isna(st[n]) else float(st[n]) for n, _, _ in rates])
+                *[0.0 if pd.isna(st[n]) else float(st[n]) for n in ("r1", "r5", "r15")])
         cols, _ = ewma.advance(state0, mk["t"].to_numpy(), mk["d"].to_numpy().astype(np.int64),
                                instants)
         n = len(cols["produce"])
@@ -202,7 +208,7 @@ def meter_snapshots_chunked(deltas: DataFrame, keys: list[str], grid: ProduceGri
             out[col] = cols[col]
         return pd.DataFrame(out)
 
-    return rows.groupBy(*keys, "c").applyInPandas(kernel, schema=schema)
+    return kernel
 
 
 def meter_rows(snap: DataFrame, name: str, keys: list[str]) -> DataFrame:

@@ -285,6 +285,38 @@ def q_consumer_group_rate_meter(spark, sf_dir):
     return flat_meters(_job(spark, sf_dir, "H").group_meter)
 
 
+METER_CHUNK = 5 * 86_400
+
+
+def _stored_meters(spark, sums: DataFrame, keys: list[str], job: MetricsJob, until: int | None = None):
+    """Chunk after chunk through a meter store; ``(store, last chunk added,
+    snapshots)`` of the chunks up to ``until``."""
+    from lagscope.operators.meter_store import MeterStore
+    from lagscope.streaming.jobs import work_dir
+    sums = sums.select(*keys, "scrape_ts", "total").checkpoint(eager=True)
+    store = MeterStore(spark, work_dir(spark, "meters"), keys, METER_CHUNK)
+    first = (job.produce.start - 86_400) // METER_CHUNK
+    last = min(job.produce.end // METER_CHUNK, until if until is not None else job.produce.end)
+    after, out = None, None
+    for c in range(first, last + 1):
+        own = sums.where((F.col("scrape_ts") >= F.timestamp_seconds(F.lit(c * METER_CHUNK)))
+                         & (F.col("scrape_ts") < F.timestamp_seconds(F.lit((c + 1) * METER_CHUNK))))
+        snap = store.add(own, c, after, job.produce)
+        out, after = snap if out is None else out.unionByName(snap), c
+    return store, after, out
+
+
+@register("meter_store", _sql("H", "meters", select=f"SELECT {METER_COLS} FROM meters"))
+def q_meter_store(spark, sf_dir):
+    """Both rate meters, a chunk of days at a time: each reads its own scrapes
+    and the state stored at the end of the chunk before."""
+    job = _job(spark, sf_dir, "H")
+    topic = _stored_meters(spark, M.topic_offset_sum(job.tp), M.TOPIC_KEYS, job)[2]
+    group = _stored_meters(spark, M.group_offset_sum(job.committed), M.GROUP_KEYS, job)[2]
+    return flat_meters(M.meter_rows(topic, S.TOPIC_RATE, M.TOPIC_KEYS).unionByName(
+        M.meter_rows(group, S.GROUP_RATE, M.GROUP_KEYS)))
+
+
 @register("ewma_1_5_15", _sql("H", "meters", select="SELECT name, key, ts, rate1, rate5, rate15 FROM meters"))
 def q_ewma(spark, sf_dir):
     return flat_meters(_job(spark, sf_dir, "H").meters).select("name", "key", "ts", "rate1", "rate5", "rate15")
@@ -309,6 +341,40 @@ def q_registry_latest(spark, sf_dir):
     return flat_gauges(SN.registry_latest(_job(spark, sf_dir, "H").gauges))
 
 
+@register("registry_store", _sql("H", "gauges", select=f"""
+SELECT name, key, group_id, topic, partition, ts, value FROM gauges
+QUALIFY row_number() OVER (PARTITION BY name, key ORDER BY ts DESC) = 1"""))
+def q_registry_store(spark, sf_dir):
+    """The registry kept on storage: the scrapes are merged in slices of time,
+    as deltas that are compacted on the way, and the latest rows read back."""
+    from lagscope.operators.store import RegistryStore, flat
+    from lagscope.streaming.jobs import Landing, work_dir
+    job = _job(spark, sf_dir, "H")
+    rows = flat(job.gauges).checkpoint(eager=True)
+    store = RegistryStore(spark, work_dir(spark, "registry"), buckets=16, merge_after=3)
+    landing = Landing.over(rows, SLICES, "timestamp")
+    for i in range(landing.slices):
+        store.merge(rows.where(landing.slice_of("timestamp") == i), i)
+    return store.latest().select("name", "key", "group_id", "topic", "partition", _ts("timestamp"), "value")
+
+
+@register("snapshot_intervals", _sql("H", "snapshot", select=f"SELECT {GAUGE_COLS} FROM g_snap"))
+def q_snapshot_intervals(spark, sf_dir):
+    """Every series at every produce instant, from intervals of unchanged
+    value: the first half of the log, then the rest appended to what stands."""
+    from lagscope.operators import intervals as IV
+    job = _job(spark, sf_dir, "H")
+    obs = IV.observations(job.gauges).checkpoint(eager=True)
+    half = (job.produce.start + job.produce.end) // 2 * 1_000_000
+    first = IV.change_points(obs.where(F.col("us") < half)).checkpoint(eager=True)
+    closed, standing = IV.append(first, obs.where(F.col("us") >= half))
+    whole = first.where(F.col("to_us").isNotNull()).unionByName(closed).unionByName(standing)
+    instants = spark.range(job.produce.count or 0).select(
+        ((F.col("id") * job.produce.interval + job.produce.start) * 1_000_000).alias("us"))
+    return IV.asof(whole, instants).select(
+        "name", "key", "group_id", "topic", "partition", F.floor(F.col("us") / 1_000_000).alias("ts"), "value")
+
+
 @register("snapshot_asof", _sql("H", "snapshot", select=f"SELECT {GAUGE_COLS} FROM g_snap"))
 def q_snapshot_asof(spark, sf_dir):
     return flat_gauges(_job(spark, sf_dir, "H").gauge_snapshot)
@@ -492,6 +558,34 @@ def q_batch_sink_runner(spark, sf_dir):
     return spark.read.text(out).select(F.col("value").alias("line"))
 
 
+@register("sink_delivery_log", _sql("H", "snapshot", select=_PUTVAL))
+def q_sink_delivery_log(spark, sf_dir):
+    """All metrics in four batches through the delivery log: the sink fails at
+    the second one, which is dropped, kept and driven again after the others."""
+    from lagscope.sinks import runner as RUN
+    from lagscope.sinks.delivery import DeliveryLog, logged_sink
+    from lagscope.streaming.jobs import Landing, work_dir
+    base, metrics = work_dir(spark, "delivery"), _sink_metrics(spark, sf_dir).checkpoint(eager=True)
+    text, down = RUN.text_delivery(f"{base}/out"), {1}
+
+    def deliver(df, batch_id):
+        if batch_id in down:
+            raise OSError("the sink is down")
+        text(df, batch_id)
+
+    queue = DeliveryLog(spark, f"{base}/log", deliver, depth=2)
+    sink, landing = logged_sink(RUN.renderer("collectd"), queue), Landing.over(metrics, 4, "timestamp")
+    for i in range(landing.slices):
+        sink(metrics.where(landing.slice_of("timestamp") == i), i)
+    if landing.slices and list(queue.dropped()) != [1]:
+        raise RuntimeError("the failed batch was not kept")
+    down.clear()
+    queue.redrive()
+    if not landing.slices:
+        return RUN.renderer("collectd")(metrics).toDF("line")
+    return spark.read.text(f"{base}/out").select(F.col("value").alias("line"))
+
+
 # --- produce window (tumbling emission interval) ---------------------------------------
 
 PRODUCE_WINDOW_SECONDS = 6 * 3600
@@ -590,6 +684,79 @@ def q_streaming_lag(spark, sf_dir):
     return flat_gauges(GR.group_gauges(lags))
 
 
+@register("streaming_committed_offsets", _sql("H", select="""
+SELECT ts, group_id, topic, partition, committed FROM committed"""))
+def q_streaming_committed_offsets(spark, sf_dir):
+    """Listings, descriptions and commits as streams: scrapes and commits meet
+    in one keyed state, in event-time order."""
+    import datetime as dt
+    from lagscope.streaming import commits as C, jobs as J
+    fx = Fixture(spark, sf_dir, "H")
+    job, base = MetricsJob.from_fixture(fx), J.work_dir(spark, "commits")
+    landing = J.Landing.over(fx.topic_partitions, SLICES)
+    closing = dt.datetime.fromtimestamp(_last_instant(job) + int(landing.delay.split()[0]) + 1, dt.timezone.utc)
+    members = [("m", "c", "/127.0.0.1", {CLOSING_TOPIC: [0]})]
+    tables = {
+        "group_listings": (S.GROUP_LISTINGS, "scrape_ts", (closing, 1, CLOSING_TOPIC, S.CONSUMER_PROTOCOL)),
+        "group_descriptions": (S.GROUP_DESCRIPTIONS, "scrape_ts",
+                               (closing, CLOSING_TOPIC, S.STABLE_STATE, S.CONSUMER_PROTOCOL, members)),
+        "commits": (S.COMMITS, "commit_ts", (closing, CLOSING_TOPIC, CLOSING_TOPIC, 0, 0)),
+    }
+    for name, (schema, ts, last) in tables.items():
+        J.land(getattr(fx, name), f"{base}/{name}", landing, ts)
+        J.land_row(spark, last, schema, f"{base}/{name}")
+
+    own = J.stream_session(spark)   # one for all streams, as they meet in queries
+
+    def stream(name, schema, ts):
+        return (own.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+                .parquet(f"{base}/{name}").withWatermark(ts, landing.delay))
+
+    C.assignment_stream(stream("group_listings", S.GROUP_LISTINGS, "scrape_ts"),
+                        stream("group_descriptions", S.GROUP_DESCRIPTIONS, "scrape_ts"),
+                        f"{base}/assigned", f"{base}/ckpt-assigned")
+    C.committed_stream(stream("assigned", "scrape_ts timestamp, group_id string, topic string, partition int", "scrape_ts"),
+                       stream("commits", S.COMMITS, "commit_ts"), f"{base}/committed", f"{base}/ckpt-committed")
+    return _without_closing(spark.read.parquet(f"{base}/committed")).select(
+        _ts("scrape_ts"), "group_id", "topic", "partition", "committed")
+
+
+BROKEN, MENDED = 17, 34   # every 17th scrape breaks off; every 34th one's rest comes late
+
+
+@register("streaming_atomic_scrapes", _sql("H", "gauges", select=f"""
+SELECT {GAUGE_COLS} FROM g_part WHERE ts NOT IN (
+  SELECT ts FROM tp WHERE k % {BROKEN} = 0 AND k % {MENDED} <> 0 AND topic = (SELECT min(topic) FROM tp))"""))
+def q_streaming_atomic_scrapes(spark, sf_dir):
+    """Partition gauges of whole scrapes alone. The manifest promises all rows;
+    every 17th scrape lacks a topic's, and the rest of every 34th lands after a
+    first run of the gate."""
+    from lagscope.streaming import gate as GT, jobs as J
+    fx, base = Fixture(spark, sf_dir, "H"), J.work_dir(spark, "gate")
+    tp = fx.topic_partitions.checkpoint(eager=True)
+    k = F.floor((F.unix_seconds("scrape_ts") - fx.grid.t0) / fx.grid.interval)
+    first = tp.agg(F.min("topic")).first()[0]
+    broken = (k % BROKEN == 0) & (F.col("topic") == F.lit(first))
+    landing = J.Landing.over(tp, SLICES)
+    J.land(GT.scrape_manifest({"topic_partitions": tp}), f"{base}/manifest", landing)
+    J.land(tp.where(~broken), f"{base}/tp", landing)
+    read = lambda: spark.read.schema(J.TP_SCHEMA).parquet(f"{base}/tp")
+    manifest = lambda: spark.read.schema(GT.MANIFEST).parquet(f"{base}/manifest")
+
+    def run():
+        promised = J.read_stream(spark, f"{base}/manifest", GT.MANIFEST, files_per_trigger=4)
+        rows = (promised.sparkSession.readStream.schema(J.TP_SCHEMA).option("maxFilesPerTrigger", 8)
+                .parquet(f"{base}/tp"))
+        GT.gate_stream(promised.select("scrape_ts").unionByName(rows.select("scrape_ts")),
+                       lambda: {"topic_partitions": read()}, manifest, f"{base}/whole", f"{base}/ckpt-gate")
+
+    run()
+    tp.where(broken & (k % MENDED == 0)).write.mode("append").parquet(f"{base}/tp")
+    run()
+    whole = spark.read.schema("scrape_ts timestamp, batch_id bigint").parquet(f"{base}/whole").select("scrape_ts")
+    return flat_gauges(G.partition_gauges(GT.only(read(), whole)))
+
+
 @register("streaming_meters", _sql("H", "meters", select=f"SELECT {METER_COLS} FROM meters"))
 def q_streaming_meters(spark, sf_dir):
     from lagscope.streaming import pipeline as P
@@ -600,6 +767,33 @@ def q_streaming_meters(spark, sf_dir):
     return flat_meters(topic.unionByName(group))
 
 
+@register("streaming_meter_handover", _sql("H", "meters", select=f"""
+SELECT {METER_COLS} FROM meters WHERE name = '{S.TOPIC_RATE}'"""))
+def q_streaming_meter_handover(spark, sf_dir):
+    """The topic meters: the first half of the log in batch, whose stored state
+    starts a stream that sees the second half alone."""
+    import datetime as dt
+    from lagscope.streaming import jobs as J
+    fx = Fixture(spark, sf_dir, "H")
+    job, base = MetricsJob.from_fixture(fx), J.work_dir(spark, "handover")
+    half = (job.produce.start + job.produce.end) // 2 // METER_CHUNK
+    store, last, history = _stored_meters(spark, M.topic_offset_sum(job.tp), M.TOPIC_KEYS, job, half)
+    end = (last + 1) * METER_CHUNK
+    tail = fx.topic_partitions.where(F.col("scrape_ts") >= F.timestamp_seconds(F.lit(end)))
+    landing = J.Landing.over(tail, SLICES)
+    J.land(tail, f"{base}/tp", landing)
+    closing = dt.datetime.fromtimestamp(_last_instant(job) + int(landing.delay.split()[0]) + 1, dt.timezone.utc)
+    J.land_row(spark, (closing, CLOSING_TOPIC, 0, 0, 0, 1, [1], [1]), J.TP_SCHEMA, f"{base}/tp")
+    stream = J.read_stream(spark, f"{base}/tp", J.TP_SCHEMA, files_per_trigger=4).withWatermark(
+        "scrape_ts", landing.delay)
+    own = stream.sparkSession
+    state = own.read.schema(store._schema()).parquet(f"{store.root}/chunk={last}")
+    J.topic_meter_stream(stream, M.ProduceGrid(job.produce.start, job.produce.interval), f"{base}/out", f"{base}/ckpt",
+                         initial=state, initial_end=end)
+    rows = history.unionByName(_without_closing(spark.read.parquet(f"{base}/out")).select(history.columns))
+    return flat_meters(M.meter_rows(rows, S.TOPIC_RATE, M.TOPIC_KEYS))
+
+
 @register("streaming_carry_forward", _sql("H", "snapshot", select=f"SELECT {GAUGE_COLS} FROM g_snap"))
 def q_streaming_carry_forward(spark, sf_dir):
     from lagscope.streaming import jobs as J, pipeline as P

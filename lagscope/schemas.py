@@ -45,6 +45,7 @@ DEFAULT_DOC_TYPE = "doc"
 DEFAULT_INFLUX_DATABASE = "metrics"
 DEFAULT_INFLUX_RETENTION = "default"
 DEFAULT_INTERVAL_SECONDS = 60
+SINK_QUEUE_DEPTH = 16
 # ---------------------------------------------------------------------------
 
 META = T.StructType([

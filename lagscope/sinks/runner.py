@@ -103,7 +103,7 @@ def writer_delivery(target: str, **options: str) -> Deliver:
     """Hand writer records to a user function ``module:function`` on the
     executors; ``options`` are passed to it as keyword arguments."""
     def deliver(df: DataFrame, batch_id: int) -> None:
-        w = df.write.format(MetricWriterDataSource.name()).option("writer", target)
+        w = df.write.format(MetricWriterDataSource.name()).option("writer", target).option("batch_id", batch_id)
         for k, v in options.items():
             w = w.option(k, v)
         w.mode("append").save()
@@ -128,14 +128,30 @@ def resolve(target: str) -> Callable[[Iterator[Row]], object]:
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, token: object = None):
+        self.n, self.token = n, token
+
+
+def _two_phase(plugin: object) -> bool:
+    return hasattr(plugin, "stage") and hasattr(plugin, "commit")
+
+
+def _finish(options: dict, messages: list, batch_id: int | None, phase: str) -> None:
+    """Second phase, on the driver: the tokens of the tasks that count (a
+    failed or repeated attempt's token is in no message)."""
+    plugin = resolve(options["writer"])
+    if _two_phase(plugin) and hasattr(plugin, phase):
+        rest = {k: v for k, v in options.items() if k not in ("writer", "batch_id")}
+        if batch_id is None:
+            batch_id = int(options["batch_id"]) if "batch_id" in options else None
+        getattr(plugin, phase)([m.token for m in messages if m is not None], batch_id, **rest)
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
+        self.options = options
         self.target = options["writer"]
-        self.kwargs = {k: v for k, v in options.items() if k != "writer"}
+        self.kwargs = {k: v for k, v in options.items() if k not in ("writer", "batch_id")}
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         seen = [0]
@@ -144,9 +160,19 @@ class _Writer(DataSourceWriter):
             for r in iterator:
                 seen[0] += 1
                 yield r
-        resolve(self.target)(counted(), **self.kwargs)
+        plugin = resolve(self.target)
+        if _two_phase(plugin):
+            token = plugin.stage(counted(), **self.kwargs)
+            return _Commit(seen[0], token)
+        plugin(counted(), **self.kwargs)
         return _Commit(seen[0])
 
+    def commit(self, messages) -> None:
+        _finish(self.options, messages, None, "commit")
+
+    def abort(self, messages) -> None:
+        _finish(self.options, messages, None, "abort")
+
 
 class _StreamWriter(DataSourceStreamWriter):
     def __init__(self, options: dict):
@@ -156,10 +182,10 @@ class _StreamWriter(DataSourceStreamWriter):
         return _Writer(self.options).write(iterator)
 
     def commit(self, messages, batchId) -> None:
-        pass
+        _finish(self.options, messages, batchId, "commit")
 
     def abort(self, messages, batchId) -> None:
-        pass
+        _finish(self.options, messages, batchId, "abort")
 
 
 class MetricWriterDataSource(DataSource):
@@ -169,6 +195,14 @@ class MetricWriterDataSource(DataSource):
     per partition, on the executor holding it): name, timestamp, meta as
     strings, and either ``value`` or ``count`` + rates, plus the other write
     options.  The metric key is not passed on.
+
+    A function delivers as it goes, so a task that is run twice delivers
+    twice. For exactly-once delivery the target is an object with two phases:
+    ``stage(rows, **options)`` on the executor puts a partition's records where
+    no reader sees them and returns a token (plain data); ``commit(tokens,
+    batch_id, **options)`` on the driver makes the tokens of the tasks that
+    count visible, at once and once per batch id; ``abort(tokens, batch_id,
+    **options)``, if there is one, throws them away.
     """
 
     @classmethod

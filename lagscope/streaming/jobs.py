@@ -140,6 +140,13 @@ def publish(df: DataFrame, root: str, batch_id: int) -> None:
         raise OSError(f"could not publish {target}")
 
 
+def _batches(spark: SparkSession, root: str) -> list[int]:
+    """Ids of the batches published under ``root``."""
+    fs, hp = _path(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(hp)] if fs.exists(hp) else []
+    return [int(n.split("=")[1]) for n in names if n.startswith("batch_id=")]
+
+
 COMMIT_KEYS = ["group_id", "topic", "partition"]
 #: A commit may become visible this long after later ones.
 COMMIT_LATENESS_SECONDS = 3600
@@ -148,12 +155,13 @@ COMMIT_LATENESS_SECONDS = 3600
 def commits_for_batch(spark: SparkSession, commits: DataFrame, state_root: str, batch_id: int,
                       latest, lateness: int = COMMIT_LATENESS_SECONDS) -> DataFrame:
     """Commits needed to answer a micro-batch whose latest scrape is ``latest``:
-    the latest commit per partition carried by batch ``batch_id - 1`` plus the
-    commits since that batch's horizon less ``lateness``.  Written to the
-    checkpoint folder so the batch's plans read it once."""
-    prev = f"{state_root}/batch_id={batch_id - 1}"
-    if batch_id > 0 and _path_exists(spark, prev):
-        carried = spark.read.parquet(prev)
+    the latest commit per partition carried by the newest batch before that
+    had rows, plus the commits since that batch's horizon less ``lateness``.
+    Written to the checkpoint folder so the batch's plans read it once.
+    (``streaming.commits`` takes commits as a stream, without a lateness.)"""
+    older = [b for b in _batches(spark, state_root) if b < batch_id]
+    if older:
+        carried = spark.read.parquet(f"{state_root}/batch_id={max(older)}")
         horizon = carried.agg(F.max("horizon")).first()[0]
         since = F.timestamp_seconds(F.unix_seconds(F.lit(horizon)) - lateness)
         columns = ["commit_ts", *COMMIT_KEYS, "offset"]
@@ -173,8 +181,9 @@ def save_commit_state(known: DataFrame, state_root: str, batch_id: int, latest)
             .select(*COMMIT_KEYS, "c.offset", "c.commit_ts"))
     none = spark.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     publish(rows.unionByName(none).withColumn("horizon", F.lit(latest).cast("timestamp")), state_root, batch_id)
-    fs, old = _path(spark, f"{state_root}/batch_id={batch_id - 2}")
-    fs.delete(old, True)
+    for b in sorted(b for b in _batches(spark, state_root) if b <= batch_id)[:-2]:
+        fs, old = _path(spark, f"{state_root}/batch_id={b}")
+        fs.delete(old, True)
 
 
 def between(df: DataFrame, lo, hi, ts_col: str = "scrape_ts") -> DataFrame:
@@ -232,14 +241,18 @@ def _meter_schema(keys: list[str], types: dict) -> str:
 
 
 def meter_stream(stream: DataFrame, keys: list[str], value_col: str, grid: ProduceGrid,
-                 out: str, ckpt: str, available_now: bool = True):
+                 out: str, ckpt: str, available_now: bool = True, initial: DataFrame | None = None,
+                 initial_end: float | None = None):
     """Meters keyed by ``keys`` from per-partition rows of each scrape;
-    ``stream`` has its watermark on ``scrape_ts``."""
+    ``stream`` has its watermark on ``scrape_ts``. ``initial``: a state of
+    ``operators.meter_store`` at time ``initial_end``, from where on the
+    stream's scrapes go on; nothing before it is replayed."""
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     proc = MeterProcessor(keys, value_col, grid.start, grid.interval, grid.count)
+    start = None if initial is None else initial.withColumn("end", F.lit(float(initial_end))).groupBy(*keys)
     snaps = (stream.select(*keys, "scrape_ts", value_col)
              .groupBy(*keys)
-             .transformWithStateInPandas(proc, _meter_schema(keys, types), "Append", "EventTime"))
+             .transformWithStateInPandas(proc, _meter_schema(keys, types), "Append", "EventTime", initialState=start))
     w = snaps.writeStream.format("parquet").option("checkpointLocation", ckpt).option("path", out)
     return _run(w.outputMode("append"), available_now)
 

@@ -120,6 +120,25 @@ class MeterProcessor(StatefulProcessor):
         return [None, -np.inf, -np.inf, False, None, None, None, None, None, None, None, None,
                 [], [], [], []]
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Starts from a row of ``operators.meter_store`` (state at the end of
+        a chunk, with ``end`` its time): as if its scrapes had come in and
+        every instant before ``end`` had been reported."""
+        r = initialState.iloc[0]
+        end = float(r["end"])
+        st = self._load()
+        st[0], st[1] = int(r["last_total"]), float(_seconds(initialState["last_ts"])[0])
+        reported = self.grid.between(-np.inf, np.nextafter(end, -np.inf))
+        st[2] = float(reported[-1]) if len(reported) else -np.inf
+        if not pd.isna(r["count"]):
+            st[3] = True
+            st[4:12] = [float(r["t_first"]), int(r["k_first"]), int(r["count"]), float(r["t_last"]),
+                        int(end // ewma.TICK_SECONDS), float(r["r1"]), float(r["r5"]), float(r["r15"])]
+        self.state.update(tuple(st))
+        nxt = self.grid.next_after(st[2])
+        if nxt is not None:
+            self.handle.registerTimer(int(round(nxt * 1000)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         st = self._load()
         pdf = pd.concat(list(rows), ignore_index=True)

@@ -45,4 +45,4 @@ def test_run_and_empty(spark):
 
 def test_every_operator_is_registered():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))

@@ -176,20 +176,23 @@ def build_group_listings(counts: DataFrame, grid: Grid) -> DataFrame:
                     "group_id", _protocol().alias("protocol_type")).distinct())
 
 
-def _assigned(counts: DataFrame) -> DataFrame:
+def _assigned(counts: DataFrame, grid: Grid) -> DataFrame:
     """(group_id, k, topic, partition, new): what a group listed at k has read
-    by then; groups × ticks × partitions rows at most."""
+    by then; groups × ticks × partitions rows at most. A (group, topic,
+    partition) is expanded over the ticks from its first one on and meets the
+    group's ticks on (group, k), so no group is one key."""
     seen = counts.where(F.col("dn") > 0)
-    active = seen.select("group_id", "k").distinct()
-    read = seen.groupBy("group_id", "topic", "partition").agg(F.min("k").alias("since"))
-    return (active.join(read, "group_id").where(F.col("since") <= F.col("k"))
+    active = seen.select("group_id", F.col("k").cast("bigint").alias("k")).distinct()
+    read = seen.groupBy("group_id", "topic", "partition").agg(F.min("k").cast("bigint").alias("since"))
+    ticks = F.sequence(F.col("since"), F.greatest(F.col("since"), F.lit(grid.ticks).cast("bigint")))
+    return (read.withColumn("k", F.explode(ticks)).join(active, ["group_id", "k"])
             .select("group_id", "k", "topic", "partition", (F.col("since") == F.col("k")).alias("new")))
 
 
 def build_group_descriptions(counts: DataFrame, grid: Grid) -> DataFrame:
     """One row per listed group and tick; what is collected is one member's
     topics, then one group's members, the contents of that row."""
-    member = (_assigned(counts).groupBy("group_id", "k", "partition")
+    member = (_assigned(counts, grid).groupBy("group_id", "k", "partition")
               .agg(F.array_sort(F.collect_list("topic")).alias("topics"), F.max("new").alias("new")))
     group = member.groupBy("group_id", "k").agg(
         F.array_sort(F.collect_list(F.struct("partition", "topics"))).alias("members"), F.max("new").alias("new"))
@@ -207,7 +210,7 @@ def build_group_descriptions(counts: DataFrame, grid: Grid) -> DataFrame:
 def build_commits(counts: DataFrame, grid: Grid, topic_partitions: DataFrame) -> DataFrame:
     """At each tick it is listed, a group commits the newest offset seen its
     number of ticks earlier (none where the partition had no records yet)."""
-    asked = _assigned(counts).select(
+    asked = _assigned(counts, grid).select(
         _scrape_ts(grid).alias("commit_ts"), "group_id", "topic", "partition",
         F.timestamp_seconds(grid.scrape_seconds(F.col("k") - _group_number())).alias("src_ts"))
     newest = topic_partitions.select(

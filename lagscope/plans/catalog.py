@@ -112,6 +112,20 @@ def q_offset_bounds(spark, sf_dir):
     return O.unnumbered_offset_bounds(Fixture(spark, sf_dir, "H").base)
 
 
+@register("offset_bounds_stored", _ORACLES["offset_bounds"])
+def q_offset_bounds_stored(spark, sf_dir):
+    """The same bounds of the log stored by topic and partition, in two appends
+    cut by time, from the files' statistics."""
+    from lagscope.sources import log_files as L
+    from lagscope.streaming.jobs import work_dir
+    fx, root = Fixture(spark, sf_dir, "H"), work_dir(spark, "log")
+    records = fx.records
+    middle = F.timestamp_seconds(F.lit(fx.grid.t0 + fx.grid.ticks // 2 * fx.grid.interval))
+    L.append_log(records.where(F.col("timestamp") < middle), root)
+    L.append_log(records.where(F.col("timestamp") >= middle), root)
+    return L.footer_bounds(spark, root)
+
+
 @register("offset_bounds_asof", _sql("H", select="""
 SELECT ts, topic, partition, oldest_offset, newest_offset FROM tp"""))
 def q_offset_bounds_asof(spark, sf_dir):

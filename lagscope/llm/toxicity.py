@@ -5,7 +5,8 @@ the words and word beginnings that a text contains; every later model also
 sees the earlier categories' probabilities. It is trained with out-of-fold
 predictions of the earlier models, so it learns from probabilities as wrong
 as those it will meet, and applied with those of the models fitted on all
-folds.
+folds. For each fold the terms and marked words are chosen anew, from the
+other folds alone; near copies are in one fold.
 
 ``labels`` marks one category, ``toxic``. Two more are read off the rows it
 marks: ``dense`` (marked words are a fiftieth of the words or more) and
@@ -15,8 +16,11 @@ of toxic rows is significantly above their share of the others.
 Defined results: null and empty texts, and those without a letter, have no
 terms and get the scores of a text in which nothing speaks for a category.
 Rows are scored one by one, so repeated rows get equal scores. Without toxic
-labels every score is 0. A document labelled twice is learned from twice. An
-empty table gives an empty result. Columns are taken by name."""
+labels every score is 0. Equal texts and near copies of one label are learned
+from once, so a document labelled twice alike is one row, and one labelled both
+ways is a row of either class; near copies are texts whose word pairs agree in
+``MINIMA`` minima, each of a hash of its own. An empty table gives an empty
+result. Columns are taken by name. Ids may have any type."""
 
 from __future__ import annotations
 
@@ -37,6 +41,7 @@ SAMPLE_PER_CLASS = 4000
 MAX_TERMS = 6000
 MIN_Z = 4.0
 MIN_ROWS = 3
+MINIMA = 4
 FOLDS = 3
 CATEGORIES = ("dense", "repeated", "toxic")
 DENSE, REPEATED = 0.02, 3
@@ -56,9 +61,12 @@ def terms(word: str) -> list[str]:
 
 
 def _kin(found: list[str], text: str | None) -> str:
-    """Near copies mostly have the same one: the long word of least hash."""
-    long_ = {w for w in found if len(w) >= 7}
-    return min(long_, key=lambda w: xxhash.xxh3_64_intdigest(w)) if long_ else (text or "")[:200]
+    """Equal for equal texts, and mostly for near copies alone: the word pairs
+    of least hash by several hashes. A text without words is its own kind."""
+    if not found:
+        return xxhash.xxh3_128_hexdigest((text or "").encode("utf-8", "surrogatepass"))
+    encoded = [f"{a} {b}".encode("utf-8", "surrogatepass") for a, b in set(zip(found, [*found[1:], ""]))]
+    return " ".join(f"{min(xxhash.xxh3_64_intdigest(w, seed) for w in encoded):x}" for seed in range(MINIMA))
 
 
 @dataclass(frozen=True)
@@ -81,15 +89,29 @@ class Chain:
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
-    """``(term, pos, neg)``: rows of either class that have the term."""
+    """``(term, pos, neg)``: rows of either class that have the term, by fold."""
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(t, y) for text, y in zip(b["text"], b["label"])
+            yield pd.DataFrame([(t, y, f) for text, y, f in zip(b["text"], b["label"], b["fold"])
                                 for t in {t for w in set(words(text)) for t in terms(w)}],
-                               columns=["term", "label"])
+                               columns=["term", "label", "fold"])
 
-    return (sample.select("text", "label").mapInPandas(each, "term string, label int")
-            .groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
+    by_fold = lambda v: F.array(*[F.sum(F.when(F.col("fold") == f, v).otherwise(0)) for f in range(FOLDS)])
+    return (sample.select("text", "label", "fold").mapInPandas(each, "term string, label int, fold int")
+            .groupBy("term").agg(by_fold(F.col("label")).alias("pos"), by_fold(1 - F.col("label")).alias("neg")))
+
+
+def _marked(counts: DataFrame, sizes: dict[tuple[int, int], int], folds: list[int]) -> pd.DataFrame:
+    """``(term, pure)``: what speaks for toxic rows in these folds; a pure word
+    is nearly always in toxic rows."""
+    n1, n0 = (sum(sizes.get((y, f), 0) for f in folds) for y in (1, 0))
+    if not n1 or not n0:
+        return pd.DataFrame({"term": [], "pure": []})
+    p, q = (sum(F.col(c)[f] for f in folds) for c in ("pos", "neg"))
+    share = (p + q) / (n1 + n0)
+    z = (p / n1 - q / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    return (counts.where(p >= MIN_ROWS).select("term", z.alias("z"), (p / n1 > 20 * q / n0).alias("pure"))
+            .where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).toPandas())
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -105,53 +127,63 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     rows = (documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
             .join(F.broadcast(chosen), "key")   # 2 * per_class rows at most
-            .where(F.col("text").isNotNull())
-            .mapInPandas(kin, "key bigint, text string, label int, kin string"))
-    sample = settle(rows.groupBy("label", "kin").agg(F.min_by("text", "key").alias("text"),
-                                                     F.min("key").alias("key")))
-    size = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    if not size.get(1) or not size.get(0):
+            .where(F.col("text").isNotNull()).withColumn("key", F.col("key").cast("string"))
+            .mapInPandas(kin, "key string, text string, label int, kin string"))
+    sample = settle(rows.groupBy("label", "kin").agg(F.min_by("text", "key").alias("text"), F.min("key").alias("key"))
+                    .withColumn("fold", F.pmod(F.xxhash64("kin"), F.lit(FOLDS)).cast("int")))
+    sizes = {(r[0], r[1]): r[2] for r in sample.groupBy("label", "fold").count().collect()}
+    if len({y for y, _ in sizes}) < 2:
         return Chain({}, (), CATEGORIES)
-    share = [F.col("pos") / size[1], F.col("neg") / size[0], (F.col("pos") + F.col("neg")) / sum(size.values())]
-    z = (share[0] - share[1]) / F.sqrt(share[2] * (1 - share[2]) * (1 / size[1] + 1 / size[0]) + 1e-12)
-    marked = (_term_counts(sample).where(F.col("pos") >= MIN_ROWS).withColumn("z", z)
-              .where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS).toPandas())
-    index = {t: i for i, t in enumerate(marked["term"])}
-    # a marked word is nearly always in toxic rows
-    pure = {t for t, p, q in zip(marked["term"], marked["pos"], marked["neg"])
-            if p / size[1] > 20 * q / size[0]}
+    counts = settle(_term_counts(sample))
+    every = list(range(FOLDS))
+    # one choice of terms for all folds, then one for each fold, without it
+    choices = [_marked(counts, sizes, every), *(_marked(counts, sizes, [g for g in every if g != f]) for f in every)]
+    index: dict[str, int] = {}
+    for choice in choices:
+        for t in choice["term"]:
+            index.setdefault(t, len(index))
+    n, total = len(choices[0]), len(index)   # the first n terms are those of all folds
+    allowed = [np.isin(np.arange(total), [index[t] for t in choice["term"]]) for choice in choices]
+    pure = [set(choice["term"][choice["pure"].astype(bool)]) for choice in choices]
     vocabulary = Chain(index, (), CATEGORIES)
 
     def row(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, y in zip(b["text"], b["label"]):
-                found = words(t)
-                hits = sum(1 for w in found if any(x in pure for x in terms(w)))
-                out.append((y, vocabulary.row(t).tolist(), hits, len(found)))
-            yield pd.DataFrame(out, columns=["label", "at", "hits", "words"])
-
-    data = (sample.orderBy("key", "label").select("text", "label")
-            .mapInPandas(row, "label int, at array<int>, hits int, words int").toPandas())
-    y = data["label"].to_numpy(bool)
-    hits, count = data["hits"].to_numpy(), data["words"].to_numpy()
-    targets = {"toxic": y, "repeated": y & (hits >= REPEATED), "dense": y & (hits >= DENSE * count)}
+            for t, y, f in zip(b["text"], b["label"], b["fold"]):
+                found = [terms(w) for w in words(t)]
+                hits = [sum(1 for w in found if not some.isdisjoint(w)) for some in pure]
+                out.append((y, f, vocabulary.row(t).tolist(), hits, len(found)))
+            yield pd.DataFrame(out, columns=["label", "fold", "at", "hits", "words"])
+
+    data = (sample.orderBy("key", "label", "kin").select("text", "label", "fold")
+            .mapInPandas(row, "label int, fold int, at array<int>, hits array<int>, words int").toPandas())
+    y, fold, size = (data[c].to_numpy() for c in ("label", "fold", "words"))
+    y, hits = y.astype(bool), np.array(data["hits"].tolist(), np.int64)
     base = [np.asarray(a, np.int64) for a in data["at"]]
-    folds = np.arange(len(base)) % FOLDS
-    n, oof, models = len(index), np.zeros((len(base), 0)), []
+    oof, models = np.zeros((len(base), 0)), []
+
+    def features(choice: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of every row: the terms of this choice, then the earlier categories."""
+        more = total + np.arange(oof.shape[1])
+        own = [a[allowed[choice][a]] for a in base]
+        return [(np.concatenate((a, more)), np.concatenate((np.ones(len(a)), p))) for a, p in zip(own, oof)]
+
     for category in CATEGORIES:
-        k = oof.shape[1]
-        features = [(np.concatenate((a, n + np.arange(k))), np.concatenate((np.ones(len(a)), p)))
-                    for a, p in zip(base, oof)]
-        target, size_w = targets[category], n + k
-        held = np.zeros(len(base))
-        for f in range(FOLDS):
-            learn, out = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-            w, b = fit_sparse([features[i] for i in learn], target[learn], size_w, epochs=6, l2=1e-3)
-            held[out] = sigmoid(np.array([v @ w[a] + b for a, v in (features[i] for i in out)]))
-        models.append(fit_sparse(features, target, size_w, epochs=6, l2=1e-3))
+        def target(choice: int) -> np.ndarray:
+            marked = hits[:, choice]
+            return y & {"toxic": True, "repeated": marked >= REPEATED, "dense": marked >= DENSE * size}[category]
+
+        held, k = np.zeros(len(base)), oof.shape[1]
+        for f in every:
+            learn, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            known, aim = features(f + 1), target(f + 1)
+            w, b = fit_sparse([known[i] for i in learn], aim[learn], total + k, epochs=6, l2=1e-3)
+            held[out] = sigmoid(np.array([v @ w[a] + b for a, v in (known[i] for i in out)]))
+        w, b = fit_sparse(features(0), target(0), total + k, epochs=6, l2=1e-3)
+        models.append((np.concatenate((w[:n], w[total:])), b))
         oof = np.column_stack((oof, held))
-    return Chain(index, tuple(models), CATEGORIES)
+    return Chain({t: i for t, i in index.items() if i < n}, tuple(models), CATEGORIES)
 
 
 def score(df: DataFrame, model: Chain, id_col: str = "doc_id", text: str = "text") -> DataFrame:

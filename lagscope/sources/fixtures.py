@@ -92,28 +92,28 @@ def build_records(events: DataFrame) -> DataFrame:
     return numbered.select("topic", "partition", "offset", "timestamp")
 
 
-def _first_tick(us: Column, grid: Grid, shift_seconds: int = 0) -> Column:
-    """Smallest k >= 1 with t0 + k*iv >= ts + shift (tick that first sees the row)."""
-    num = us - F.lit((grid.t0 - shift_seconds) * 1_000_000)
-    return F.greatest(F.ceil(num / F.lit(grid.interval * 1_000_000)), F.lit(1))
-
-
 def build_series_counts(base: DataFrame, grid: Grid) -> DataFrame:
     """Per (group, topic, partition, tick k): records first seen at k (``dn``)
     and records leaving the 7-day retention at k (``do``).  At most series ×
     groups × ticks rows whatever the log size; it is the only pass over the
-    raw log.  Records that outlive the grid leave no ``do`` inside it."""
-    us = F.unix_micros("timestamp")
-    marks = base.select(
-        "group_id", "topic", "partition",
-        F.explode(F.array(
-            F.struct(_first_tick(us, grid).alias("k"), F.lit(1).alias("dn"), F.lit(0).alias("do")),
-            F.struct(_first_tick(us, grid, RETENTION_SECONDS).alias("k"),
-                     F.lit(0).alias("dn"), F.lit(1).alias("do")),
-        )).alias("m"),
-    ).select("group_id", "topic", "partition", "m.*")
-    # map-side partial aggregation: the shuffle carries (series, tick) counts
-    return (marks.where((F.col("dn") == 1) | (F.col("k") <= grid.ticks))
+    raw log.  Records that outlive the grid leave no ``do`` inside it.
+
+    Records are counted once, by the interval that holds them; as the retention
+    is a number of intervals, both ticks of a record follow from it, so only
+    the counts are doubled."""
+    kept, odd = divmod(RETENTION_SECONDS, grid.interval)
+    assert not odd, "the retention is a whole number of intervals"
+    # smallest k with t0 + k * interval >= ts
+    at = F.ceil((F.unix_micros("timestamp") - F.lit(grid.t0 * 1_000_000)) / F.lit(grid.interval * 1_000_000))
+    # map-side partial aggregation: the shuffle carries (series, interval) counts
+    counts = (base.select("group_id", "topic", "partition", at.alias("at"))
+              .groupBy("group_id", "topic", "partition", "at").agg(F.count(F.lit(1)).alias("n")))
+    none = F.lit(0).cast("bigint")
+    marks = counts.select("group_id", "topic", "partition", F.explode(F.array(
+        F.struct(F.greatest("at", F.lit(1)).alias("k"), F.col("n").alias("dn"), none.alias("do")),
+        F.struct(F.greatest(F.col("at") + F.lit(kept), F.lit(1)).alias("k"), none.alias("dn"), F.col("n").alias("do")),
+    )).alias("m")).select("group_id", "topic", "partition", "m.*")
+    return (marks.where((F.col("dn") > 0) | (F.col("k") <= grid.ticks))
             .groupBy("group_id", "topic", "partition", "k").agg(
                 F.sum("dn").alias("dn"), F.sum("do").alias("do")))
 

@@ -27,6 +27,12 @@ def offset_bounds(records: DataFrame) -> DataFrame:
     )
 
 
+def merge_bounds(bounds: DataFrame) -> DataFrame:
+    """Bounds of a log from bounds of its parts."""
+    return bounds.groupBy("topic", "partition").agg(
+        F.min("oldest_offset").alias("oldest_offset"), F.max("newest_offset").alias("newest_offset"))
+
+
 def unnumbered_offset_bounds(base: DataFrame) -> DataFrame:
     """The same bounds of a log whose offsets are its rows' ranks from 0: the
     newest is the number of rows.  One partial aggregate; no row is numbered,

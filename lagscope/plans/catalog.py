@@ -126,6 +126,24 @@ def q_offset_bounds_stored(spark, sf_dir):
     return L.footer_bounds(spark, root)
 
 
+@register("streaming_offset_bounds", _ORACLES["offset_bounds"])
+def q_streaming_offset_bounds(spark, sf_dir):
+    """The same bounds through the log's stream reader: the earlier half is read
+    to its end in triggers of a limited size, the stream is stopped, the later
+    half is appended and the stream started again."""
+    from lagscope.sources import log_files as L, log_stream as LS
+    from lagscope.streaming import jobs as J
+    fx, base = Fixture(spark, sf_dir, "H"), J.work_dir(spark, "log-stream")
+    own, records = J.stream_session(spark), fx.records
+    limit = -(-fx.base.count() // LOG_TRIGGERS) or 1
+    middle = F.timestamp_seconds(F.lit(fx.grid.t0 + fx.grid.ticks // 2 * fx.grid.interval))
+    for part in (records.where(F.col("timestamp") < middle), records.where(F.col("timestamp") >= middle)):
+        L.append_log(part, f"{base}/log")
+        stream = LS.read_log_stream(own, f"{base}/log", maxOffsetsPerTrigger=limit)
+        LS.drain(LS.bounds_stream(stream, f"{base}/bounds", f"{base}/ckpt"))
+    return LS.published_bounds(spark, f"{base}/bounds")
+
+
 @register("offset_bounds_asof", _sql("H", select="""
 SELECT ts, topic, partition, oldest_offset, newest_offset FROM tp"""))
 def q_offset_bounds_asof(spark, sf_dir):
@@ -735,6 +753,7 @@ def q_streaming_committed_offsets(spark, sf_dir):
         _ts("scrape_ts"), "group_id", "topic", "partition", "committed")
 
 
+LOG_TRIGGERS = 5   # triggers that streaming_offset_bounds takes at least
 BROKEN, MENDED = 17, 34   # every 17th scrape breaks off; every 34th one's rest comes late
 
 

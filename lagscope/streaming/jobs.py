@@ -13,7 +13,7 @@ folder and run continuously or with ``availableNow`` (tests, backfills).
 * ``lag_stream``        ``foreachBatch``: the batch's scrapes joined with the
                         group tables, published once per batch id;
 * ``meter_stream``      ``transformWithStateInPandas`` meters per key;
-* ``carry_forward_stream`` gauge series re-emitted at each produce instant;
+* ``carry_forward_stream`` all gauges of a key re-emitted at each produce instant;
 * ``produce_window_stream`` last value per series per tumbling window.
 """
 
@@ -257,7 +257,7 @@ def meter_stream(stream: DataFrame, keys: list[str], value_col: str, grid: Produ
     return _run(w.outputMode("append"), available_now)
 
 
-CARRY_KEYS = ["name", "group_id", "topic", "partition"]
+CARRY_KEYS = ["group_id", "topic", "partition"]
 
 
 def carry_forward_stream(gauges: DataFrame, grid: ProduceGrid, out: str, ckpt: str,
@@ -265,16 +265,17 @@ def carry_forward_stream(gauges: DataFrame, grid: ProduceGrid, out: str, ckpt: s
     """``gauges``: streaming long-form gauge rows (``timestamp`` = scrape time,
     with its watermark).
 
-    The series key is grouped with the partition as a string: a nullable
-    integer grouping column would reach the Python state handler as a float
-    whenever a batch mixes null and non-null partitions (topic-level and
-    partition-level gauges), and the state key would not round-trip."""
+    All gauges of a (group, topic, partition) share one state and one timer.
+    They are grouped with the partition as a string: a nullable integer
+    grouping column would reach the Python state handler as a float whenever a
+    batch mixes null and non-null partitions (topic-level and partition-level
+    gauges), and the state key would not round-trip."""
     flat = gauges.select("name", F.col("meta.group").alias("group_id"),
                          F.col("meta.topic").alias("topic"),
                          F.col("meta.partition").cast("string").alias("partition"),
                          F.col("timestamp").alias("scrape_ts"), "value")
     proc = CarryForwardProcessor(CARRY_KEYS, grid.start, grid.interval, grid.count)
-    schema = ("name string, group_id string, topic string, partition string, "
+    schema = ("group_id string, topic string, partition string, name string, "
               "produce_ts timestamp, value bigint")
     snaps = (flat.groupBy(*CARRY_KEYS)
              .transformWithStateInPandas(proc, schema, "Append", "EventTime")

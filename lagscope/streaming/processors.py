@@ -12,7 +12,8 @@ no more rows (a vanished topic keeps reporting its last value).
 ``MeterProcessor`` sums the rows of each scrape per key, turns successive
 sums into deltas and folds them with the same kernel as batch
 (``lagscope.functions.ewma.advance``).  ``CarryForwardProcessor`` re-emits the
-last value of a gauge series at each instant.
+last values of all gauges of one partition (or topic, or group partition) at
+each instant, from one state and one timer.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StructField,
+from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField,
                                StructType)
 
 from lagscope.functions import ewma
@@ -30,7 +31,7 @@ from lagscope.functions import ewma
 def _schema(spec: str) -> StructType:
     """``"a bigint, b array<double>"`` → StructType, built without a session
     (state schemas are also constructed on Python workers)."""
-    types = {"bigint": LongType(), "double": DoubleType(), "boolean": BooleanType()}
+    types = {"bigint": LongType(), "double": DoubleType(), "boolean": BooleanType(), "string": StringType()}
     fields = []
     for part in spec.split(","):
         name, typ = part.split()
@@ -48,8 +49,8 @@ METER_STATE = _schema(
     "ps_t array<double>, ps_v array<bigint>")
 
 CARRY_STATE = _schema(
-    "last_folded double, last_emitted double, has_value boolean, value bigint, "
-    "pend_t array<double>, pend_v array<bigint>")
+    "last_emitted double, names array<string>, folded array<double>, folded_values array<bigint>, "
+    "pend_names array<string>, pend_t array<double>, pend_v array<bigint>")
 
 
 class _Grid:
@@ -207,10 +208,14 @@ class MeterProcessor(StatefulProcessor):
 
 
 class CarryForwardProcessor(StatefulProcessor):
-    """Last value of one gauge series at every produce instant after it is seen.
+    """Last value of every gauge of one key at every produce instant after the
+    gauge is first seen.
 
-    Observations may come in any order as long as the watermark has not passed
-    them: they wait, sorted by time, for the instant that reports them."""
+    The gauges of a key come from one scrape row, so they share a state and a
+    timer: the carried values by name, and the observations that wait for the
+    instant that reports them. Observations may come in any order as long as
+    the watermark has not passed them; of two with the same name and time the
+    later to arrive counts, and one without a value is none."""
 
     def __init__(self, keys: list[str], start: float, interval: float, count: int | None):
         self.keys = keys
@@ -221,52 +226,57 @@ class CarryForwardProcessor(StatefulProcessor):
         self.state = handle.getValueState("carry", CARRY_STATE)
 
     def _load(self):
-        if self.state.exists():
-            return list(self.state.get())
-        return [-np.inf, -np.inf, False, None, [], []]
+        """``(last emitted instant, {name: (time, value)}, {name: {time: value}})``."""
+        if not self.state.exists():
+            return -np.inf, {}, {}
+        last, names, folded_t, folded_v, pend_names, pend_t, pend_v = self.state.get()
+        pending: dict = {}
+        for n, t, v in zip(pend_names, pend_t, pend_v):
+            pending.setdefault(n, {})[t] = v
+        return last, dict(zip(names, zip(folded_t, folded_v))), pending
 
     def handleInputRows(self, key, rows, timerValues):
-        st = self._load()
+        last, carried, pending = self._load()
         pdf = pd.concat(list(rows), ignore_index=True)
-        pending = dict(zip(st[4] or [], st[5] or []))
-        for t, v in zip(_seconds(pdf["scrape_ts"]), pdf["value"].to_numpy()):
-            if t > st[0]:   # newer than the value that stands
-                pending[float(t)] = int(v)
-        st[4] = sorted(pending)
-        st[5] = [pending[t] for t in st[4]]
-        yield from self._emit(key, st, timerValues.getCurrentWatermarkInMs() / 1000.0)
+        pdf = pdf[pdf["value"].notna() & pdf["scrape_ts"].notna()]
+        for n, t, v in zip(pdf["name"], _seconds(pdf["scrape_ts"]), pdf["value"]):
+            if n not in carried or t > carried[n][0]:   # newer than the value that stands
+                pending.setdefault(n, {})[float(t)] = int(v)
+        yield from self._emit(key, last, carried, pending, timerValues.getCurrentWatermarkInMs() / 1000.0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        st = self._load()
-        yield from self._emit(key, st, timerValues.getCurrentWatermarkInMs() / 1000.0)
+        yield from self._emit(key, *self._load(), timerValues.getCurrentWatermarkInMs() / 1000.0)
 
-    def _emit(self, key, st, wm: float):
-        ticks = self.grid.between(st[1], wm)
-        out = None
+    def _emit(self, key, last, carried, pending, wm: float):
+        ticks = self.grid.between(last, wm)
+        names, at, values = [], [], []
         if len(ticks):
-            upto = float(ticks[-1])
-            pend_t = np.asarray(st[4] or [], dtype=np.float64)
-            pend_v = np.asarray(st[5] or [], dtype=np.int64)
-            # index of the last pending observation at or before each instant (-1: none)
-            j = np.searchsorted(pend_t, ticks, side="right") - 1
-            prior = st[3] if st[2] else 0
-            vals = np.where(j >= 0, pend_v[np.maximum(j, 0)] if len(pend_v) else prior, prior)
-            seen = (j >= 0) | bool(st[2])
-            ticks, vals = ticks[seen], vals[seen]
-            fold = pend_t <= upto
-            if fold.any():
-                st[0], st[2], st[3] = float(pend_t[fold][-1]), True, int(pend_v[fold][-1])
-            st[4], st[5] = pend_t[~fold].tolist(), pend_v[~fold].tolist()
-            st[1] = upto
-            if len(ticks):
-                out = {k: [v] * len(ticks) for k, v in zip(self.keys, _key_values(key))}
-                out["produce_ts"] = pd.to_datetime((ticks * 1e6).astype("int64"), unit="us", utc=True)
-                out["value"] = vals.astype("int64")
-        self.state.update(tuple(st))
-        nxt = self.grid.next_after(max(st[1], wm))
-        if nxt is not None and (st[2] or st[4]):
+            last = float(ticks[-1])
+            for n in list(dict.fromkeys([*carried, *pending])):
+                waiting = pending.pop(n, {})
+                times = np.array(sorted(waiting), dtype=np.float64)
+                # the carried value stands before the first waiting observation
+                vals = np.array([carried[n][1] if n in carried else 0, *[waiting[t] for t in times]], dtype=np.int64)
+                j = np.searchsorted(times, ticks, side="right")
+                seen = (j > 0) | (n in carried)
+                names += [n] * int(seen.sum())
+                at.append(ticks[seen])
+                values.append(vals[j[seen]])
+                if j[-1]:
+                    carried[n] = (float(times[j[-1] - 1]), int(vals[j[-1]]))
+                if j[-1] < len(times):
+                    pending[n] = {float(t): waiting[t] for t in times[j[-1]:]}
+        waits = [(n, t, v) for n, some in pending.items() for t, v in some.items()]
+        self.state.update((float(last), list(carried), [t for t, _ in carried.values()], [v for _, v in carried.values()],
+                           [n for n, _, _ in waits], [t for _, t, _ in waits], [v for _, _, v in waits]))
+        nxt = self.grid.next_after(max(last, wm))
+        if nxt is not None and (carried or waits):
             self.handle.registerTimer(int(round(nxt * 1000)))
-        if out is not None:
+        if names:
+            out = {k: [v] * len(names) for k, v in zip(self.keys, _key_values(key))}
+            out["name"] = names
+            out["produce_ts"] = pd.to_datetime((np.concatenate(at) * 1e6).astype("int64"), unit="us", utc=True)
+            out["value"] = np.concatenate(values)
             yield pd.DataFrame(out)
 
     def close(self) -> None:

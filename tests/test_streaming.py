@@ -148,3 +148,24 @@ def test_carry_forward_takes_observations_in_any_order(spark):
     got = {r["produce_ts"]: r["value"] for r in spark.read.parquet(f"{base}/out").collect()}
     first = T0.replace(tzinfo=None) + timedelta(seconds=30)
     assert [got.get(first + timedelta(minutes=m)) for m in range(6)] == [100, 101, 102, 103, 103, 103]
+
+
+def test_gauges_of_a_key_are_carried_together_and_start_apart(spark):
+    """One state holds all gauges of a partition: each is reported from its own
+    first observation on, also where it stops coming or has no value."""
+    base = J.work_dir(spark, "together")
+    at = lambda m: T0 + timedelta(minutes=m)
+    schema = "name string, meta struct<group: string, partition: int, topic: string>, timestamp timestamp, value bigint"
+    batches = [[("a", 0, 1), ("b", 0, 10)], [("a", 1, 2), ("c", 1, None)], [("c", 3, 30), ("b", 3, 11)], [("a", 30, 9)]]
+    for i, batch in enumerate(batches):
+        rows = [(n, (None, p, "t"), at(m), None if v is None else v + (p or 0)) for n, m, v in batch for p in (None, 7)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/g")
+    stream = J.read_stream(spark, f"{base}/g", schema, files_per_trigger=1).withWatermark("timestamp", "10 minutes")
+    J.carry_forward_stream(stream, M.ProduceGrid(int(T0.timestamp()) + 30, 60), f"{base}/out", f"{base}/ckpt")
+    rows = spark.read.parquet(f"{base}/out").where(F.col("produce_ts") < F.lit(at(5))).collect()
+    got = {(r["name"], r["partition"], (r["produce_ts"].replace(tzinfo=None) - T0.replace(tzinfo=None)).seconds // 60):
+           r["value"] for r in rows}
+    want = {"a": [1, 2, 2, 2, 2], "b": [10, 10, 10, 11, 11], "c": [None, None, None, 30, 30]}
+    assert got == {(n, p, m): v + (p or 0) for n, vs in want.items() for m, v in enumerate(vs) if v is not None
+                   for p in (None, 7)}
+    assert len(rows) == len(got)

@@ -153,6 +153,7 @@ class LogStreamReader(DataSourceStreamReader):
             parts = info.path[len(base):].strip("/").split("/")
             if info.type == FileType.File and len(parts) == 3 and not any(p[0] in "_." for p in parts):
                 paths[info.path] = "/".join(parts[:2])
+        self.known = {p: s for p, s in self.known.items() if p in paths}
         new = [p for p in paths if p not in self.known]
         if new:
             with ThreadPoolExecutor(FOOTER_THREADS) as pool:
@@ -211,8 +212,9 @@ class LogStreamReader(DataSourceStreamReader):
         for path in partition.paths:
             with fs.open_input_file(path) as f:
                 file = pq.ParquetFile(f, coerce_int96_timestamp_unit="us")
-                ends = [_offset_stats(file.metadata.row_group(i), path) for i in range(file.num_row_groups)]
-                groups = [i for i, (a, b) in enumerate(ends) if a < partition.end and b >= partition.start]
+                stats = {i: _offset_stats(file.metadata.row_group(i), path) for i in range(file.num_row_groups)
+                         if file.metadata.row_group(i).num_rows}
+                groups = [i for i, (a, b) in stats.items() if a < partition.end and b >= partition.start]
                 columns = [c for c in ("offset", "timestamp") if c in file.schema_arrow.names]
                 for batch in file.iter_batches(row_groups=groups, columns=columns):
                     offset = batch.column("offset")

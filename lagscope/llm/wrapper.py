@@ -30,8 +30,8 @@ cleanly is read as browsers do, roughly: unknown end tags are ignored, open
 elements end with their parent. Parsing takes time in proportion to the page:
 elements deeper than ``MAX_DEPTH`` hang on their ancestor at that depth, and
 after ``BROKEN_TAGS`` tags with quotes left open, quotes no longer hide a
-``>``. Two trees are matched in at most ``CELLS`` comparisons; what is left
-then is matched in order by label. A starred node counts ``STAR_TEXTS`` texts;
+``>``. Trees of any size are matched by the one rule above: small ones pair by
+pair, large ones by rows of comparisons in arrays, with the same pairs. A starred node counts ``STAR_TEXTS`` texts;
 a line that is more than that fraction of its repeats is always counted.
 Pages of a host whose text outside furniture is equal count as one. A constant
 node is template, whatever its element, if it stands on most of the host's
@@ -47,12 +47,13 @@ from __future__ import annotations
 import html as html_module
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -70,8 +71,9 @@ SALTS = 32
 HOSTS_AT_ONCE = 1000
 MAX_DEPTH = 64
 BROKEN_TAGS = 100
-#: Pairs of siblings that matching two trees compares, at most.
-CELLS = 200_000
+#: Pairs of nodes up to which two trees are matched pair by pair; beyond it a
+#: node meets all its partners in one array. The pairs found are the same.
+SMALL = 1 << 12
 #: What an equal text adds to the nodes that a pair matches.
 SAME_TEXT = 3
 STAR_TEXTS = 256
@@ -270,12 +272,156 @@ def tree_of(page: Page, numbered: bool = False) -> Tree:
     return nodes[0]
 
 
+class _Shape:
+    """What matching sees of a node; equal shapes of a work are one object.
+    ``text`` numbers the texts, 0 for none and -1 if it varies; ``own`` is the
+    weight of the node with itself, which no other partner passes."""
+    __slots__ = ("label", "text", "kids", "repeated", "own")
+
+    def __init__(self, label: str, text: int, kids: tuple[_Shape, ...], repeated: frozenset[str]):
+        self.label, self.text, self.kids, self.repeated = label, text, kids, repeated
+        self.own = 1 + (SAME_TEXT if text > 0 else 0) + sum(c.own for c in kids if self.pairs_with_itself(c))
+
+    def pairs_with_itself(self, c: _Shape) -> bool:
+        return c.text >= 0 or c.label not in self.repeated
+
+    def behind(self, k: int) -> _Shape:
+        return _Shape(self.label, self.text, self.kids[k:], self.repeated)
+
+
 class _Work:
-    """What is known of the pairs of two trees, and the comparisons left."""
+    """What is known of the nodes of two trees and of their pairs."""
 
-    def __init__(self, cells: list[int] | None = None):
-        self.cells = [CELLS] if cells is None else cells
+    def __init__(self):
         self.pairs: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+        self.sizes: dict[int, int] = {}
+        self.shapes: dict[int, _Shape] = {}
+        self._texts: dict[int, int] = {0: 0}
+        self._known: dict[tuple, _Shape] = {}
+
+    def size(self, node: Tree) -> int:
+        n = self.sizes.get(id(node))
+        if n is None:
+            self.sizes[id(node)] = n = 1 + sum([self.size(x) for x in node[5]])
+        return n
+
+    def shape(self, node: Tree) -> _Shape:
+        shape = self.shapes.get(id(node))
+        if shape is None:
+            kids, stars = tuple([self.shape(x) for x in node[5] if len(x) == 6]), frozenset(_stars(node))
+            text = -1 if node[3] is None else self._texts.setdefault(node[3], len(self._texts))
+            key = node[0], text, kids, stars
+            shape = self._known.get(key)
+            if shape is None:
+                again = {k for k, n in Counter(c.label for c in kids).items() if n > 1}
+                shape = self._known[key] = _Shape(node[0], text, kids, stars | again)
+            self.shapes[id(node)] = shape
+        return shape
+
+
+class _Many:
+    """Nodes that one node meets at once. Their children lie in one row of
+    cells: each node's backwards, behind a cell that stands for none of them."""
+
+    def __init__(self, nodes: list[_Shape]):
+        lengths = np.array([1 + len(s.kids) for s in nodes])
+        self.text = np.array([s.text for s in nodes])
+        self.first = np.cumsum(lengths) - 1      # a node's first child
+        self.node = np.repeat(np.arange(len(nodes)), lengths)
+        self._places: dict[str, list[tuple[int, bool, _Shape]]] = {}
+        for s, last in zip(nodes, (self.first - lengths + 2).tolist()):
+            for k, c in enumerate(reversed(s.kids), last):
+                self._places.setdefault(c.label, []).append((k, c.label in s.repeated, c))
+        self._labels: dict[str, tuple] = {}
+        self._last: tuple | None = None
+
+    def _of(self, label: str) -> tuple:
+        """Cells of a label, whether the label is repeated there, the texts,
+        and the different nodes with the place of each cell's among them."""
+        if label not in self._labels:
+            cells, again, nodes = zip(*self._places[label])
+            kinds = {c: i for i, c in enumerate(dict.fromkeys(nodes))}
+            self._labels[label] = (np.array(cells), np.array(again), np.array([c.text for c in nodes]),
+                                   _Many(list(kinds)), np.array([kinds[c] for c in nodes]))
+        return self._labels[label]
+
+    def partners(self, c: _Shape, repeated: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Cells that a child may pair with, and what each pair weighs."""
+        if c.label not in self._places:
+            return None
+        if self._last and self._last[0] is c and self._last[1] == repeated:
+            return self._last[2]
+        cells, again, texts, kinds, kind = self._of(c.label)
+        may = (texts == c.text) & (c.text >= 0)
+        if not repeated:
+            may |= ~again
+        found = (cells[may], _weights(c, kinds)[kind[may]]) if may.any() else None
+        self._last = c, repeated, found
+        return found
+
+
+def _row(below: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The heaviest pairs from each cell on, one more child taken in."""
+    if found is None:
+        return below
+    cells, weights = found
+    row = below.copy()
+    row[cells] = np.maximum(row[cells], below[cells - 1] + weights)
+    return np.maximum.accumulate(row, out=row)
+
+
+def _weights(x: _Shape, many: _Many) -> np.ndarray:
+    """The weight of a node with each of many of its label."""
+    start = many.node * (x.own + 1)   # no node's weights reach the next one's
+    row = start
+    for c in reversed(x.kids):
+        row = _row(row, many.partners(c, c.label in x.repeated))
+    return 1 + SAME_TEXT * ((many.text == x.text) & (x.text > 0)) + (row - start)[many.first]
+
+
+def _match_large(x: _Shape, y: _Shape) -> tuple[int, list[tuple[int, int]]]:
+    """As ``_match``, in memory for the square root of the comparisons' rows."""
+    own = 1 + (SAME_TEXT if x.text > 0 and x.text == y.text else 0)
+    k, repeated = 0, x.repeated | y.repeated
+    for c, d in zip(x.kids, y.kids):   # equal first children weigh most together
+        if c is not d or (c.text < 0 and c.label in repeated):
+            break
+        own, k = own + c.own, k + 1
+    pairs = [(i, i) for i in range(k)]
+    x, many, n, m = x.behind(k), _Many([y.behind(k)]), len(x.kids) - k, len(y.kids) - k
+    step = isqrt(n) + 1
+
+    def found(i: int) -> tuple[np.ndarray, np.ndarray] | None:
+        return many.partners(x.kids[i], x.kids[i].label in x.repeated)
+
+    nothing = np.zeros(m + 1, np.int64)
+    row, stored = nothing, {}
+    for i in range(n - 1, -1, -1) if m else ():
+        row = _row(row, found(i))
+        if i % step == 0:
+            stored[i] = row
+    rows: dict[int, np.ndarray] = {}
+    i = j = 0
+    while i < n and j < m:
+        if i not in rows or i + 1 not in rows:
+            low, top = i - i % step, min(n, i - i % step + step)
+            rows, partners = {top: stored.get(top, nothing)}, {}
+            for r in range(top - 1, low - 1, -1):
+                partners[r] = found(r)
+                rows[r] = _row(rows[r + 1], partners[r])
+        here, below, cell = rows[i], rows[i + 1], m - j
+        if partners[i] is not None:
+            cells, weights = partners[i]
+            at = np.searchsorted(cells, cell)
+            if at < len(cells) and cells[at] == cell and here[cell] == below[cell - 1] + weights[at]:
+                pairs.append((k + i, k + j))
+                i, j = i + 1, j + 1
+                continue
+        if here[cell] == below[cell]:
+            i += 1
+        else:
+            j += 1
+    return own + int(row[m]), pairs
 
 
 def _fixed(node: Tree) -> list[Tree]:
@@ -300,8 +446,12 @@ def _match(x: Tree, y: Tree, work: _Work) -> tuple[int, list[tuple[int, int]]]:
     pairs: list[tuple[int, int]] = []
     if left == right and not repeated:
         pairs = [(i, i) for i in range(len(a))]
-    elif len(a) * len(b) <= work.cells[0]:
-        work.cells[0] -= len(a) * len(b)
+    elif not a or not b:
+        pass
+    elif work.size(x) * work.size(y) > SMALL:
+        found = work.pairs[id(x), id(y)] = _match_large(work.shape(x), work.shape(y))
+        return found
+    else:
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         gain = {}
         for i in range(len(a) - 1, -1, -1):
@@ -321,17 +471,6 @@ def _match(x: Tree, y: Tree, work: _Work) -> tuple[int, list[tuple[int, int]]]:
                 i += 1
             else:
                 j += 1
-    else:
-        places: dict[tuple, list[int]] = {}
-        for j, key in enumerate(right):
-            places.setdefault(key, []).append(j)
-        after = 0
-        for i, key in enumerate(left):
-            at = places.get(key, []) if key[-1] is not None else []
-            k = bisect_left(at, after)
-            if k < len(at):
-                pairs.append((i, at[k]))
-                after = at[k] + 1
     weight = 1 + (SAME_TEXT if x[3] and x[3] == y[3] else 0) + sum(_match(a[i], b[j], work)[0] for i, j in pairs)
     work.pairs[id(x), id(y)] = weight, pairs
     return weight, pairs
@@ -362,6 +501,8 @@ def align(a: Tree, b: Tree, work: _Work | None = None) -> Tree:
     label that is left once on either side is matched all the same; one that
     stands repeatedly goes into the starred node of its label, but for texts
     that two pages share."""
+    if not a[5] and not b[5]:
+        return [a[0], 0, a[2] + b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], []]
     work = work or _Work()
     left, right, stars, more = _fixed(a), _fixed(b), _stars(a), _stars(b)
     pairs = dict(_match(a, b, work)[1])
@@ -399,7 +540,7 @@ def align(a: Tree, b: Tree, work: _Work | None = None) -> Tree:
                 most[text] = max(n, most.get(text, 0))
             star = stars.get(x[0])
             stars[x[0]] = ([*x[:6], {}] if star is None
-                           else [*align(star[:6], x[:6], _Work(work.cells)), star[6]])
+                           else [*align(star[:6], x[:6], _Work()), star[6]])
         for label, found in texts.items():
             stars[label][6] = _counted(stars[label][6], found)
     children += [stars[k] for k in sorted(stars)]

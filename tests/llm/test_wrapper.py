@@ -161,3 +161,49 @@ def test_elements_below_the_deepest_keep_their_furniture():
     source = "<div>" * 80 + "<p>text</p><nav><ul><li>menu</li></ul></nav>" + "</div>" * 80
     wrapper = W.json.dumps(W.wrapper_of(W.tree_of(W.Page(source))))
     assert W.main_text(source, wrapper) == "text"
+
+
+def test_matching_is_one_rule_for_trees_of_any_size(spark):
+    # the first line of one page is the last of the other: all others pair, however many
+    for n in (20, 600):
+        lines = [f"<p>line {i}</p>" for i in range(n)]
+        a, b = (W.tree_of(W.Page("".join(x))) for x in (["<p>moved</p>", *lines], [*lines, "<p>moved</p>"]))
+        assert W.matching(a, b) == 1 + n * (1 + W.SAME_TEXT)
+        assert [x[2] for x in W.align(a, b)[5][:-1]].count(2) == n
+    # shared lines are template on a host of long pages as on one of short pages
+    for n in (5, 500):
+        shared = [f"shared {i}" for i in range(n)]
+        pages = [["last moved"] * (k == 0) + shared + [f"own {k}"] + ["last moved"] * (k > 0) for k in range(6)]
+        got = texts_of(spark, ["".join(f"<p>{x}</p>" for x in page) for page in pages])
+        assert got == ["last moved " * (k == 0) + f"own {k}" for k in range(6)], n
+
+
+def test_small_and_large_trees_are_matched_alike(monkeypatch):
+    import random
+    rng = random.Random(3)
+
+    def body(depth):
+        return "".join(f"<{t}>{rng.choice(['', 'x', 'y', 'z' + str(rng.randrange(4))])}"
+                       f"{body(depth - 1) if depth and rng.random() < .6 else ''}</{t}>"
+                       for t in rng.choices(["p", "div", "ul"], k=rng.randrange(1, 7)))
+
+    for _ in range(100):
+        trees = [W.tree_of(W.Page(body(rng.randrange(1, 4)))) for _ in range(5)]
+        folded = []
+        for small in (0, 1 << 60):
+            monkeypatch.setattr(W, "SMALL", small)
+            tree, steps = trees[0], []
+            for x in trees[1:]:
+                steps.append(W._match(tree, x, W._Work()))
+                tree = W.align(tree, x)
+            folded.append((steps, W.wrapper_of(tree)))
+        assert folded[0] == folded[1]
+
+
+def test_long_tables_of_different_rows_are_matched_whole():
+    import time
+    a, b = (W.tree_of(W.Page("<table>" + "".join(f"<tr><td>{k} {i}</td><td>{i % 7}</td><td>yes</td></tr>" for i in range(1000))
+                             + "</table>")) for k in (1, 2))
+    start = time.perf_counter()
+    assert W.matching(a, b) == 2 + 1000 * (1 + 2 * (1 + W.SAME_TEXT))
+    assert time.perf_counter() - start < 10

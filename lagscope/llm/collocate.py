@@ -41,6 +41,7 @@ from itertools import batched, groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -58,6 +59,8 @@ HELD = 500_000
 ROW = 1000
 #: Words that a task turns into phrases at once.
 CHUNK = 400_000
+#: Words that are written as ids at once.
+BLOCK = 100_000
 #: A prefix with one of so many parts of all words is split by its next word.
 HEAVY = 256
 #: Parts of a language where its total meets its phrases.
@@ -75,22 +78,24 @@ _SCORE = ("CAST(1000 AS decimal(4,0)) * CAST(a AS decimal(19,0)) * CAST(n AS dec
 _BREAKS = bytes(range(0x0A, 0x0E)) + b".,;:!?"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t" + _BREAKS,
                         bytes(range(97, 123)) + b" " + b"\n" * len(_BREAKS))
+#: The same for words whatever piece they are in.
+_SPACE = bytes.maketrans(b"\n", b" ")
+#: A break among words; folded words have no capitals.
+_BREAK = b"A"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: bytes | None) -> list[list[bytes]]:
-    """The words of each piece of a text in UTF-8."""
-    return [w for p in text.translate(_FOLD).split(b"\n") if (w := p.split())] if text else []
-
-
 class _Ids(dict):
-    """Word -> id, never 0; bounded."""
+    """Word -> place among the words met, 0 for a break."""
+
+    def __init__(self):
+        super().__init__({_BREAK: 0})
+        self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        self[word] = x = xxhash.xxh64_intdigest(word, 42) or 1  # as in _id
-        return x
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
 
 
 def _id(word: str) -> Column:
@@ -234,17 +239,17 @@ def _count_words(texts: DataFrame) -> DataFrame:
         totals: Counter[str] = Counter()
 
         def spill(lang: str) -> pa.RecordBatch:
-            words = sorted(held.pop(lang).items())
-            return pa.record_batch([pa.array([lang] * len(words), pa.string()),
-                                    pa.array([w for w, _ in words], pa.binary()),
-                                    pa.array([n for _, n in words], pa.int64())], schema)
+            counts = held.pop(lang)
+            words, times = pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())
+            order = pc.array_sort_indices(words)
+            return pa.record_batch([pa.array([lang] * len(words), pa.string()), words.take(order), times.take(order)], schema)
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
                 counts = held.setdefault(lang, Counter())
-                for p in pieces(text.as_py()):
-                    counts.update(p)
-                    totals[lang] += len(p)
+                words = text.as_py().translate(_FOLD).translate(_SPACE).split()
+                counts.update(words)
+                totals[lang] += len(words)
                 if sum(map(len, held.values())) > HELD:
                     yield spill(max(held, key=lambda x: len(held[x])))
         for lang in list(held):
@@ -266,29 +271,51 @@ def _encode(texts: DataFrame, frequent, numbered, width: int) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids()
+        known: dict[str, tuple[_Ids, np.ndarray]] = {}
+
+        def coded(lang: str, places: list[int], ends: list[int]) -> pa.RecordBatch:
+            ids, codes = known[lang]
+            if ids.new:
+                x = np.array([xxhash.xxh64_intdigest(w, 42) or 1 for w in ids.new], np.uint64)  # as in _id
+                x[~frequent.value.has(x ^ _salt(lang))] = 0
+                codes = np.concatenate((codes, x if numbered is None else _number(x, numbered.value)))
+                ids.new = []
+                known[lang] = ids, codes
+            x = codes[places]
+            near = x != 0
+            pair = near[1:] & near[:-1]
+            kept = np.concatenate((pair, [False])) | np.concatenate(([False], pair))
+            x[~kept] = 0
+            stays = kept | np.concatenate(([False], kept[:-1]))  # one break after each run
+            upto = np.cumsum(stays)[np.array(ends) - 1]
+            cuts = np.unique(np.concatenate(([0], upto))) * width  # texts without phrases go
+            rows = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [
+                None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(x[stays].astype(f"<u{width}"))])
+            return pa.record_batch([pa.array([lang] * len(rows), pa.string()), rows], schema)
+
+        def flush(held: dict[str, tuple[list[int], list[int]]]) -> Iterator[pa.RecordBatch]:
+            for lang, (places, ends) in held.items():
+                yield coded(lang, places, ends)
+            held.clear()
+            if sum(len(ids) for ids, _ in known.values()) > HELD:
+                known.clear()
+
         for b in batches:
-            langs, out = [], []
+            held: dict[str, tuple[list[int], list[int]]] = {}
+            words = 0
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                words: list[int] = []
-                for p in pieces(text.as_py()):
-                    words += map(ids.__getitem__, p)
-                    words.append(0)
-                if not words:
-                    continue
-                x = np.array(words, np.uint64)
-                x[~frequent.value.has(x ^ _salt(lang))] = 0
-                if numbered is not None:
-                    x = _number(x, numbered.value)
-                near = x != 0
-                pair = near[1:] & near[:-1]
-                kept = np.concatenate((pair, [False])) | np.concatenate(([False], pair))
-                x[~kept] = 0
-                x = x[kept | np.concatenate(([False], kept[:-1]))]  # one break after each run
-                if len(x):
-                    langs.append(lang)
-                    out.append(x.astype(f"<u{width}").tobytes())
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(out, pa.binary())], schema)
+                if lang not in known:
+                    known[lang] = _Ids(), np.zeros(1, np.uint64)
+                places, ends = held.setdefault(lang, ([], []))
+                found = text.as_py().translate(_FOLD).replace(b"\n", b" " + _BREAK + b" ").split()
+                places += map(known[lang][0].__getitem__, found)
+                places.append(0)
+                ends.append(len(places))
+                words += len(found)
+                if words > BLOCK:
+                    yield from flush(held)
+                    words = 0
+            yield from flush(held)
 
     return texts.mapInArrow(run, "lang string, ids binary")
 
@@ -312,18 +339,31 @@ def _count_phrases(coded: DataFrame, k: int, frequent, heavy: list[set[tuple[str
 
         def sent(lang: str, spilled: Iterator[list[tuple[bytes, int]]]) -> Iterator[pa.RecordBatch]:
             """A row for each prefix of a run, in parts of a bounded size."""
-            out: list[tuple[bytes, bytes, list[int]]] = []
+            starts: list[bytes] = []
+            rests: list[bytes] = []
+            ends, times = [0], []
+
+            def packed() -> pa.RecordBatch:
+                return pa.record_batch([
+                    pa.array([lang] * len(starts), pa.string()), pa.array(starts, pa.binary()),
+                    pa.array(rests, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int64()))], schema)
+
             for run in spilled:
-                for start, group in groupby(run, lambda e: prefix(lang, e[0])):
+                first = run[0][0][:width]
+                for start, group in (groupby(run, lambda e: prefix(lang, e[0])) if (lang, first) in heavy[0]
+                                     else ((first, run),)):
                     for part in batched(group, ROW):
-                        out.append((start, b"".join(key[len(start):] for key, _ in part), [n for _, n in part]))
-                if len(out) > ROW:
-                    yield pa.record_batch([pa.array([lang] * len(out), pa.string()),
-                                           *(pa.array(c, t.type) for c, t in zip(zip(*out), list(schema)[1:]))], schema)
-                    out = []
-            if out:
-                yield pa.record_batch([pa.array([lang] * len(out), pa.string()),
-                                       *(pa.array(c, t.type) for c, t in zip(zip(*out), list(schema)[1:]))], schema)
+                        at = len(start)
+                        starts.append(start)
+                        rests.append(b"".join([key[at:] for key, _ in part]))
+                        times += [n for _, n in part]
+                        ends.append(len(times))
+                if len(starts) > ROW:
+                    yield packed()
+                    starts, rests, ends, times = [], [], [0], []
+            if starts:
+                yield packed()
 
         def count(lang: str, x: np.ndarray) -> None:
             h, whole = _grams(x, k - 1)

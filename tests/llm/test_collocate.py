@@ -104,3 +104,39 @@ def test_one_id_for_two_words_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(C, "_id", lambda word: F.when(F.col(word).isNotNull(), F.lit(7)))
     with pytest.raises(ValueError, match="share"):
         C.collocations(df, min_count=1)
+
+
+class Task:
+    """Rows of one task, without Spark."""
+
+    def __init__(self, rows):
+        import pyarrow as pa
+        self.batches = [pa.record_batch([pa.array([lang for lang, _ in part]), pa.array([text.encode() for _, text in part])],
+                                        ["lang", "text"]) for part in rows]
+
+    def mapInArrow(self, run, schema):
+        return [tuple(r.values()) for b in run(iter(self.batches)) for r in b.to_pylist()]
+
+
+class Every:
+    """Takes every word but ``rare`` for frequent; keeps how many were asked for."""
+    asked = 0
+
+    def has(self, h):
+        self.asked += len(h)
+        return h != C.np.uint64(C.xxhash.xxh64_intdigest(b"rare", 42)) ^ C._salt("en")
+
+
+@pytest.mark.parametrize("block, held", [(100_000, 500_000), (3, 500_000), (3, 2)])
+def test_words_are_looked_up_once_a_task(monkeypatch, block, held):
+    monkeypatch.setattr(C, "BLOCK", block, raising=False)
+    monkeypatch.setattr(C, "HELD", held)
+    texts = ["a b, C a b", "rare", "", "a rare b c rare a", "A\tb\n\n.c", ";"] * 3
+    every = Every()
+    broadcast = type("B", (), {"value": every})
+    got = C._encode(Task([[("en", t) for t in texts[:7]], [("en", t) for t in texts[7:]]]), broadcast, None, 8)
+    names = {C.xxhash.xxh64_intdigest(w, 42): w.decode() for w in (b"a", b"b", b"c")} | {0: "."}
+    coded = [" ".join(names[int(i)] for i in C.np.frombuffer(ids, "<u8")) for _, ids in got]
+    assert coded == ["a b . c a b .", "b c .", "a b ."] * 3   # phrases only, each with a break behind it
+    if held > 2:
+        assert every.asked == 4   # a, b, c and rare
